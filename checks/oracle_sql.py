@@ -254,11 +254,11 @@ capped AS (SELECT *, CASE WHEN url_producto <> 'N/A' THEN url_producto ELSE prod
 SELECT 'listings' AS kind, count(*) AS rows_extracted, count(DISTINCT k) AS rows_unique,
   count(*) - count(DISTINCT k) AS duplicates_dropped, count(DISTINCT k) AS rows_valid, true AS success FROM capped"""
 
-ORACLE["extract_postings"] = f"""
-WITH cards AS (
+POSTED_CARDS = f"""
+cards AS (
   SELECT *, (c_custkey + i) % 6 AS k FROM (SELECT *, unnest(range(1, CAST(2 + c_custkey % 9 AS INTEGER))) AS i FROM customer)
-)
-SELECT c_custkey AS page_id, CAST(i AS INTEGER) AS pos, c_mktsegment AS term, CAST(i AS INTEGER) AS indice,
+),
+extracted AS (SELECT c_custkey AS page_id, CAST(i AS INTEGER) AS pos, c_mktsegment AS term, CAST(i AS INTEGER) AS indice,
   '2024-02-01' AS fecha_extraccion,
   CASE k WHEN 0 THEN 'Data Engineer ' || i WHEN 1 THEN 'Analista ' || c_mktsegment WHEN 3 THEN 'Dev ' || i ELSE 'Rol ' || i END
     AS titulo_puesto,
@@ -274,7 +274,15 @@ SELECT c_custkey AS page_id, CAST(i AS INTEGER) AS pos, c_mktsegment AS term, CA
   CASE k WHEN 0 THEN substring(trim(repeat(c_name || ' busca ', 20)), 1, 200) || '...'
     WHEN 3 THEN 'Descripción: tareas varias...' ELSE 'No disponible' END AS descripcion_breve,
   'No disponible' AS nivel_experiencia, 'No disponible' AS beneficios_ofrecidos
-FROM cards WHERE k IN (0, 1, 3, 5)"""
+FROM cards WHERE k IN (0, 1, 3, 5))"""
+ORACLE["extract_postings"] = f"WITH {POSTED_CARDS} SELECT * FROM extracted"
+ORACLE["run_posting_session"] = f"""
+WITH {POSTED_CARDS},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY page_id, pos) AS rn FROM extracted
+  WHERE term IN {_in(st.SEGMENTS)}),
+capped AS (SELECT * FROM ranked WHERE rn <= 50)
+SELECT 'postings' AS kind, count(*) AS rows_extracted, count(DISTINCT url_empleo) AS rows_unique,
+  count(*) - count(DISTINCT url_empleo) AS duplicates_dropped, count(DISTINCT url_empleo) AS rows_valid, true AS success FROM capped"""
 
 HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 ORACLE["absolutize_url"] = f"""

@@ -457,12 +457,21 @@ def run_metrics(spark, sf_dir):
 @query
 def run_listing_session(spark, sf_dir):
     result = run.run_listing_session(
-        st.listing_pages(spark, sf_dir), extract.listing_detail_updates(st.listing_detail_pages(spark, sf_dir)),
+        st.listing_pages(spark, sf_dir), st.listing_detail_pages(spark, sf_dir),
         st.LISTING_TERMS, st.LISTING_HOST, sinks.shared_folder(spark), st.AS_OF, stamp="20240201_120000",
     )
     return result.select("kind", "rows_extracted", "rows_unique", "duplicates_dropped", "rows_valid", "success")
 
 
+@query
+def run_posting_session(spark, sf_dir):
+    result = run.run_posting_session(
+        st.posting_pages(spark, sf_dir), st.posting_detail_pages(spark, sf_dir),
+        st.SEGMENTS, st.POSTING_HOST, sinks.shared_folder(spark), st.AS_OF, stamp="20240201_120000",
+    )
+    return result.select("kind", "rows_extracted", "rows_unique", "duplicates_dropped", "rows_valid", "success")
+
+
 # --- dedup, caps, order, union -------------------------------------------------------------------------------------------
 
 

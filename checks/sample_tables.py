@@ -15,6 +15,7 @@ POSTING_HOST = "https://empleos.example.com"
 LISTING_ORDER = ("orden_1", "orden_2", "orden_3", "orden_4", "orden_5")
 POSTING_ORDER = ("term_no", "pos")
 LISTING_TERMS = ("ECONOMY", "STANDARD", "PROMO", "SMALL", "MEDIUM", "LARGE")
+SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 POSTING_TERMS = ("click", "view", "purchase", "signup", "error")
 
 
@@ -246,6 +247,12 @@ def derive(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFram
     return spark.sql(text, **{name: table(spark, sf_dir, name) for name in names})
 
 
+def render(spark: SparkSession, sf_dir: str, text: str, name: str) -> DataFrame:
+    """Pages are far larger than the rows they come from, so the rows are spread before rendering."""
+    spread = table(spark, sf_dir, name).repartition(2 * spark.sparkContext.defaultParallelism)
+    return spark.sql(text, **{name: spread})
+
+
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive(spark, sf_dir, RAW_LISTINGS, "lineitem", "part", "supplier")
 
@@ -263,16 +270,16 @@ def posting_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, LISTING_PAGES, "part")
+    return render(spark, sf_dir, LISTING_PAGES, "part")
 
 
 def posting_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, POSTING_PAGES, "customer")
+    return render(spark, sf_dir, POSTING_PAGES, "customer")
 
 
 def listing_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, LISTING_DETAIL_PAGES, "orders")
+    return render(spark, sf_dir, LISTING_DETAIL_PAGES, "orders")
 
 
 def posting_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, POSTING_DETAIL_PAGES, "events")
+    return render(spark, sf_dir, POSTING_DETAIL_PAGES, "events")

@@ -39,6 +39,37 @@ def _unless(value: Column, sentinel: str) -> Column:
     return F.when(value != sentinel, value)
 
 
+def chosen_listings(
+    listings: DataFrame,
+    term: str = "categoria",
+    order_by: Sequence[str] = ("pos",),
+    per_term: int | None = fv.ENRICHED_LISTINGS_PER_TERM,
+) -> DataFrame:
+    """Order key and url of the listings to enrich: the first `per_term` of each term, if they have a url."""
+    chosen = listings.select(term, *order_by, F.col("url_producto").alias("url"))
+    if per_term is not None:
+        chosen = first_rows(chosen, [term], order_by, per_term)
+    return chosen.where(F.col("url").startswith("http"))
+
+
+def chosen_postings(
+    postings: DataFrame, order_by: Sequence[str] = ("term_no", "pos"), limit: int | None = fv.ENRICHED_POSTINGS
+) -> DataFrame:
+    """Order key and url of the postings to enrich: the first `limit` overall, if they have a url.
+
+    The first rows come from a distributed top-k, never from a global row number.
+    """
+    chosen = postings.select(*order_by, F.col("url_empleo").alias("url"))
+    if limit is not None:
+        chosen = chosen.orderBy(*order_by).limit(limit)
+    return chosen.where((F.col("url") != fv.NOT_FOUND) & F.col("url").startswith("http"))
+
+
+def pages_of(pages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The stored pages of the chosen rows: only these need to be parsed for details."""
+    return pages.join(chosen.select("url"), "url", "left_semi")
+
+
 def enrich_listings(
     listings: DataFrame,
     details: DataFrame,
@@ -51,14 +82,11 @@ def enrich_listings(
     `details`: url, fetched_at, ubicacion, reputacion_vendedor. `order_by` must number the rows of a term without ties.
     """
     keys = [term, *order_by]
-    chosen = listings.select(*keys, F.col("url_producto").alias("url"))
-    if per_term is not None:
-        chosen = first_rows(chosen, [term], order_by, per_term)
     place, reputation = (
         _unless(F.col(name), fv.UNKNOWN_PLACE) for name in ("ubicacion", "reputacion_vendedor")
     )
     updates = (
-        chosen.where(F.col("url").startswith("http"))
+        chosen_listings(listings, term, order_by, per_term)
         .join(latest_details(details.where(F.col("url").startswith("http"))), "url")
         .select(*keys, place.alias("ubicacion"), reputation.alias("reputacion_vendedor"))
         .where("ubicacion IS NOT NULL OR reputacion_vendedor IS NOT NULL")
@@ -74,13 +102,9 @@ def enrich_postings(
 ) -> DataFrame:
     """Snippet, level and benefits from the details for the first `limit` postings overall (None: all).
 
-    `details`: url, fetched_at, descripcion_completa, nivel_experiencia, beneficios_ofrecidos. The first rows come from a
-    distributed top-k, never from a global row number.
+    `details`: url, fetched_at, descripcion_completa, nivel_experiencia, beneficios_ofrecidos.
     """
     keys = list(order_by)
-    chosen = postings.select(*keys, F.col("url_empleo").alias("url"))
-    if limit is not None:
-        chosen = chosen.orderBy(*keys).limit(limit)
     fields = ("descripcion_breve", "nivel_experiencia", "beneficios_ofrecidos")
     values = (
         snippet(_unless(F.col("descripcion_completa"), fv.NOT_AVAILABLE)),
@@ -88,7 +112,7 @@ def enrich_postings(
         _unless(F.col("beneficios_ofrecidos"), fv.NOT_AVAILABLE),
     )
     updates = (
-        chosen.where((F.col("url") != "") & (F.col("url") != fv.NOT_FOUND) & F.col("url").startswith("http"))
+        chosen_postings(postings, order_by, limit)
         .join(latest_details(details.where(F.col("url").startswith("http"))), "url")
         .select(*keys, *[value.alias(name) for name, value in zip(fields, values)])
     )

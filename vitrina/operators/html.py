@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import defaultdict
-from html.parser import HTMLParser
+from html import unescape
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = set(
@@ -24,15 +24,25 @@ _CLOSES = {
     "th": ({"td", "th"}, {"tr", "table"}),
 }
 _CLOSES_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt"}
+_P = {"p"}
 _P_SCOPE = {"button", "table", "td", "th", "caption", "object"}
 _BREAK = None  # a line break among the text pieces
+# Elements whose content is text up to their own end tag, whatever it looks like.
+_RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in ("script", "style", "title", "textarea")}
+
+# Possessive parts: a tag is matched in one pass, also when a quote is never closed.
+_NAME = r"""[^\s"'>/=][^\s>/=]*+"""
+_ATTRIBUTES = re.compile(rf"""({_NAME})(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+)))?""")
+_SKIPPED = rf"""{_NAME}(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?"""
+_MARKUP = re.compile(
+    rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_SKIPPED}|["'=])*+)>""", re.S
+)
 
 
-class Document(HTMLParser):
+class Document:
     """Elements in document order; the descendants of element i are the elements i+1 .. end[i]-1."""
 
     def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
         self.tag, self.attrs, self.parent, self.end = ["#root"], [{}], [-1], [0]
         self.first_piece, self.last_piece = [0], [0]
         self.pieces: list[tuple[str | None, bool]] = []
@@ -40,20 +50,51 @@ class Document(HTMLParser):
         self.children = defaultdict(list)
         self._open = [0]
         self._hidden = 0
-        self.feed(html)
-        self.close()
+        self._read(html)
         while self._open:
             self._pop()
 
-    def handle_starttag(self, tag, attrs):
+    def _read(self, html: str):
+        at = 0
+        while found := _MARKUP.search(html, at):
+            if found.start() > at:
+                self._text(html[at:found.start()])
+            at = found.end()
+            closing, name, attributes = found.groups()
+            if name is None:
+                continue
+            tag = name.lower()
+            if closing:
+                self._end_tag(tag)
+                continue
+            self._start_tag(tag, attributes)
+            if tag in _RAW_END:
+                stop = _RAW_END[tag].search(html, at)
+                stop = stop.start() if stop else len(html)
+                if stop > at:
+                    self._text(html[at:stop], tag in ("title", "textarea"))
+                at = stop
+        if at < len(html):
+            self._text(html[at:])
+
+    def _text(self, text: str, references: bool = True):
+        self.pieces.append((unescape(text) if references and "&" in text else text, self._hidden > 0))
+
+    def _start_tag(self, tag: str, attributes: str):
         if tag in _CLOSES:
             self._close_open(*_CLOSES[tag])
         if tag in _CLOSES_P:
-            self._close_open({"p"}, _P_SCOPE)
+            self._close_open(_P, _P_SCOPE)
         if tag in _BLOCK or tag == "br":
             self.pieces.append((_BREAK, False))
         index = len(self.tag)
-        values = {name: value or "" for name, value in reversed(attrs)}
+        values = {}
+        if attributes:
+            for name, double, single, bare in _ATTRIBUTES.findall(attributes):
+                value = double or single or bare
+                values.setdefault(name.lower(), unescape(value) if "&" in value else value)
+            for name in set(values.get("class", "").split()):
+                self.by_class[name].append(index)
         parent = self._open[-1]
         self.tag.append(tag)
         self.attrs.append(values)
@@ -63,22 +104,17 @@ class Document(HTMLParser):
         self.last_piece.append(len(self.pieces))
         self.children[parent].append(index)
         self.by_tag[tag].append(index)
-        for name in set(values.get("class", "").split()):
-            self.by_class[name].append(index)
         if tag not in _VOID:
             self._open.append(index)
             self._hidden += tag in _HIDDEN
 
-    def handle_endtag(self, tag):
+    def _end_tag(self, tag: str):
         for depth in range(len(self._open) - 1, 0, -1):
             if self.tag[self._open[depth]] == tag:
                 while len(self._open) > depth:
                     self._pop()
                 return
 
-    def handle_data(self, data):
-        self.pieces.append((data, self._hidden > 0))
-
     def _close_open(self, tags, scope):
         for depth in range(len(self._open) - 1, 0, -1):
             name = self.tag[self._open[depth]]

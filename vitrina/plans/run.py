@@ -62,23 +62,15 @@ def run_analysis(
     return sinks.write_reports(run_all(listings, postings, as_of, staged=True), out_dir)
 
 
-def listing_rows(
-    pages: DataFrame,
-    details: DataFrame | None,
-    terms: Sequence[str],
-    host: str,
-    as_of: str | None = None,
-    max_rows: int = fv.ROWS_PER_TERM,
+def listing_cards(
+    pages: DataFrame, terms: Sequence[str], host: str, as_of: str | None = None, max_rows: int = fv.ROWS_PER_TERM
 ) -> DataFrame:
-    """Cards of stored result pages, numbered by term, capped and enriched; duplicates still in."""
+    """Cards of stored result pages, numbered by term and capped; duplicates still in."""
     rows = ingest.number_terms(extract.extract_listings(pages, host, as_of, max_rows), "categoria", terms)
-    rows = ingest.cap_per_term(rows, "categoria", ("page_id", "pos"), max_rows)
-    if details is not None:
-        rows = enrich.enrich_listings(rows, details, "categoria", ("page_id", "pos"))
-    return rows
+    return ingest.cap_per_term(rows, "categoria", ("page_id", "pos"), max_rows)
 
 
-def posting_rows(
+def posting_cards(
     pages: DataFrame, terms: Sequence[str], host: str, as_of: str | None = None, max_rows: int = fv.ROWS_PER_TERM
 ) -> DataFrame:
     """Cards of stored posting pages, numbered by term and capped; duplicates still in."""
@@ -86,29 +78,30 @@ def posting_rows(
     return ingest.cap_per_term(rows, "term", ("page_id", "pos"), max_rows)
 
 
-def _finish(spark, kind, extracted, unique, export, out_dir, prefix, stamp) -> DataFrame:
+RUN_SCHEMA = (
+    "kind string, rows_extracted bigint, duplicates_dropped bigint, rows_unique bigint, rows_valid bigint, "
+    "success boolean, duration_s double, path string"
+)
+
+
+def _session(spark, kind, cards, finish, export, out_dir, prefix, stamp) -> DataFrame:
     started = time.time()
     seen, written = Observation(f"{kind} extracted"), Observation(f"{kind} written")
-    # The staged table is what later steps read, so a lost executor costs no second pass over the pages.
-    staged = sinks.stage_table(extracted.observe(seen, F.count(F.lit(1)).alias("rows")))
-    path = export(unique(staged), out_dir, prefix, stamp, written, staged)
+    # Pages are parsed once: all later steps, some of which read the cards twice, start from the staged table.
+    staged = sinks.stage_table(cards.observe(seen, F.count(F.lit(1)).alias("rows")))
+    path = export(finish(staged), out_dir, prefix, stamp, written, staged)
+    extracted = seen.get["rows"]
     counts = written.get if path else {"rows_in": 0, "rows_valid": 0}
     row = (
-        kind, seen.get["rows"], seen.get["rows"] - counts["rows_in"], counts["rows_in"], counts["rows_valid"],
+        kind, extracted, extracted - counts["rows_in"], counts["rows_in"], counts["rows_valid"],
         path is not None, time.time() - started, path,
     )
     return spark.createDataFrame([row], RUN_SCHEMA)
 
 
-RUN_SCHEMA = (
-    "kind string, rows_extracted bigint, duplicates_dropped bigint, rows_unique bigint, rows_valid bigint, "
-    "success boolean, duration_s double, path string"
-)
-
-
 def run_listing_session(
     pages: DataFrame,
-    details: DataFrame | None,
+    detail_pages: DataFrame | None,
     terms: Sequence[str],
     host: str,
     out_dir: str,
@@ -117,18 +110,26 @@ def run_listing_session(
     prefix: str = "listings_",
     stamp: str | None = None,
 ) -> DataFrame:
-    """Pages to a written listing snapshot; one row with the counts, the path and the duration of the run."""
-    extracted = listing_rows(pages, details, terms, host, as_of, max_rows)
+    """Pages to a written listing snapshot; one row with the counts, the path and the duration of the run.
+
+    Details (from stored `detail_pages` with url, html, fetched_at) apply before deduplication, to the first rows of every
+    term; only the pages of these rows are parsed.
+    """
 
-    def unique(rows: DataFrame) -> DataFrame:
-        return ingest.dedup_listings(rows, ("term_no", "page_id", "pos"))
+    def finish(cards: DataFrame) -> DataFrame:
+        place = ("page_id", "pos")
+        if detail_pages is not None:
+            wanted = enrich.pages_of(detail_pages, enrich.chosen_listings(cards, "categoria", place))
+            cards = enrich.enrich_listings(cards, extract.listing_detail_updates(wanted), "categoria", place)
+        return ingest.dedup_listings(cards, ("term_no", *place))
 
-    return _finish(pages.sparkSession, "listings", extracted, unique, sinks.export_listings, out_dir, prefix, stamp)
+    cards = listing_cards(pages, terms, host, as_of, max_rows)
+    return _session(pages.sparkSession, "listings", cards, finish, sinks.export_listings, out_dir, prefix, stamp)
 
 
 def run_posting_session(
     pages: DataFrame,
-    details: DataFrame | None,
+    detail_pages: DataFrame | None,
     terms: Sequence[str],
     host: str,
     out_dir: str,
@@ -137,15 +138,18 @@ def run_posting_session(
     prefix: str = "postings_",
     stamp: str | None = None,
 ) -> DataFrame:
-    """Pages to a written posting snapshot; details are applied after deduplication."""
-    extracted = posting_rows(pages, terms, host, as_of, max_rows)
-    order = ("term_no", "page_id", "pos")
-
-    def unique(rows: DataFrame) -> DataFrame:
-        kept = ingest.dedup_postings(rows, order)
-        return kept if details is None else enrich.enrich_postings(kept, details, order)
-
-    return _finish(pages.sparkSession, "postings", extracted, unique, sinks.export_postings, out_dir, prefix, stamp)
+    """Pages to a written posting snapshot. Details apply after deduplication, to the first rows overall."""
+
+    def finish(cards: DataFrame) -> DataFrame:
+        place = ("term_no", "page_id", "pos")
+        rows = ingest.dedup_postings(cards, place)
+        if detail_pages is None:
+            return rows
+        wanted = enrich.pages_of(detail_pages, enrich.chosen_postings(rows, place))
+        return enrich.enrich_postings(rows, extract.posting_detail(wanted), place)
+
+    cards = posting_cards(pages, terms, host, as_of, max_rows)
+    return _session(pages.sparkSession, "postings", cards, finish, sinks.export_postings, out_dir, prefix, stamp)
 
 
 def run_metrics(listings: DataFrame, order_by: Sequence[str] = ("term_no", "pos")) -> DataFrame:
