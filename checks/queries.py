@@ -15,6 +15,7 @@ from vitrina.functions.prices import PRICE_BANDS_SIX, parse_price, price_band
 from vitrina.operators import enrich, extract, ingest
 from vitrina.plans import clean, reports, run
 from vitrina.sources import pages as page_source, sinks, snapshots
+from vitrina.sources.spread import spread_small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,7 +26,7 @@ def query(function):
 
 
 def _pages(spark, sf_dir):
-    return page_source.scan_pages(spark, f"{sf_dir}/pages.parquet")
+    return spread_small(page_source.scan_pages(spark, f"{sf_dir}/pages.parquet"), "page_id")
 
 
 def _listings(spark, sf_dir):

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitrina.sources.spread import spread_small
+
 AS_OF = "2024-02-01 12:00:00"
 LISTING_HOST = "https://articulos.example.com"
 POSTING_HOST = "https://empleos.example.com"
@@ -239,8 +241,16 @@ FROM {events}
 """
 
 
+# Columns that number the rows of the tables with per-row work; the others are only looked up.
+ROW_KEYS = {
+    "lineitem": ("l_orderkey", "l_linenumber", "l_partkey"), "events": ("event_id",), "documents": ("doc_id",),
+    "customer": ("c_custkey",), "orders": ("o_orderkey",),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(rows, *ROW_KEYS[name]) if name in ROW_KEYS else rows
 
 
 def derive(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFrame:
@@ -248,9 +258,9 @@ def derive(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFram
 
 
 def render(spark: SparkSession, sf_dir: str, text: str, name: str) -> DataFrame:
-    """Pages are far larger than the rows they come from, so the rows are spread before rendering."""
-    spread = table(spark, sf_dir, name).repartition(2 * spark.sparkContext.defaultParallelism)
-    return spark.sql(text, **{name: spread})
+    """Pages rendered from the rows of a table."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.sql(text, **{name: spread_small(rows, *ROW_KEYS.get(name, ("p_partkey",)))})
 
 
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,7 @@ _SKIPPED = rf"""{_NAME}(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+))?"""
 _MARKUP = re.compile(
     rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_SKIPPED}|["'=])*+)>""", re.S
 )
+_FOLD, _LINES, _SPACES = re.compile(r"[ \t\r\n\f]+"), re.compile(r" *\n[ \n]*"), re.compile(r" {2,}")
 
 
 class Document:
@@ -47,7 +48,7 @@ class Document:
         self.first_piece, self.last_piece = [0], [0]
         self.pieces: list[tuple[str | None, bool]] = []
         self.by_tag, self.by_class = defaultdict(list), defaultdict(list)
-        self.children = defaultdict(list)
+        self._children: dict[int, list[int]] = {}
         self._open = [0]
         self._hidden = 0
         self._read(html)
@@ -102,7 +103,6 @@ class Document:
         self.end.append(index + 1)
         self.first_piece.append(len(self.pieces))
         self.last_piece.append(len(self.pieces))
-        self.children[parent].append(index)
         self.by_tag[tag].append(index)
         if tag not in _VOID:
             self._open.append(index)
@@ -133,6 +133,13 @@ class Document:
         if self.tag[index] in _BLOCK:
             self.pieces.append((_BREAK, False))
 
+    def _siblings(self, index: int) -> list[int]:
+        """Children of the parent of `index`; the lists are built for the few selectors that ask for them."""
+        if not self._children:
+            for child, parent in enumerate(self.parent):
+                self._children.setdefault(parent, []).append(child)
+        return self._children[self.parent[index]]
+
     def text_content(self, index: int) -> str:
         pieces = self.pieces[self.first_piece[index]:self.last_piece[index]]
         return "".join(text for text, _ in pieces if text is not _BREAK)
@@ -140,12 +147,14 @@ class Document:
     def inner_text(self, index: int) -> str:
         """Text as a reader sees it: no scripts, white space folded, one line per block."""
         own = self.tag[index] in _HIDDEN
-        parts = [
-            "\n" if text is _BREAK else re.sub(r"[ \t\r\n\f]+", " ", text)
+        shown = [
+            "\n" if text is _BREAK else _FOLD.sub(" ", text)
             for text, hidden in self.pieces[self.first_piece[index]:self.last_piece[index]]
             if own or not hidden
         ]
-        return re.sub(r" {2,}", " ", re.sub(r" *\n[ \n]*", "\n", "".join(parts))).strip(" \n")
+        if len(shown) < 2:
+            return shown[0].strip(" \n") if shown else ""
+        return _SPACES.sub(" ", _LINES.sub("\n", "".join(shown))).strip(" \n")
 
     def ancestor(self, index: int, tag: str) -> int | None:
         index = self.parent[index]
@@ -159,11 +168,14 @@ class Document:
         """Descendants of `scope` that match, in document order. Nothing outside `scope`, nor `scope` itself, counts as ancestor."""
         chains = parse_selector(selector)
         low, high = scope + 1, self.end[scope]
-        if len(chains) == 1:
-            pool = self._pool(chains[0][-1][1], low, high)
-        else:
-            pool = range(low, high)
-        return (i for i in pool if any(self._matches(i, chain, scope) for chain in chains))
+        if len(chains) > 1:
+            return (i for i in range(low, high) if any(self._matches(i, chain, scope) for chain in chains))
+        (chain,) = chains
+        tests = chain[-1][1]
+        pool = self._pool(tests, low, high)
+        if len(chain) == len(tests) == 1 and tests[0][0] in ("class", "tag"):
+            return iter(pool)
+        return (i for i in pool if self._matches(i, chain, scope))
 
     def first(self, scope: int, selector: str) -> int | None:
         return next(iter(self.select(scope, selector)), None)
@@ -183,7 +195,7 @@ class Document:
         if not rest:
             return True
         if combinator == "+":
-            siblings = self.children[self.parent[index]]
+            siblings = self._siblings(index)
             place = bisect_left(siblings, index)
             return place > 0 and self._matches(siblings[place - 1], rest, scope)
         above = self.parent[index]
@@ -208,7 +220,7 @@ class Document:
                 return found is not None
             return found == wanted if operator == "=" else wanted != "" and wanted in found
         if kind == "nth":
-            return bisect_left(self.children[self.parent[index]], index) + 1 == value
+            return bisect_left(self._siblings(index), index) + 1 == value
         if kind == "has":
             return self.first(index, value) is not None
         if kind == "not":

@@ -83,57 +83,64 @@ def value_bucket(value: Column) -> Column:
     return F.when(value < 0, -size - 1).otherwise(size)
 
 
-def exact_median(rows: DataFrame, column: str, buckets: DataFrame | None = None) -> DataFrame:
-    """One row `median`: the exact median, without bringing the values together in one task.
+def _median_row(rows: DataFrame, value: Column, sums: dict[str, Column]) -> DataFrame:
+    """One row: the exact `median` of a column free of NULL, the row count `n` and further sums, in two passes.
 
     First the counts per value bucket say which bucket holds the middle ranks; then only the rows of that bucket are
-    counted per distinct value. Collected on one task are the bucket counts (bounded by the buckets of a double) and the
-    distinct values of the middle bucket, which spans 0.3 % of the value. `buckets` takes ready counts
-    (`__bucket`, `n`) where the caller aggregates by bucket anyway.
+    counted per distinct value. One task sees no more than the bucket counts (bounded by the buckets of a double) and the
+    distinct values of the middle bucket, which spans 0.3 % of the value. The sums ride on the first pass.
     """
-    values = rows.select(F.col(column).alias("__value")).where(F.col("__value").isNotNull())
-    if buckets is None:
-        buckets = values.groupBy(value_bucket(F.col("__value")).alias("__bucket")).agg(F.count("*").alias("n"))
-    order = Window.orderBy("__bucket")
-    total = Window.partitionBy()
-    upto = F.sum("n").over(order)
+    by_bucket = rows.groupBy(value_bucket(value).alias("__bucket")).agg(
+        F.count("*").alias("n"), *[total.alias(name) for name, total in sums.items()]
+    )
+    everything = Window.partitionBy()
+    upto = F.sum("n").over(Window.orderBy("__bucket"))
     middle = (
-        buckets.select("__bucket", "n", upto.alias("upto"), F.sum("n").over(total).alias("total"))
-        .withColumns({"first": F.expr("(total + 1) div 2"), "second": F.expr("total div 2 + 1")})
-        .where("upto >= first AND upto - n < second")
-        .select("__bucket", (F.col("upto") - F.col("n")).alias("before"), "first", "second")
+        by_bucket.select(
+            "__bucket", (upto - F.col("n")).alias("before"), upto.alias("upto"),
+            *[F.sum(name).over(everything).alias(name) for name in ("n", *sums)],
+        )
+        .withColumns({"first": F.expr("(n + 1) div 2"), "second": F.expr("n div 2 + 1")})
+        .where("upto >= first AND before < second")
+        .drop("upto")
     )
     counts = (
-        values.withColumn("__bucket", value_bucket(F.col("__value")))
+        rows.select(value.alias("__value"), value_bucket(value).alias("__bucket"))
         .join(F.broadcast(middle), "__bucket")  # at most two rows
-        .groupBy("__bucket", "before", "first", "second", "__value")
-        .agg(F.count("*").alias("n"))
+        .groupBy(*middle.columns, "__value")
+        .agg(F.count("*").alias("__count"))
     )
-    reached = F.col("before") + F.sum("n").over(Window.partitionBy("__bucket").orderBy("__value"))
+    reached = F.col("before") + F.sum("__count").over(Window.partitionBy("__bucket").orderBy("__value"))
     return (
         counts.withColumn("upto", reached)
-        .where("upto >= first AND upto - n < second")
-        .agg(((F.min("__value") + F.max("__value")) / 2.0).alias("median"))
+        .where("upto >= first AND upto - __count < second")
+        .agg(
+            ((F.min("__value") + F.max("__value")) / 2.0).alias("median"),
+            *[F.max(name).alias(name) for name in ("n", *sums)],
+        )
     )
 
 
+def exact_median(rows: DataFrame, column: str) -> DataFrame:
+    """One row `median`: the exact median of a double column, without bringing its values together in one task."""
+    known = rows.where(F.col(column).isNotNull())
+    return _median_row(known, F.col(column), {}).select("median")
+
+
 def summary(listings: DataFrame, postings: DataFrame, as_of: str | None = None) -> DataFrame:
     """One row of totals. The listing totals come from the same pass that counts the median's buckets."""
     price = F.col("precio_numerico")
-    buckets = listings.groupBy(value_bucket(price).alias("__bucket")).agg(
-        F.count("*").alias("n"),
-        F.sum(price).alias("price_sum"),
-        F.count_if("disponible_bool").alias("available"),
-        F.count_if("envio_gratis_bool").alias("free"),
-    )
-    totals = buckets.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_productos_ml"),
-        round_frame(F.sum("price_sum") / F.sum("n")).alias("precio_promedio_ml"),
-        F.coalesce(F.sum("available"), F.lit(0)).alias("productos_disponibles"),
-        F.coalesce(F.sum("free"), F.lit(0)).alias("productos_envio_gratis"),
-    )
-    median = exact_median(listings, "precio_numerico", buckets.select("__bucket", "n")).select(
-        round_frame(F.col("median")).alias("precio_mediano_ml")
+    sums = {
+        "price_sum": F.sum(price),
+        "available": F.count_if("disponible_bool"),
+        "free": F.count_if("envio_gratis_bool"),
+    }
+    totals = _median_row(listings, price, sums).select(
+        F.coalesce("n", F.lit(0)).alias("total_productos_ml"),
+        round_frame(F.col("price_sum") / F.col("n")).alias("precio_promedio_ml"),
+        round_frame(F.col("median")).alias("precio_mediano_ml"),
+        F.coalesce("available", F.lit(0)).alias("productos_disponibles"),
+        F.coalesce("free", F.lit(0)).alias("productos_envio_gratis"),
     )
     mode = F.col("modalidad_limpia")
     modes = postings.agg(
@@ -143,14 +150,9 @@ def summary(listings: DataFrame, postings: DataFrame, as_of: str | None = None)
         F.count_if(mode == fv.MODE_HYBRID).alias("empleos_hibridos"),
     )
     stamp = F.date_format(as_of_column(as_of), "yyyy-MM-dd HH:mm:ss").alias("fecha_analisis")
-    return (
-        totals.crossJoin(F.broadcast(median))
-        .crossJoin(F.broadcast(modes))
-        .select(
-            stamp, "total_productos_ml", "total_empleos_linkedin", "precio_promedio_ml", "precio_mediano_ml",
-            "productos_disponibles", "productos_envio_gratis", "empleos_remotos", "empleos_presenciales",
-            "empleos_hibridos",
-        )
+    return totals.crossJoin(F.broadcast(modes)).select(  # one row on either side
+        stamp, "total_productos_ml", "total_empleos_linkedin", "precio_promedio_ml", "precio_mediano_ml",
+        "productos_disponibles", "productos_envio_gratis", "empleos_remotos", "empleos_presenciales", "empleos_hibridos",
     )
 
 

@@ -1,0 +1,21 @@
+"""Parallelism for inputs that arrive in too few pieces."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+# Up to this many bytes per core, one extra exchange costs less than idle cores do.
+_BYTES_PER_CORE = 64 * 1024 * 1024
+
+
+def spread_small(rows: DataFrame, *keys: str) -> DataFrame:
+    """Deal out the rows of a small input over all cores; a large input stays as it is scanned.
+
+    A small Parquet file is often one row group, and a multi-line CSV file always one task, so that all the per-row work
+    after the scan would run on a single core. The size is Spark's own estimate for the scan. Large inputs come in enough
+    files and row groups, and are never shuffled for this. With `keys` (columns of many values) the rows go by hash, which
+    saves the sort that a round robin needs to be repeatable.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores, *keys) if size <= cores * _BYTES_PER_CORE else rows
