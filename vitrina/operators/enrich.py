@@ -23,10 +23,9 @@ def latest_details(details: DataFrame, url: str = "url", fetched_at: str = "fetc
     return first_rows(details, [url], [F.col(fetched_at).desc(), *others]).drop(fetched_at)
 
 
-def _overwrite(rows: DataFrame, updates: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    renamed = updates.select(*[F.col(name).alias(f"__{name}") for name in (*keys, *fields)])
-    same_row = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in keys])
-    joined = rows.join(renamed, same_row, "left")
+def _merge(rows: DataFrame, updates: DataFrame, same_row: Column, fields: Sequence[str]) -> DataFrame:
+    """Left join with `updates`, whose columns are prefixed; a field that is NULL there keeps its value."""
+    joined = rows.join(updates, same_row, "left")
     return joined.select(
         *[
             F.coalesce(F.col(f"__{name}"), F.col(name)).alias(name) if name in fields else F.col(name)
@@ -35,6 +34,45 @@ def _overwrite(rows: DataFrame, updates: DataFrame, keys: Sequence[str], fields:
     )
 
 
+def _prefixed(updates: DataFrame) -> DataFrame:
+    return updates.select(*[F.col(name).alias(f"__{name}") for name in updates.columns])
+
+
+def _same_url(left: str, right: str) -> Column:
+    """Equal urls, in a form that makes both sides of the join shuffle for it.
+
+    The details arrive partitioned by url; a join on the url alone would reuse that, and adaptive execution splits a hot
+    partition only where the join reads two fresh shuffles. Details are one row per url, so the second shuffle is the
+    cheap one.
+    """
+    return (F.col(left) == F.col(right)) & (F.xxhash64(left) == F.xxhash64(right))
+
+
+def _update_chosen(
+    rows: DataFrame, chosen: DataFrame, details: DataFrame, keys: Sequence[str], fields: Sequence[str]
+) -> DataFrame:
+    """Few rows to enrich: join these with the details, and bring the outcome back on the unique order key."""
+    updates = chosen.join(_prefixed(details), _same_url("url", "__url")).select(
+        *keys, *[F.col(f"__{name}").alias(name) for name in fields]
+    )
+    same_row = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in keys])
+    return _merge(rows, _prefixed(updates), same_row, fields)
+
+
+def _update_all(
+    rows: DataFrame, url: str, details: DataFrame, keys: Sequence[str], fields: Sequence[str]
+) -> DataFrame:
+    """All rows to enrich: one join on the url.
+
+    Rows without url match nothing, so they get a key of their own instead of meeting in one partition. The rows of a hot
+    url are split by the skew handling of adaptive execution.
+    """
+    link = F.col(url)
+    spread = F.concat(F.lit("-"), F.xxhash64(*keys).cast("string"))
+    rows = rows.withColumn("__key", F.when(link.startswith("http"), link).otherwise(spread))
+    return _merge(rows, _prefixed(details.select("url", *fields)), _same_url("__key", "__url"), fields).drop("__key")
+
+
 def _unless(value: Column, sentinel: str) -> Column:
     return F.when(value != sentinel, value)
 
@@ -81,17 +119,14 @@ def enrich_listings(
 
     `details`: url, fetched_at, ubicacion, reputacion_vendedor. `order_by` must number the rows of a term without ties.
     """
-    keys = [term, *order_by]
-    place, reputation = (
-        _unless(F.col(name), fv.UNKNOWN_PLACE) for name in ("ubicacion", "reputacion_vendedor")
-    )
-    updates = (
-        chosen_listings(listings, term, order_by, per_term)
-        .join(latest_details(details.where(F.col("url").startswith("http"))), "url")
-        .select(*keys, place.alias("ubicacion"), reputation.alias("reputacion_vendedor"))
-        .where("ubicacion IS NOT NULL OR reputacion_vendedor IS NOT NULL")
+    fields = ("ubicacion", "reputacion_vendedor")
+    latest = latest_details(details.where(F.col("url").startswith("http"))).select(
+        "url", *[_unless(F.col(name), fv.UNKNOWN_PLACE).alias(name) for name in fields]
     )
-    return _overwrite(listings, updates, keys, ("ubicacion", "reputacion_vendedor"))
+    keys = [term, *order_by]
+    if per_term is None:
+        return _update_all(listings, "url_producto", latest, keys, fields)
+    return _update_chosen(listings, chosen_listings(listings, term, order_by, per_term), latest, keys, fields)
 
 
 def enrich_postings(
@@ -104,16 +139,16 @@ def enrich_postings(
 
     `details`: url, fetched_at, descripcion_completa, nivel_experiencia, beneficios_ofrecidos.
     """
-    keys = list(order_by)
     fields = ("descripcion_breve", "nivel_experiencia", "beneficios_ofrecidos")
     values = (
         snippet(_unless(F.col("descripcion_completa"), fv.NOT_AVAILABLE)),
         _unless(F.col("nivel_experiencia"), fv.NOT_AVAILABLE),
         _unless(F.col("beneficios_ofrecidos"), fv.NOT_AVAILABLE),
     )
-    updates = (
-        chosen_postings(postings, order_by, limit)
-        .join(latest_details(details.where(F.col("url").startswith("http"))), "url")
-        .select(*keys, *[value.alias(name) for name, value in zip(fields, values)])
+    latest = latest_details(details.where(F.col("url").startswith("http"))).select(
+        "url", *[value.alias(name) for name, value in zip(fields, values)]
     )
-    return _overwrite(postings, updates, keys, fields)
+    keys = list(order_by)
+    if limit is None:
+        return _update_all(postings, "url_empleo", latest, keys, fields)
+    return _update_chosen(postings, chosen_postings(postings, order_by, limit), latest, keys, fields)
