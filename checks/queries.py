@@ -14,7 +14,7 @@ from vitrina.functions.dates import age_band, as_of_column, parse_posted_at
 from vitrina.functions.prices import PRICE_BANDS_SIX, parse_price, price_band
 from vitrina.operators import enrich, extract, ingest
 from vitrina.plans import clean, reports, run
-from vitrina.sources import pages as page_source, sinks, snapshots
+from vitrina.sources import pages as page_source, sinks, snapshots, staging
 from vitrina.sources.spread import spread_small
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,21 +46,21 @@ def _numbered(spark, sf_dir):
 
 @query
 def scan_listings(spark, sf_dir):
-    path = f"{sinks.shared_folder(spark)}/listings.csv"
+    path = f"{staging.shared_folder(spark)}/listings.csv"
     sinks.write_csv(st.raw_listings(spark, sf_dir).select(*fv.LISTING_COLUMNS), path)
     return snapshots.scan_listings(spark, path)
 
 
 @query
 def scan_postings(spark, sf_dir):
-    path = f"{sinks.shared_folder(spark)}/postings.csv"
+    path = f"{staging.shared_folder(spark)}/postings.csv"
     sinks.write_csv(st.raw_postings(spark, sf_dir).select(*fv.POSTING_COLUMNS), path)
     return snapshots.scan_postings(spark, path)
 
 
 @query
 def latest_snapshot(spark, sf_dir):
-    folder = sinks.shared_folder(spark)
+    folder = staging.shared_folder(spark)
     rows = st.raw_listings(spark, sf_dir).select(*fv.LISTING_COLUMNS)
     sinks.write_csv(rows.where("disponible = 'No'"), f"{folder}/listings_2.csv")
     sinks.write_csv(rows, f"{folder}/listings_1.csv")
@@ -71,14 +71,14 @@ def latest_snapshot(spark, sf_dir):
 
 @query
 def export_listings(spark, sf_dir):
-    folder = sinks.shared_folder(spark)
+    folder = staging.shared_folder(spark)
     path = sinks.export_listings(st.raw_listings(spark, sf_dir), folder, stamp="20240201_120000")
     return spark.read.schema(snapshots.LISTING_SCHEMA).csv(path, header=True, quote='"', escape='"', multiLine=True)
 
 
 @query
 def export_postings(spark, sf_dir):
-    folder = sinks.shared_folder(spark)
+    folder = staging.shared_folder(spark)
     path = sinks.export_postings(st.raw_postings(spark, sf_dir), folder, stamp="20240201_120000")
     return spark.read.schema(snapshots.POSTING_SCHEMA).csv(path, header=True, quote='"', escape='"', multiLine=True)
 
@@ -91,7 +91,7 @@ def _report_sizes(frames) -> DataFrame:
 @query
 def write_reports(spark, sf_dir):
     prepared = run.run_all(st.raw_listings(spark, sf_dir), st.raw_postings(spark, sf_dir), st.AS_OF, staged=True)
-    paths = sinks.write_reports(prepared, sinks.shared_folder(spark))
+    paths = sinks.write_reports(prepared, staging.shared_folder(spark))
     read = {name: spark.read.csv(path, header=True, escape='"', multiLine=True) for name, path in paths.items()}
     return _report_sizes(read)
 
@@ -459,7 +459,7 @@ def run_metrics(spark, sf_dir):
 def run_listing_session(spark, sf_dir):
     result = run.run_listing_session(
         st.listing_pages(spark, sf_dir), st.listing_detail_pages(spark, sf_dir),
-        st.LISTING_TERMS, st.LISTING_HOST, sinks.shared_folder(spark), st.AS_OF, stamp="20240201_120000",
+        st.LISTING_TERMS, st.LISTING_HOST, staging.shared_folder(spark), st.AS_OF, stamp="20240201_120000",
     )
     return result.select("kind", "rows_extracted", "rows_unique", "duplicates_dropped", "rows_valid", "success")
 
@@ -468,7 +468,7 @@ def run_listing_session(spark, sf_dir):
 def run_posting_session(spark, sf_dir):
     result = run.run_posting_session(
         st.posting_pages(spark, sf_dir), st.posting_detail_pages(spark, sf_dir),
-        st.SEGMENTS, st.POSTING_HOST, sinks.shared_folder(spark), st.AS_OF, stamp="20240201_120000",
+        st.SEGMENTS, st.POSTING_HOST, staging.shared_folder(spark), st.AS_OF, stamp="20240201_120000",
     )
     return result.select("kind", "rows_extracted", "rows_unique", "duplicates_dropped", "rows_valid", "success")
 

@@ -3,7 +3,8 @@
 import pytest
 
 from checks import sample_tables as st
-from checks.queries import QUERIES
+from checks.queries import QUERIES, _numbered
+from vitrina.operators import enrich, ingest
 
 SF = "/root/testdata/sf0.001"
 FROM_HTML = {
@@ -25,7 +26,7 @@ def test_no_python_and_no_cartesian_work(spark, name):
     assert "CartesianProduct" not in text
 
 
-@pytest.mark.parametrize("name", ["dedup_listings", "dedup_postings", "cap_per_term", "cap_per_term_large", "enrich_listings"])
+@pytest.mark.parametrize("name", ["dedup_listings", "dedup_postings", "cap_per_term", "cap_per_term_large", "enrich_listings_all"])
 def test_groups_are_cut_before_the_shuffle(spark, name):
     text = plan(QUERIES[name](spark, SF))
     if name != "cap_per_term_large":
@@ -46,7 +47,21 @@ def test_single_tasks_see_only_bounded_rows(spark):
 
 def test_top_rows_need_no_sort_of_everything(spark):
     assert "TakeOrderedAndProject" in plan(QUERIES["report_value_ranking_top"](spark, SF))
-    assert "TakeOrderedAndProject" in plan(QUERIES["enrich_postings"](spark, SF))
+    chosen = enrich.chosen_postings(ingest.dedup_postings(_numbered(spark, SF), st.POSTING_ORDER), st.POSTING_ORDER)
+    assert "TakeOrderedAndProject" in plan(chosen)
+
+
+@pytest.mark.parametrize("name", ["enrich_listings", "enrich_postings"])
+def test_few_updates_do_not_shuffle_the_table(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    top = text.split("Window")[0]  # the posting table itself comes out of a deduplication
+    assert "BroadcastHashJoin" in top and "SortMergeJoin" not in text
+    assert "Exchange hashpartitioning(coalesce" not in text
+
+
+def test_groups_are_cut_before_the_shuffle_for_the_chosen(spark):
+    text = plan(enrich.chosen_listings(st.raw_listings(spark, SF), "categoria", st.LISTING_ORDER))
+    assert "WindowGroupLimit" in text and "Partial" in text and "l_extendedprice" in text and "l_tax" not in text
 
 
 def test_scans_read_only_what_a_report_needs(spark):

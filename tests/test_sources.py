@@ -9,7 +9,7 @@ from pyspark.sql import Observation, functions as F
 from vitrina import fixed_values as fv
 from vitrina.plans import run
 from vitrina.schemas import LISTING_SCHEMA, POSTING_SCHEMA
-from vitrina.sources import sinks, snapshots
+from vitrina.sources import sinks, snapshots, staging
 
 
 def listing(producto="Mesa de roble", precio="$10", **other):
@@ -105,7 +105,7 @@ def test_shared_folder(spark, tmp_path):
             def get(name, default):
                 return {"spark.checkpoint.dir": f"{tmp_path}/shared/"}.get(name, default)
 
-    assert sinks.shared_folder(Session).startswith(f"{tmp_path}/shared/vitrina-")
-    assert sinks.shared_folder(spark) != sinks.shared_folder(spark)
-    staged = sinks.stage_table(spark.range(5).select("id", F.lit("x").alias("y")))
+    assert staging.shared_folder(Session).startswith(f"{tmp_path}/shared/vitrina-")
+    assert staging.shared_folder(spark) != staging.shared_folder(spark)
+    staged = staging.stage_table(spark.range(5).select("id", F.lit("x").alias("y")))
     assert staged.count() == 5 and "Range" not in staged._jdf.queryExecution().optimizedPlan().toString()

@@ -1,13 +1,14 @@
 """Detail enrichment: overwrite fields of the first rows with values found on their detail pages.
 
-Only the few rows that are to be enriched meet the details. The result of that small join, at most one row per listing,
-goes back to the full table on its unique order key, so neither a hot url nor a hot term concentrates rows, and the full
-table is not shuffled as long as the updates are small enough for an adaptive broadcast.
+Only the few rows that are to be enriched meet the details, and only the details of these rows are looked at. The chosen
+rows and their updates are staged, so their sizes are known before the joins with the large tables are planned: if small,
+they are broadcast, and neither the listings nor the details are shuffled just to find that out. Updates go back on the
+unique order key of the rows, so neither a hot url nor a hot term concentrates rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,6 +16,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vitrina import fixed_values as fv
 from vitrina.functions.text import snippet
 from vitrina.operators.ingest import first_rows
+from vitrina.sources.staging import stage_table
+
+Parse = Callable[[DataFrame], DataFrame]
 
 
 def latest_details(details: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
@@ -49,11 +53,13 @@ def _same_url(left: str, right: str) -> Column:
 
 
 def _update_chosen(
-    rows: DataFrame, chosen: DataFrame, details: DataFrame, keys: Sequence[str], fields: Sequence[str]
+    rows: DataFrame, chosen: DataFrame, details: DataFrame, latest: Parse, keys: Sequence[str], fields: Sequence[str]
 ) -> DataFrame:
-    """Few rows to enrich: join these with the details, and bring the outcome back on the unique order key."""
-    updates = chosen.join(_prefixed(details), _same_url("url", "__url")).select(
-        *keys, *[F.col(f"__{name}").alias(name) for name in fields]
+    """Few rows to enrich: join these with their details, and bring the outcome back on the unique order key."""
+    chosen = stage_table(chosen)
+    found = _prefixed(latest(of_chosen(details, chosen)))
+    updates = stage_table(
+        chosen.join(found, _same_url("url", "__url")).select(*keys, *[F.col(f"__{n}").alias(n) for n in fields])
     )
     same_row = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in keys])
     return _merge(rows, _prefixed(updates), same_row, fields)
@@ -103,9 +109,10 @@ def chosen_postings(
     return chosen.where((F.col("url") != fv.NOT_FOUND) & F.col("url").startswith("http"))
 
 
-def pages_of(pages: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The stored pages of the chosen rows: only these need to be parsed for details."""
-    return pages.join(chosen.select("url"), "url", "left_semi")
+def of_chosen(details: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The details (or unparsed detail pages) of the chosen rows only."""
+    wanted = chosen.select(F.col("url").alias("__url"))
+    return details.join(wanted, _same_url("url", "__url"), "left_semi")
 
 
 def enrich_listings(
@@ -114,19 +121,25 @@ def enrich_listings(
     term: str = "categoria",
     order_by: Sequence[str] = ("pos",),
     per_term: int | None = fv.ENRICHED_LISTINGS_PER_TERM,
+    parse: Parse | None = None,
 ) -> DataFrame:
     """Place and reputation from the details for the first `per_term` listings of each term (None: all).
 
     `details`: url, fetched_at, ubicacion, reputacion_vendedor. `order_by` must number the rows of a term without ties.
+    With `parse`, `details` are stored pages (url, html, fetched_at) that it turns into such rows, chosen pages only.
+    Finding the chosen rows and their updates runs as jobs of its own; the result is lazy.
     """
     fields = ("ubicacion", "reputacion_vendedor")
-    latest = latest_details(details.where(F.col("url").startswith("http"))).select(
-        "url", *[_unless(F.col(name), fv.UNKNOWN_PLACE).alias(name) for name in fields]
-    )
+
+    def latest(found: DataFrame) -> DataFrame:
+        found = latest_details((parse(found) if parse else found).where(F.col("url").startswith("http")))
+        return found.select("url", *[_unless(F.col(name), fv.UNKNOWN_PLACE).alias(name) for name in fields])
+
     keys = [term, *order_by]
     if per_term is None:
-        return _update_all(listings, "url_producto", latest, keys, fields)
-    return _update_chosen(listings, chosen_listings(listings, term, order_by, per_term), latest, keys, fields)
+        return _update_all(listings, "url_producto", latest(details), keys, fields)
+    chosen = chosen_listings(listings, term, order_by, per_term)
+    return _update_chosen(listings, chosen, details, latest, keys, fields)
 
 
 def enrich_postings(
@@ -134,10 +147,11 @@ def enrich_postings(
     details: DataFrame,
     order_by: Sequence[str] = ("term_no", "pos"),
     limit: int | None = fv.ENRICHED_POSTINGS,
+    parse: Parse | None = None,
 ) -> DataFrame:
     """Snippet, level and benefits from the details for the first `limit` postings overall (None: all).
 
-    `details`: url, fetched_at, descripcion_completa, nivel_experiencia, beneficios_ofrecidos.
+    `details`: url, fetched_at, descripcion_completa, nivel_experiencia, beneficios_ofrecidos, or pages with `parse`.
     """
     fields = ("descripcion_breve", "nivel_experiencia", "beneficios_ofrecidos")
     values = (
@@ -145,10 +159,12 @@ def enrich_postings(
         _unless(F.col("nivel_experiencia"), fv.NOT_AVAILABLE),
         _unless(F.col("beneficios_ofrecidos"), fv.NOT_AVAILABLE),
     )
-    latest = latest_details(details.where(F.col("url").startswith("http"))).select(
-        "url", *[value.alias(name) for name, value in zip(fields, values)]
-    )
+
+    def latest(found: DataFrame) -> DataFrame:
+        found = latest_details((parse(found) if parse else found).where(F.col("url").startswith("http")))
+        return found.select("url", *[value.alias(name) for name, value in zip(fields, values)])
+
     keys = list(order_by)
     if limit is None:
-        return _update_all(postings, "url_empleo", latest, keys, fields)
-    return _update_chosen(postings, chosen_postings(postings, order_by, limit), latest, keys, fields)
+        return _update_all(postings, "url_empleo", latest(details), keys, fields)
+    return _update_chosen(postings, chosen_postings(postings, order_by, limit), details, latest, keys, fields)

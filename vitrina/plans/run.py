@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from vitrina import fixed_values as fv
 from vitrina.operators import enrich, extract, ingest
 from vitrina.plans import clean, reports
-from vitrina.sources import sinks, snapshots
+from vitrina.sources import sinks, snapshots, staging
 
 
 def all_reports(listings: DataFrame, postings: DataFrame, as_of: str | None = None) -> dict[str, DataFrame]:
@@ -39,7 +39,7 @@ def run_all(
         "titulo_puesto", "empresa", "ubicacion", "categoria_fecha", "nivel_experiencia_limpio", "modalidad_limpia"
     )
     if staged:
-        cleaned, dated = sinks.stage_table(cleaned), sinks.stage_table(dated)
+        cleaned, dated = staging.stage_table(cleaned), staging.stage_table(dated)
     return all_reports(cleaned, dated, as_of)
 
 
@@ -88,7 +88,7 @@ def _session(spark, kind, cards, finish, export, out_dir, prefix, stamp) -> Data
     started = time.time()
     seen, written = Observation(f"{kind} extracted"), Observation(f"{kind} written")
     # Pages are parsed once: all later steps, some of which read the cards twice, start from the staged table.
-    staged = sinks.stage_table(cards.observe(seen, F.count(F.lit(1)).alias("rows")))
+    staged = staging.stage_table(cards.observe(seen, F.count(F.lit(1)).alias("rows")))
     path = export(finish(staged), out_dir, prefix, stamp, written, staged)
     extracted = seen.get["rows"]
     counts = written.get if path else {"rows_in": 0, "rows_valid": 0}
@@ -119,8 +119,9 @@ def run_listing_session(
     def finish(cards: DataFrame) -> DataFrame:
         place = ("page_id", "pos")
         if detail_pages is not None:
-            wanted = enrich.pages_of(detail_pages, enrich.chosen_listings(cards, "categoria", place))
-            cards = enrich.enrich_listings(cards, extract.listing_detail_updates(wanted), "categoria", place)
+            cards = enrich.enrich_listings(
+                cards, detail_pages, "categoria", place, parse=extract.listing_detail_updates
+            )
         return ingest.dedup_listings(cards, ("term_no", *place))
 
     cards = listing_cards(pages, terms, host, as_of, max_rows)
@@ -145,8 +146,7 @@ def run_posting_session(
         rows = ingest.dedup_postings(cards, place)
         if detail_pages is None:
             return rows
-        wanted = enrich.pages_of(detail_pages, enrich.chosen_postings(rows, place))
-        return enrich.enrich_postings(rows, extract.posting_detail(wanted), place)
+        return enrich.enrich_postings(rows, detail_pages, place, parse=extract.posting_detail)
 
     cards = posting_cards(pages, terms, host, as_of, max_rows)
     return _session(pages.sparkSession, "postings", cards, finish, sinks.export_postings, out_dir, prefix, stamp)

@@ -1,13 +1,11 @@
-"""Writers: snapshot exports, report files, and staged tables in the shared folder."""
+"""Writers: snapshot exports and report files."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Mapping
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from vitrina.operators.ingest import valid_listing, valid_posting
 from vitrina.plans.clean import export_listing_rows, export_posting_rows
@@ -88,17 +86,3 @@ def write_reports(reports: Mapping[str, DataFrame], out_dir: str, fmt: str = "cs
         else:
             out.write.mode("overwrite").format(fmt).save(paths[name])
     return paths
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below `spark.checkpoint.dir`; a local one only where the session names none, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vitrina-")
-    return f"{root.rstrip('/')}/vitrina-{uuid.uuid4().hex}"
-
-
-def stage_table(rows: DataFrame) -> DataFrame:
-    """Cut the lineage: write the rows once as Parquet in the shared folder and read them back, columns prunable."""
-    spark = rows.sparkSession
-    path = f"{shared_folder(spark)}/table.parquet"
-    rows.write.parquet(path)
-    return spark.read.schema(rows.schema).parquet(path)
