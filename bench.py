@@ -38,15 +38,14 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("OFF")
-    seconds = {}
-    for name in names:
-        runs = []
-        for number in range(repeat + 1):  # the first run warms up and is not counted
+    runs = {name: [] for name in names}
+    for number in range(repeat + 1):  # the first round warms up and is not counted
+        for name in names:
             started = time.time()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             if number or not repeat:
-                runs.append(time.time() - started)
-        seconds[name] = round(statistics.median(runs), 3)
+                runs[name].append(time.time() - started)
+    seconds = {name: round(statistics.median(times), 3) for name, times in runs.items()}
     spark.stop()
     print(json.dumps({
         "metric": "sum of median query seconds, warm session", "value": round(sum(seconds.values()), 3), "unit": "sec",
