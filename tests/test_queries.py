@@ -4,13 +4,15 @@ import pytest
 
 import __spark_entry__ as contract
 from checks.compare import compare
+from checks.oracle_sql import ORACLE
+from checks.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_equal_to_sql(spark, name):
-    problem, _, _ = compare(spark, SF, name, contract.queries()[name], contract.oracle_sql()[name])
+    problem, _, _ = compare(spark, SF, name, QUERIES[name], ORACLE[name])
     assert problem == ""
 
 
@@ -20,4 +22,6 @@ def test_entry(spark):
 
 
 def test_same_keys():
-    assert set(contract.oracle_sql()) == set(contract.queries())
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())

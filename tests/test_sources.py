@@ -98,14 +98,36 @@ def test_analysis_from_files(spark, tmp_path):
     assert spark.read.parquet(parquet["reporte_resumen"]).count() == 1
 
 
-def test_shared_folder(spark, tmp_path):
-    class Session:
-        class conf:
-            @staticmethod
-            def get(name, default):
-                return {"spark.checkpoint.dir": f"{tmp_path}/shared/"}.get(name, default)
+class FakeSession:
+    """What `shared_root` asks of a session."""
+
+    def __init__(self, master, checkpoint_dir=None, **settings):
+        self.conf, self.settings = self, settings
+        self.sparkContext = type("Context", (), {"master": master, "getCheckpointDir": lambda _: checkpoint_dir})()
+
+    def get(self, name, default=None):
+        return self.settings.get(name.replace(".", "_"), default)
+
 
-    assert staging.shared_folder(Session).startswith(f"{tmp_path}/shared/vitrina-")
+def test_shared_folder(spark, tmp_path):
+    named = FakeSession("spark://host:7077", spark_checkpoint_dir=f"{tmp_path}/shared/")
+    assert staging.shared_folder(named).startswith(f"{tmp_path}/shared/vitrina-")
+    assert staging.shared_root(FakeSession("yarn", "hdfs://x/check")) == "hdfs://x/check"
+    assert staging.shared_root(FakeSession("local[2]", spark_sql_warehouse_dir="file:/w")) == "file:/w"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            staging.shared_root(FakeSession(master, spark_sql_warehouse_dir="file:/w"))
     assert staging.shared_folder(spark) != staging.shared_folder(spark)
     staged = staging.stage_table(spark.range(5).select("id", F.lit("x").alias("y")))
     assert staged.count() == 5 and "Range" not in staged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_run_folder_goes_with_its_run(spark):
+    from vitrina.sources import hadoop
+
+    with pytest.raises(RuntimeError):
+        with staging.run_folder(spark) as folder:
+            assert staging.stage_table(spark.range(3).toDF("id"), folder).count() == 3
+            assert hadoop.exists(spark, folder)
+            raise RuntimeError
+    assert not hadoop.exists(spark, folder)
