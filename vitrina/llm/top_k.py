@@ -62,13 +62,13 @@ def _histogram(exact: bool):
     def run(table: pa.Table) -> pa.Table:
         out = [[np.zeros(0, np.int64)] for _ in range(3)]
         for part, _, score, own in _blocks(table, exact):
-            low, width, need = (part.column(n).to_numpy()[:, None] for n in ("low", "width", "need"))
+            low, width, span, need = (part.column(n).to_numpy()[:, None] for n in ("low", "width", "span", "need"))
             at = (score - low) // width
-            inside = (at >= 0) & (at < BINS) & ~own
+            inside = (score >= low) & (score < low + span) & ~own
             row = np.arange(len(score))[:, None] * BINS
             counts = np.bincount((row + at)[inside], minlength=len(score) * BINS).reshape(len(score), BINS)
             above = counts[:, ::-1].cumsum(1)[:, ::-1] - counts  # in higher bins of this range
-            r, b = np.nonzero((counts > 0) & (above < need))
+            r, b = np.nonzero((counts > 0) & (above < need))  # a cell's lower bins cannot hold the kth value of all
             for column, values in zip(out, (part.column("vec_id").to_numpy()[r], b, counts[r, b])):
                 column.append(values)
         return pa.table(dict(zip(("query_id", "bin", "n"), (pa.array(np.concatenate(c), pa.int64()) for c in out))))
@@ -114,20 +114,21 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE,
     candidates = rows.select(
         "vec_id", "v", "dim", F.lit(False).alias("is_query"), F.pmod(place, F.lit(slices)).cast("int").alias("slice"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-        *[F.lit(0).cast("long").alias(n) for n in ("low", "width", "need")],
+        *[F.lit(0).cast("long").alias(n) for n in ("low", "width", "span", "need")],
     )
 
     def cells(ranges: DataFrame) -> DataFrame:
         asked = ranges.select(
             "vec_id", "v", "dim", F.lit(True).alias("is_query"),
             F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
-            F.pmod(place, F.lit(blocks)).cast("int").alias("block"), "low", "width", "need",
+            F.pmod(place, F.lit(blocks)).cast("int").alias("block"), "low", "width", "span", "need",
         )
         return candidates.unionByName(asked).groupBy("slice", "block", "dim")
 
     width = -(-(2 * bound + 1) // BINS)
     ranges = rows.where("is_query").select(
-        "vec_id", "v", "dim", F.lit(-bound).cast("long").alias("low"), F.lit(width).cast("long").alias("width"), F.lit(k).cast("long").alias("need")
+        "vec_id", "v", "dim", F.lit(-bound).cast("long").alias("low"), F.lit(width).cast("long").alias("width"),
+        F.lit(2 * bound + 1).cast("long").alias("span"), F.lit(k).cast("long").alias("need"),
     )
     while True:
         counts = cells(ranges).applyInArrow(_histogram(exact), "query_id long, bin long, n long")
@@ -142,7 +143,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE,
         step = -(-width // BINS)
         ranges = stage_table(
             ranges.join(cut, "vec_id").select(
-                "vec_id", "v", "dim", (F.col("low") + F.col("cut.bin") * F.col("width")).alias("low"), F.lit(step).cast("long").alias("width"),
+                "vec_id", "v", "dim", (F.col("low") + F.col("cut.bin") * F.col("width")).alias("low"), F.lit(step).cast("long").alias("width"), F.col("width").alias("span"),
                 F.least(F.col("need") - F.col("cut.reached") + F.col("cut.n"), F.col("cut.n")).alias("need"),
             )
         )
