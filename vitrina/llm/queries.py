@@ -7,8 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrina.llm import piece_codec, top_k, url_filter, warc
-from vitrina.llm.common import documents
+from vitrina.llm import decontamination, near_copies, pii, piece_codec, secret_scan, string_kernel, top_k, toxicity, url_filter, warc
+from vitrina.llm.common import documents, held_out, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,18 +26,53 @@ def piece_model() -> bytes:
     return Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
 
 
+PII_KEY = "vitrina-demo-key"  # production keys come from the caller
+
+
+@query
+def op1_pii(spark, sf_dir):
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+
+
 @query
 def op2_revisits(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op3_near_copies(spark, sf_dir):
+    found = near_copies.near_copies(documents(spark, sf_dir))
+    return found.select("doc_id", "class_id", "n_links", "n_similar_texts")
+
+
 @query
 def op4_top_k(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k.top_k(vectors, F.col("vec_id") % 20 == 0)
 
 
+@query
+def op5_secrets(spark, sf_dir):
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scorer = toxicity.train(docs, labels, remainder(F.col("doc_id"), 5) != 0)
+    scored = toxicity.score_documents(docs, scorer)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op7_language(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    model = string_kernel.train(docs, remainder(F.col("doc_id"), 3) != 1)
+    named = string_kernel.identify(docs, model)
+    return named.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_pieces(spark, sf_dir):
     return piece_codec.encode_and_decode(documents(spark, sf_dir), piece_model())
@@ -48,6 +83,12 @@ def op9_url_verdicts(spark, sf_dir):
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+@query
+def op10_leaks(spark, sf_dir):
+    found = decontamination.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("doc_id", "item_id", "score", "start", "stop")
+
+
 # Groups and types of op2 in SQL; DuckDB has sha1() in hex, and its base32 is spelt out of groups of five bits.
 ORACLE["op4_top_k"] = """
 WITH kept AS (
