@@ -8,7 +8,7 @@ sets become sparse columns, one matrix product gives all intersections, and only
 From the similarities found, the share of links that the forest catches at this prefix length is estimated; while it is below
 the target, prefixes are shortened by one MinHash.
 
-Leaders: a text with an estimate of REMOVE or more is taken in for good, all texts from LINK on are linked to the leader. By
+Leaders: a text with an estimate of REMOVE or more is taken in for good, all texts from LINK on belong to the leader's group. By
 the triangle inequality a partner (0.8) of a text taken in at 0.65 resembles the leader at 0.45, well above LINK.
 
 Result per document: class_id (smallest doc_id of its class) and n_links (other documents at 0.8 or more, copies included).
@@ -79,20 +79,30 @@ def _sign(part) -> dict:
 
 
 def _leaders(table: pa.Table) -> pa.Table:
-    """Edges (a: leader, b: text) of a block of a node. A leader also comes as an edge to itself."""
+    """Texts of a block of a node, each with the first leader of its group of leaders (a) and whether it leads itself.
+
+    Leaders that are linked to a common text are one group, so there is one row for each text however many leaders there are.
+    """
     table = table.sort_by("text_key")
     keys = table.column("text_key").to_pylist()
     signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(keys), -1)
-    left, a, b = np.arange(len(keys)), [], []
+    group, leads = np.full(len(keys), -1), np.zeros(len(keys), bool)
+    left = np.arange(len(keys))
     while len(left):
         head = left[0]
+        leads[head] = True
         likeness = (signs == signs[head]).mean(1)
         linked = np.flatnonzero(likeness >= LINK)
-        a += [keys[head]] * len(linked)
-        b += [keys[k] for k in linked]
+        met = np.unique(group[linked])
+        met = met[met >= 0]
+        first = met[0] if len(met) else head
+        if len(met) > 1:
+            group[np.isin(group, met)] = first
+        group[linked] = first
         left = left[likeness[left] < REMOVE]
     node = table.column("node")[0].as_py()
-    return pa.table({"node": pa.array([node] * len(a), pa.int64()), "a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
+    columns = {"node": pa.array([node] * len(keys), pa.int64()), "a": [keys[k] for k in group], "b": keys, "leads": leads}
+    return pa.table(columns)
 
 
 def family_edges(texts: DataFrame, depth: int) -> DataFrame:
@@ -108,11 +118,11 @@ def family_edges(texts: DataFrame, depth: int) -> DataFrame:
     blocks = F.ceil(F.col("n") / NODE_BLOCK).cast("int")
     met = met.select("node", "text_key", blocks.alias("blocks"), F.pmod(F.xxhash64("text_key"), blocks).alias("block"))
     signed = met.join(texts, "text_key").select("node", "block", "blocks", "text_key", "signature")
-    schema = "node long, a string, b string"
+    schema = "node long, a string, b string, leads boolean"
     edges = stage_table(signed.groupBy("node", "block").applyInArrow(_leaders, schema))
     # The leaders of a node that fell into several blocks meet once more.
     split = met.where("blocks > 1").select(F.col("node").alias("split")).distinct()
-    heads = edges.where("a = b").join(split, F.col("node") == F.col("split"), "left_semi").select("node", F.col("a").alias("text_key")).distinct()
+    heads = edges.where("leads").join(split, F.col("node") == F.col("split"), "left_semi").select("node", F.col("b").alias("text_key")).distinct()
     more = heads.join(texts, "text_key").groupBy("node").applyInArrow(_leaders, schema)
     return edges.unionByName(more).where("a <> b").select("a", "b").distinct()
 
