@@ -176,7 +176,7 @@ def _pseudonym(token: Column, key: str) -> Column:
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The documents with pseudonyms in `text`, and n_private, the number of values replaced (names free for it)."""
     source = F.col(text)
-    maybe = F.coalesce(source.rlike("[0-9@]"), F.lit(False))
+    maybe = F.coalesce(source.rlike("@|[0-9](?:[ ./-]?[0-9]){3}"), F.lit(False))  # what every pattern holds
     none = F.array().cast("array<string>")
     tokens = F.when(maybe, F.regexp_extract_all(source, F.lit(ANY), F.lit(0))).otherwise(none)
     changed = F.transform(tokens, lambda token: _pseudonym(token, key))
