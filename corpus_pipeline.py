@@ -14,7 +14,8 @@ def toxic_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     scorer = toxicity.train(docs, labels, remainder(F.col("doc_id"), 5) != 0)
-    return toxicity.score_documents(docs, scorer, docs.columns).where("predicted = 0").select(*docs.columns)
+    scored = toxicity.score_documents(docs, scorer, docs.columns, ("__score", "__toxic"))
+    return scored.where(F.col("__toxic") == 0).drop("__score", "__toxic")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def private_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values become pseudonyms; n_chars follows the text."""
-    changed = pii.pseudonymise(docs, PII_KEY).withColumn("n_chars", F.length("text").cast("long"))
+    changed = pii.pseudonymise(docs, PII_KEY, count_name="__private").withColumn("n_chars", F.length("text").cast("long"))
     return changed.select(*docs.columns)
 
 

@@ -3,7 +3,7 @@
 The items are worked through in blocks whose size in bytes is bounded, so an index of one block fits a broadcast at any size
 of the benchmark. For a block, one pass over the documents counts in how many of them each item n-gram occurs. The rarest
 n-gram of every run of RUN consecutive ones of an item becomes a seed, however frequent it is, so that a copied stretch of
-RUN + N - 1 words always holds one. A second pass finds the seeds in the documents and aligns the text around them with the
+RUN + N - 1 words always holds one; so do all n-grams up to AS_RARE times as frequent as the item's median seed. A second pass finds the seeds in the documents and aligns the text around them with the
 item; nothing but counts and results leaves a task.
 
 An item leaks into a document if the local alignment (2 a match, -1 a mismatch or gap) reaches `threshold` of the score of the
@@ -25,6 +25,7 @@ from vitrina.llm.common import flat_map_rows, words
 
 N = 3
 RUN = 4
+AS_RARE = 16
 THRESHOLD = 0.5
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -71,12 +72,14 @@ class ItemIndex:
         return whole[found], at[found]
 
     def choose_seeds(self, frequency: np.ndarray) -> None:
-        """Of each run of RUN n-grams of an item the rarest (ties: the first)."""
+        """Of each run of RUN n-grams of an item the rarest (ties: the first), and all that are about as rare as these."""
         owners = defaultdict(set)
         for item, grams in enumerate(self.positions):
             times = frequency[grams]
-            for start in range(max(1, len(grams) - RUN + 1)):
-                k = start + int(times[start : start + RUN].argmin())
+            runs = range(max(1, len(grams) - RUN + 1))
+            rarest = sorted({start + int(times[start : start + RUN].argmin()) for start in runs})
+            common = AS_RARE * (1 + np.median(times[rarest]))
+            for k in {*rarest, *np.flatnonzero(times <= common).tolist()}:
                 owners[int(grams[k])].add((item, k))
         self.seed_index = np.array(sorted(owners), np.int64)
         self.seeds = self.keys[self.seed_index]
@@ -187,6 +190,6 @@ def _block_leaks(rows: DataFrame, index: ItemIndex, threshold: float) -> DataFra
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents into which no item leaks, all columns."""
-    leaked = find_leaks(docs, benchmark, threshold).select(F.col("row_key").alias("leaked")).distinct()
-    rows = docs.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    return rows.join(leaked, F.col("row_key") == F.col("leaked"), "left_anti").drop("row_key")
+    leaked = find_leaks(docs, benchmark, threshold).select(F.col("row_key").alias("__leaked")).distinct()
+    rows = docs.withColumn("__row_key", F.xxhash64("doc_id", "text"))
+    return rows.join(leaked, F.col("__row_key") == F.col("__leaked"), "left_anti").drop("__row_key")

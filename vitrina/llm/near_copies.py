@@ -252,14 +252,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     grouped = near_copies(docs)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_key"))
     alone = F.startswith(F.col("class_key"), F.lit("-"))
-    kept = grouped.where(~alone).groupBy("class_key").agg(F.min(first).alias("first")).select(F.col("first.row_key").alias("kept_key"))
-    kept = stage_table(kept.unionByName(grouped.where(alone).select(F.col("row_key").alias("kept_key"))).distinct())
+    kept = grouped.where(~alone).groupBy("class_key").agg(F.min(first).alias("first")).select(F.col("first.row_key").alias("__kept_key"))
+    kept = stage_table(kept.unionByName(grouped.where(alone).select(F.col("row_key").alias("__kept_key"))).distinct())
     empty = F.coalesce(F.length(F.regexp_replace("text", r"(?U)\W+", "")) == 0, F.lit(True))
-    rows = docs.withColumn("row_key", _row_key(docs))
-    rows = rows.join(kept, (F.col("row_key") == F.col("kept_key")) & (F.hash("row_key") == F.hash("kept_key")), "left_semi")
+    rows = docs.withColumn("__row_key", _row_key(docs))
+    rows = rows.join(kept, (F.col("__row_key") == F.col("__kept_key")) & (F.hash("__row_key") == F.hash("__kept_key")), "left_semi")
     repeated = grouped.where(~alone).groupBy("row_key").count().where("count > 1").select("row_key")
     if not repeated.limit(1).count():
-        return rows.drop("row_key")
+        return rows.drop("__row_key")
     # Rows that repeat a document word for word, id included: one of them stays.
-    once = rows.where(~empty).dropDuplicates(["row_key"])
-    return once.unionByName(rows.where(empty)).drop("row_key")
+    once = rows.where(~empty).dropDuplicates(["__row_key"])
+    return once.unionByName(rows.where(empty)).drop("__row_key")

@@ -173,8 +173,8 @@ def _pseudonym(token: Column, key: str) -> Column:
     return F.struct(F.when(new.isNotNull(), kind).alias("kind"), F.coalesce(new, token).alias("text"))
 
 
-def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """The documents with pseudonyms in `text`, and n_private, the number of values replaced (names free for it)."""
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", count_name: str = "n_private") -> DataFrame:
+    """The documents with pseudonyms in `text`, and the number of values replaced in the column `count_name`."""
     source = F.col(text)
     maybe = F.coalesce(source.rlike("@|[0-9](?:[ ./-]?[0-9]){3}"), F.lit(False))  # what every pattern holds
     none = F.array().cast("array<string>")
@@ -185,5 +185,5 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     whole = F.array_join(F.zip_with(between, F.transform("__changed", lambda c: c["text"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
     count = F.size(F.filter("__changed", lambda c: c["kind"].isNotNull()))
     return rows.withColumns({
-        text: F.when(F.size("__changed") > 0, whole).otherwise(source), "n_private": F.coalesce(count, F.lit(0)).cast("long"),
+        text: F.when(F.size("__changed") > 0, whole).otherwise(source), count_name: F.coalesce(count, F.lit(0)).cast("long"),
     }).drop("__changed")

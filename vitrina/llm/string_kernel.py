@@ -114,7 +114,7 @@ def train(docs: DataFrame, usable: Column, per_class: int = PER_CLASS) -> Classi
 
     got = map_rows(drawn, pack, "bits binary", ("lang", "draw"), AT_ONCE).where("bits IS NOT NULL").select("lang", "draw", "bits").collect()
     got.sort(key=lambda r: (r.lang, r.draw))
-    bits = np.array([np.frombuffer(r.bits, np.uint8) for r in got]).reshape(len(got), -1)
+    bits = np.array([np.frombuffer(r.bits, np.uint8) for r in got], np.uint8).reshape(len(got), PLACES // 8)
     return fit(bits, [r.lang for r in got])
 
 

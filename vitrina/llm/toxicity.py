@@ -163,11 +163,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     return Scorer(lexicon, trees, boosting.fit_isotonic(raw, y))
 
 
-def score_documents(docs: DataFrame, scorer: Scorer, keep=("doc_id",)) -> DataFrame:
-    """score (0 to 1) and predicted (1 from 0.5) of every row."""
+def score_documents(docs: DataFrame, scorer: Scorer, keep=("doc_id",), names=("score", "predicted")) -> DataFrame:
+    """score (0 to 1) and predicted (1 from 0.5) of every row, under names that no kept column has."""
 
     def run(part):
         score = scorer.score(part.column("text").to_pylist())
-        return {"score": score, "predicted": (score >= 0.5).astype(np.int32)}
+        return {names[0]: score, names[1]: (score >= 0.5).astype(np.int32)}
 
-    return map_rows(docs.select(*dict.fromkeys([*keep, "text"])), run, "score double, predicted int", keep)
+    return map_rows(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{names[0]} double, {names[1]} int", keep)
