@@ -89,42 +89,70 @@ def _padded(value: Column, width) -> Column:
     return F.lpad(value.cast("string"), width, "0")
 
 
+def _let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once and written once: repeated expressions would multiply in the plan."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _card(token: Column, key: str) -> Column:
+    def permuted(f):
+        digits, high, low = f["digits"], f["high"], f["low"]
+        left, right = _number(F.substr(digits, F.lit(1), high)), _number(F.substr(digits, high + 1, low))
+        ten = lambda width: F.round(F.pow(F.lit(10.0), width)).cast("bigint")
+
+        def written(mixed):
+            body = F.concat(_padded(mixed["l"], high), _padded(mixed["r"], low))
+            return _let(body, lambda x: F.concat(x, ((F.lit(10) - _luhn(F.concat(x, F.lit("0"))) % 10) % 10).cast("string")))
+
+        sized = F.struct(ten(high).alias("a"), ten(low).alias("b"))
+        new = _let(sized, lambda s: _let(feistel(left, right, s["a"], s["b"], key, "card"), written))
+        return F.when(_luhn(digits) % 10 == 0, _lay(token, new))
+
     digits = _digits(token)
-    n = F.length(digits) - 1
-    high = F.floor(n / 2).cast("int")
-    low = n - high
-    left, right = _number(F.substr(digits, F.lit(1), high)), _number(F.substr(digits, high + 1, low))
-    ten = lambda width: F.round(F.pow(F.lit(10.0), width)).cast("bigint")
-    mixed = feistel(left, right, ten(high), ten(low), key, "card")
-    body = F.concat(_padded(mixed["l"], high), _padded(mixed["r"], low))
-    check = (F.lit(10) - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when(_luhn(digits) % 10 == 0, _lay(token, F.concat(body, check.cast("string"))))
+    high = F.floor((F.length(digits) - 1) / 2).cast("int")
+    return _let(F.struct(digits.alias("digits"), high.alias("high"), (F.length(digits) - 1 - high).alias("low")), permuted)
 
 
 def _phone(token: Column, key: str) -> Column:
-    digits = _digits(token)
-    lead, ten = F.substr(digits, F.lit(1), F.length(digits) - 10), F.right(digits, F.lit(10))
-    area, exchange, line = (_number(F.substr(ten, F.lit(p), F.lit(w))) for p, w in ((1, 3), (4, 3), (7, 4)))
-    american = (area >= 200) & (exchange >= 200)
-    # 800 area codes by 800 exchanges by 10,000 lines are 80,000 by 80,000.
-    value = ((area - 200) * 800 + (exchange - 200)) * 10_000 + line
-    inside = feistel(F.floor(value / 80_000), value % 80_000, 80_000, 80_000, key, "phone")
-    mixed = inside["l"] * 80_000 + inside["r"]
-    codes = F.floor(mixed / 10_000).cast("bigint")
-    new = F.concat((F.floor(codes / 800) + 200).cast("string"), (codes % 800 + 200).cast("string"), _padded(mixed % 10_000, 4))
-    # Other codes: only the line number is permuted, under its own codes, so both kinds stay apart.
-    rest = feistel(F.floor(line / 100), line % 100, 100, 100, key, "line")
-    other = F.concat(F.substr(ten, F.lit(1), F.lit(6)), _padded(rest["l"] * 100 + rest["r"], 4))
-    return _lay(token, F.concat(lead, F.when(american, new).otherwise(other)))
+    def numbered(digits):
+        ten = F.right(digits, F.lit(10))
+        area, exchange, line = (_number(F.substr(ten, F.lit(p), F.lit(w))).alias(n) for n, p, w in (("area", 1, 3), ("exchange", 4, 3), ("line", 7, 4)))
+        lead = F.substr(digits, F.lit(1), F.length(digits) - 10)
+        return _let(F.struct(area, exchange, line, lead.alias("lead"), F.substr(ten, F.lit(1), F.lit(6)).alias("codes")), permuted)
+
+    def american(f):
+        # 800 area codes by 800 exchanges by 10,000 lines are 80,000 by 80,000.
+        value = ((f["area"] - 200) * 800 + (f["exchange"] - 200)) * 10_000 + f["line"]
+        mixed = _let(value, lambda v: _let(feistel(F.floor(v / 80_000), v % 80_000, 80_000, 80_000, key, "phone"), lambda m: m["l"] * 80_000 + m["r"]))
+
+        def written(number):
+            codes = F.floor(number / 10_000).cast("bigint")
+            return F.concat((F.floor(codes / 800) + 200).cast("string"), (codes % 800 + 200).cast("string"), _padded(number % 10_000, 4))
+
+        return _let(mixed, written)
+
+    def permuted(f):
+        # Other codes: only the line number is permuted, under its own codes, so both kinds stay apart.
+        line = f["line"]
+        rest = _let(feistel(F.floor(line / 100), line % 100, 100, 100, key, "line"), lambda m: _padded(m["l"] * 100 + m["r"], 4))
+        valid = (f["area"] >= 200) & (f["exchange"] >= 200)
+        return _lay(token, F.concat(f["lead"], F.when(valid, american(f)).otherwise(F.concat(f["codes"], rest))))
+
+    return _let(_digits(token), numbered)
 
 
 def _ip(token: Column, key: str) -> Column:
-    parts = [_number(F.split_part(token, F.lit("."), F.lit(k))) for k in (1, 2, 3, 4)]
-    valid = (parts[0] <= 255) & (parts[1] <= 255) & (parts[2] <= 255) & (parts[3] <= 255)
-    mixed = feistel(parts[0] * 256 + parts[1], parts[2] * 256 + parts[3], 65_536, 65_536, key, "ip")
-    halves = [F.floor(mixed["l"] / 256), mixed["l"] % 256, F.floor(mixed["r"] / 256), mixed["r"] % 256]
-    return F.when(valid, F.concat_ws(".", *[h.cast("string") for h in halves]))
+    def permuted(p):
+        valid = (p[0] <= 255) & (p[1] <= 255) & (p[2] <= 255) & (p[3] <= 255)
+        mixed = feistel(p[0] * 256 + p[1], p[2] * 256 + p[3], 65_536, 65_536, key, "ip")
+
+        def written(m):
+            halves = [F.floor(m["l"] / 256), m["l"] % 256, F.floor(m["r"] / 256), m["r"] % 256]
+            return F.concat_ws(".", *[h.cast("string") for h in halves])
+
+        return F.when(valid, _let(mixed, written))
+
+    return _let(F.transform(F.split(token, r"\."), _number), permuted)
 
 
 def _date(token: Column, key: str) -> Column:
@@ -133,21 +161,31 @@ def _date(token: Column, key: str) -> Column:
     written = F.when(iso, token).otherwise(F.concat_ws("-", year, month, day))
     number = F.datediff(written.try_cast("date"), F.lit(EPOCH).cast("date"))
     a, b = DAYS
-    mixed = feistel(F.floor(number / b), number % b, a, b, key, "date")
-    new = F.date_add(F.lit(EPOCH).cast("date"), (mixed["l"] * b + mixed["r"]).cast("int"))
-    text = F.when(iso, F.date_format(new, "yyyy-MM-dd")).otherwise(F.date_format(new, "dd/MM/yyyy"))
-    return F.when(number.between(0, a * b - 1), text)
+
+    def permuted(n):
+        new = _let(
+            feistel(F.floor(n / b), n % b, a, b, key, "date"),
+            lambda m: F.date_add(F.lit(EPOCH).cast("date"), (m["l"] * b + m["r"]).cast("int")),
+        )
+        text = _let(new, lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd/MM/yyyy")))
+        return F.when(n.between(0, a * b - 1), text)
+
+    return _let(number, permuted)
 
 
 def _ssn(token: Column, key: str) -> Column:
-    digits = _digits(token)
-    area, group, serial = (_number(F.substr(digits, F.lit(p), F.lit(w))) for p, w in ((1, 3), (4, 2), (6, 4)))
-    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
-    place = F.when(area > 666, area - 2).otherwise(area - 1)  # 898 areas
-    mixed = feistel(place * 99 + group - 1, serial - 1, 898 * 99, 9_999, key, "ssn")
-    new = F.floor(mixed["l"] / 99) + 1
-    new = F.when(new >= 666, new + 1).otherwise(new)
-    return F.when(valid, F.concat_ws("-", _padded(new, 3), _padded(mixed["l"] % 99 + 1, 2), _padded(mixed["r"] + 1, 4)))
+    def permuted(p):
+        area, group, serial = p[0], p[1], p[2]
+        valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+        place = F.when(area > 666, area - 2).otherwise(area - 1)  # 898 areas
+
+        def written(m):
+            new = _let(F.floor(m["l"] / 99) + 1, lambda x: F.when(x >= 666, x + 1).otherwise(x))
+            return F.concat_ws("-", _padded(new, 3), _padded(m["l"] % 99 + 1, 2), _padded(m["r"] + 1, 4))
+
+        return F.when(valid, _let(feistel(place * 99 + group - 1, serial - 1, 898 * 99, 9_999, key, "ssn"), written))
+
+    return _let(F.transform(F.split(token, "-"), _number), permuted)
 
 
 def _email(token: Column, key: str) -> Column:
@@ -166,11 +204,14 @@ def _kind(token: Column) -> Column:
 def _pseudonym(token: Column, key: str) -> Column:
     """Struct kind (NULL if not valid) and text."""
     makers = {"email": _email, "phone": _phone, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card}
-    kind = _kind(token)
-    new = F.lit(None).cast("string")
-    for name in KINDS:
-        new = F.when(kind == name, makers[name](token, key)).otherwise(new)
-    return F.struct(F.when(new.isNotNull(), kind).alias("kind"), F.coalesce(new, token).alias("text"))
+
+    def chosen(kind):
+        new = F.lit(None).cast("string")
+        for name in KINDS:
+            new = F.when(kind == name, makers[name](token, key)).otherwise(new)
+        return _let(new, lambda n: F.struct(F.when(n.isNotNull(), kind).alias("kind"), F.coalesce(n, token).alias("text")))
+
+    return _let(_kind(token), chosen)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text", count_name: str = "n_private") -> DataFrame:
