@@ -249,7 +249,7 @@ def near_copies(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFr
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents, of each class only the one with the smallest id (NULL ids last); documents without words all stay."""
-    grouped = near_copies(docs)
+    grouped = stage_table(near_copies(docs))
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_key"))
     alone = F.startswith(F.col("class_key"), F.lit("-"))
     kept = grouped.where(~alone).groupBy("class_key").agg(F.min(first).alias("first")).select(F.col("first.row_key").alias("__kept_key"))
