@@ -139,12 +139,14 @@ def presence_flag(spark, sf_dir):
 
 @query
 def extract_listings(spark, sf_dir):
-    return extract.extract_listings(st.listing_pages(spark, sf_dir), st.LISTING_HOST, st.AS_OF)
+    return extract.extract_listings(
+        st.listing_pages(spark, sf_dir), st.LISTING_HOST, st.AS_OF, fv.ROWS_PER_TERM, blocks_per_page=fv.LISTING_BLOCKS_PER_PAGE
+    )
 
 
 @query
 def extract_postings(spark, sf_dir):
-    return extract.extract_postings(st.posting_pages(spark, sf_dir), st.POSTING_HOST, st.AS_OF)
+    return extract.extract_postings(st.posting_pages(spark, sf_dir), st.POSTING_HOST, st.AS_OF, fv.ROWS_PER_TERM)
 
 
 @query
@@ -358,7 +360,8 @@ def value_score(spark, sf_dir):
 @query
 def enrich_listings(spark, sf_dir):
     return enrich.enrich_listings(
-        st.raw_listings(spark, sf_dir), st.listing_details(spark, sf_dir), "categoria", st.LISTING_ORDER
+        st.raw_listings(spark, sf_dir), st.listing_details(spark, sf_dir), "categoria", st.LISTING_ORDER,
+        fv.ENRICHED_LISTINGS_PER_TERM,
     )
 
 
@@ -372,7 +375,7 @@ def enrich_listings_all(spark, sf_dir):
 @query
 def enrich_postings(spark, sf_dir):
     unique = ingest.dedup_postings(_numbered(spark, sf_dir), st.POSTING_ORDER)
-    return enrich.enrich_postings(unique, st.posting_details(spark, sf_dir), st.POSTING_ORDER)
+    return enrich.enrich_postings(unique, st.posting_details(spark, sf_dir), st.POSTING_ORDER, fv.ENRICHED_POSTINGS)
 
 
 # --- reports -------------------------------------------------------------------------------------------------------------
@@ -459,7 +462,8 @@ def run_metrics(spark, sf_dir):
 def run_listing_session(spark, sf_dir):
     result = run.run_listing_session(
         st.listing_pages(spark, sf_dir), st.listing_detail_pages(spark, sf_dir),
-        st.LISTING_TERMS, st.LISTING_HOST, staging.shared_folder(spark), st.AS_OF, stamp="20240201_120000",
+        st.LISTING_TERMS, st.LISTING_HOST, staging.shared_folder(spark), st.AS_OF, fv.ROWS_PER_TERM, stamp="20240201_120000",
+        blocks_per_page=fv.LISTING_BLOCKS_PER_PAGE, per_term=fv.ENRICHED_LISTINGS_PER_TERM,
     )
     return result.select("kind", "rows_extracted", "rows_unique", "duplicates_dropped", "rows_valid", "success")
 
@@ -468,7 +472,8 @@ def run_listing_session(spark, sf_dir):
 def run_posting_session(spark, sf_dir):
     result = run.run_posting_session(
         st.posting_pages(spark, sf_dir), st.posting_detail_pages(spark, sf_dir),
-        st.SEGMENTS, st.POSTING_HOST, staging.shared_folder(spark), st.AS_OF, stamp="20240201_120000",
+        st.SEGMENTS, st.POSTING_HOST, staging.shared_folder(spark), st.AS_OF, fv.ROWS_PER_TERM, stamp="20240201_120000",
+        limit=fv.ENRICHED_POSTINGS,
     )
     return result.select("kind", "rows_extracted", "rows_unique", "duplicates_dropped", "rows_valid", "success")
 
@@ -493,7 +498,7 @@ def dedup_postings(spark, sf_dir):
 
 @query
 def cap_per_term(spark, sf_dir):
-    return ingest.cap_per_term(st.raw_listings(spark, sf_dir), "categoria", st.LISTING_ORDER)
+    return ingest.cap_per_term(st.raw_listings(spark, sf_dir), "categoria", st.LISTING_ORDER, fv.ROWS_PER_TERM)
 
 
 @query

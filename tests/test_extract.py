@@ -100,7 +100,7 @@ def test_all_fixed_selectors_are_understood():
 
 
 def test_listings(pages):
-    rows = extract.extract_listings(pages, HOST, AS_OF).orderBy("page_id", "pos").collect()
+    rows = extract.extract_listings(pages, HOST, AS_OF, 50, blocks_per_page=20).orderBy("page_id", "pos").collect()
     first = [r for r in rows if r.page_id == 1]
     assert [(r.pos, r.producto, r.precio, r.vendedor, r.url_producto, r.envio_gratis, r.imagen_url) for r in first] == [
         (1, "Mesa de roble & pino", "$1.250", "Por ACME", f"{HOST}/mesa-1", "Sí", "https://img/1.png"),
@@ -111,7 +111,7 @@ def test_listings(pages):
     assert [(r.pos, r.producto) for r in rows if r.page_id == 2] == [(i, f"Lámpara {i}") for i in range(1, 21)]
     assert {r.page_id for r in rows} == {1, 2}
     # The cap counts usable blocks, before cards without price are dropped.
-    capped = extract.extract_listings(pages, HOST, AS_OF, max_cards=3).where("page_id = 1").collect()
+    capped = extract.extract_listings(pages, HOST, AS_OF, max_cards=3, blocks_per_page=20).where("page_id = 1").collect()
     assert sorted(r.pos for r in capped) == [1, 2]
 
 
@@ -164,14 +164,38 @@ def test_generic_operators(pages):
 
 def test_sessions(spark, pages, tmp_path):
     details = pages.where("page_id = 4").select("page_id", "url", "html", F.lit(1).alias("fetched_at"))
-    result = run.run_listing_session(pages, details, ["luz", "mesa"], HOST, str(tmp_path), AS_OF, stamp="1").first()
+    result = run.run_listing_session(pages, details, ["luz", "mesa"], HOST, str(tmp_path), AS_OF, stamp="1", blocks_per_page=20, per_term=8).first()
     assert (result.rows_extracted, result.rows_unique, result.duplicates_dropped, result.rows_valid, result.success) == (23, 22, 1, 22, True)
     rows = {r.producto: r for r in spark.read.csv(result.path, header=True).collect()}
     assert (rows["Mesa de roble & pino"].ubicacion, rows["Mesa de roble & pino"].reputacion_vendedor) == ("Rosario", "Verde oscuro")
     assert rows["Estante"].ubicacion == "No disponible" and "Mesa repetida" not in rows
-    trial = run.run_listing_session(pages, None, ["luz"], HOST, str(tmp_path), AS_OF, fv.ROWS_PER_TERM_TRIAL, stamp="2").first()
+    trial = run.run_listing_session(pages, None, ["luz"], HOST, str(tmp_path), AS_OF, fv.ROWS_PER_TERM_TRIAL, stamp="2", blocks_per_page=20).first()
     assert trial.rows_valid == 10
     empty = run.run_listing_session(pages, None, ["nada"], HOST, str(tmp_path), AS_OF, stamp="3").first()
     assert (empty.success, empty.path, empty.rows_extracted) == (False, None, 0) and not (tmp_path / "listings_3.csv").exists()
     jobs = run.run_posting_session(pages, None, ["dev"], HOST, str(tmp_path), AS_OF, stamp="1").first()
     assert (jobs.rows_extracted, jobs.rows_valid) == (2, 2)
+
+
+def test_stray_end_tags_take_linear_time():
+    import time
+
+    def seconds(n):
+        started = time.perf_counter()
+        page = "<div>" * 300 + "<b>" * 300 + "</section></i></em>" * n
+        Document(page)
+        return time.perf_counter() - started
+
+    seconds(2000)
+    assert seconds(40_000) < 60 * max(seconds(4_000), 0.005)
+
+
+def test_no_cap_is_the_default(spark):
+    from vitrina.operators import ingest
+
+    many = "".join(f'<li class="ui-search-layout__item"><h2>Mesa {k} roble</h2></li>' for k in range(70))
+    frame = spark.createDataFrame([(1, "u", many, "mesa")], "page_id long, url string, html string, term string")
+    capped = run.listing_cards(frame, ["mesa"], HOST, AS_OF, 50, 20).count()
+    everything = run.listing_cards(frame, ["mesa"], HOST, AS_OF, None).count()
+    assert everything >= capped and run.listing_cards(frame, ["mesa"], HOST, AS_OF).count() == everything
+    assert ingest.cap_per_term(spark.range(99).selectExpr("id AS pos", "'a' AS categoria")).count() == 99

@@ -110,7 +110,7 @@ def test_enrich_postings(spark):
         [(f"http://x/{i}", when, " " + "d" * 300 if i % 2 else "No disponible", "Senior" if i % 3 else "No disponible", f"b{when}")
          for i in range(30) for when in (1, 2)],
         "url string, fetched_at int, descripcion_completa string, nivel_experiencia string, beneficios_ofrecidos string")
-    got = {r.pos: r for r in enrich.enrich_postings(postings, details).collect()}
+    got = {r.pos: r for r in enrich.enrich_postings(postings, details, limit=20).collect()}
     assert len(got) == 60
     for pos, row in got.items():
         hit = pos < 20 and pos % 4
@@ -155,3 +155,12 @@ def test_documented_reports(spark):
     priced = spark.createDataFrame([("a", 1.0), ("a", 3.0), (None, 9.0), ("b", 5.0)], "categoria string, precio_numerico double")
     stats = [tuple(r) for r in reports.category_price_stats(priced).collect()]
     assert stats == [("a", 2.0, 2, pytest.approx(2 ** 0.5)), ("b", 5.0, 1, None)]
+
+
+def test_rows_that_share_a_key_are_not_multiplied(spark):
+    rows = spark.createDataFrame([("a", 1, "http://x/1"), ("a", 1, "http://x/1"), ("a", 1, "http://x/2")], "categoria string, pos int, url_producto string")
+    rows = rows.selectExpr("*", "'-' AS ubicacion", "'-' AS reputacion_vendedor")
+    details = spark.createDataFrame([(f"http://x/{k}", f"2024-01-0{k}", f"place {k}", "r") for k in (1, 2)], "url string, fetched_at string, ubicacion string, reputacion_vendedor string")
+    for per_term in (8, None):
+        got = enrich.enrich_listings(rows, details, per_term=per_term).collect()
+        assert sorted((r.url_producto, r.ubicacion) for r in got) == [("http://x/1", "place 1")] * 2 + [("http://x/2", "place 2")]

@@ -47,7 +47,7 @@ def test_single_tasks_see_only_bounded_rows(spark):
 
 def test_top_rows_need_no_sort_of_everything(spark):
     assert "TakeOrderedAndProject" in plan(QUERIES["report_value_ranking_top"](spark, SF))
-    chosen = enrich.chosen_postings(ingest.dedup_postings(_numbered(spark, SF), st.POSTING_ORDER), st.POSTING_ORDER)
+    chosen = enrich.chosen_postings(ingest.dedup_postings(_numbered(spark, SF), st.POSTING_ORDER), st.POSTING_ORDER, 20)
     assert "TakeOrderedAndProject" in plan(chosen)
 
 
@@ -60,7 +60,7 @@ def test_few_updates_do_not_shuffle_the_table(spark, name):
 
 
 def test_groups_are_cut_before_the_shuffle_for_the_chosen(spark):
-    text = plan(enrich.chosen_listings(st.raw_listings(spark, SF), "categoria", st.LISTING_ORDER))
+    text = plan(enrich.chosen_listings(st.raw_listings(spark, SF), "categoria", st.LISTING_ORDER, 8))
     assert "WindowGroupLimit" in text and "Partial" in text and "l_extendedprice" in text and "l_tax" not in text
 
 

@@ -131,3 +131,21 @@ def test_run_folder_goes_with_its_run(spark):
             assert hadoop.exists(spark, folder)
             raise RuntimeError
     assert not hadoop.exists(spark, folder)
+
+
+def test_columns_by_name(spark, tmp_path):
+    names = [*fv.LISTING_COLUMNS][::-1]
+    values = {name: f"v_{name}" for name in names}
+    (tmp_path / "moved.csv").write_text(",".join(["extra", *names]) + "\n" + ",".join(["x", *values.values()]) + "\n")
+    row = snapshots.scan_listings(spark, f"{tmp_path}/moved.csv").first()
+    assert row.asDict() == values and row.__fields__ == [*fv.LISTING_COLUMNS]
+    (tmp_path / "short.csv").write_text(",".join(names[1:]) + "\n")
+    with pytest.raises(ValueError, match=names[0]):
+        snapshots.scan_listings(spark, f"{tmp_path}/short.csv")
+
+
+def test_unfinished_snapshot_is_not_newest(spark, tmp_path):
+    sinks.write_csv(spark.range(3), f"{tmp_path}/listings_1.csv")
+    (tmp_path / "listings_2.csv").mkdir()
+    (tmp_path / "listings_2.csv" / "part-00000.csv").write_text("id\n1\n")
+    assert snapshots.latest_snapshot(spark, str(tmp_path), "listings_").endswith("/listings_1.csv")

@@ -37,10 +37,6 @@ def na_to_null(text: Column) -> Column:
     return F.when(~text.isin(*fv.NA_TOKENS), text)
 
 
-def blank_to_null(text: Column) -> Column:
-    return F.when(strip(text) != "", text)
-
-
 def clean_text(text: Column, sentinels: Sequence[str] = fv.LISTING_SENTINELS) -> Column:
     """Export form of a text. The sentinel test sees the untrimmed value, so white space alone ends up as ''."""
     missing = text.isNull() | (text == "") | text.isin(*sentinels)

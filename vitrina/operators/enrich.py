@@ -53,15 +53,16 @@ def _same_url(left: str, right: str) -> Column:
 
 
 def _update_chosen(
-    rows: DataFrame, chosen: DataFrame, details: DataFrame, latest: Parse, keys: Sequence[str], fields: Sequence[str]
+    rows: DataFrame, url: str, chosen: DataFrame, details: DataFrame, latest: Parse, keys: Sequence[str], fields: Sequence[str]
 ) -> DataFrame:
     """Few rows to enrich: join these with their details, and bring the outcome back on the unique order key."""
     chosen = stage_table(chosen)
     found = _prefixed(latest(of_chosen(details, chosen)))
     updates = stage_table(
-        chosen.join(found, _same_url("url", "__url")).select(*keys, *[F.col(f"__{n}").alias(n) for n in fields])
+        chosen.distinct().join(found, _same_url("url", "__url")).select(*keys, F.col("url").alias("found_url"), *[F.col(f"__{n}").alias(n) for n in fields])
     )
-    same_row = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in keys])
+    # Rows may share a key (a page stored twice); with the url, an update is one row, and no row is multiplied.
+    same_row = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in keys], F.col(url) == F.col("__found_url"))
     return _merge(rows, _prefixed(updates), same_row, fields)
 
 
@@ -87,7 +88,7 @@ def chosen_listings(
     listings: DataFrame,
     term: str = "categoria",
     order_by: Sequence[str] = ("pos",),
-    per_term: int | None = fv.ENRICHED_LISTINGS_PER_TERM,
+    per_term: int | None = None,
 ) -> DataFrame:
     """Order key and url of the listings to enrich: the first `per_term` of each term, if they have a url."""
     chosen = listings.select(term, *order_by, F.col("url_producto").alias("url"))
@@ -97,7 +98,7 @@ def chosen_listings(
 
 
 def chosen_postings(
-    postings: DataFrame, order_by: Sequence[str] = ("term_no", "pos"), limit: int | None = fv.ENRICHED_POSTINGS
+    postings: DataFrame, order_by: Sequence[str] = ("term_no", "pos"), limit: int | None = None
 ) -> DataFrame:
     """Order key and url of the postings to enrich: the first `limit` overall, if they have a url.
 
@@ -120,7 +121,7 @@ def enrich_listings(
     details: DataFrame,
     term: str = "categoria",
     order_by: Sequence[str] = ("pos",),
-    per_term: int | None = fv.ENRICHED_LISTINGS_PER_TERM,
+    per_term: int | None = None,
     parse: Parse | None = None,
 ) -> DataFrame:
     """Place and reputation from the details for the first `per_term` listings of each term (None: all).
@@ -139,14 +140,14 @@ def enrich_listings(
     if per_term is None:
         return _update_all(listings, "url_producto", latest(details), keys, fields)
     chosen = chosen_listings(listings, term, order_by, per_term)
-    return _update_chosen(listings, chosen, details, latest, keys, fields)
+    return _update_chosen(listings, "url_producto", chosen, details, latest, keys, fields)
 
 
 def enrich_postings(
     postings: DataFrame,
     details: DataFrame,
     order_by: Sequence[str] = ("term_no", "pos"),
-    limit: int | None = fv.ENRICHED_POSTINGS,
+    limit: int | None = None,
     parse: Parse | None = None,
 ) -> DataFrame:
     """Snippet, level and benefits from the details for the first `limit` postings overall (None: all).
@@ -167,4 +168,4 @@ def enrich_postings(
     keys = list(order_by)
     if limit is None:
         return _update_all(postings, "url_empleo", latest(details), keys, fields)
-    return _update_chosen(postings, chosen_postings(postings, order_by, limit), details, latest, keys, fields)
+    return _update_chosen(postings, "url_empleo", chosen_postings(postings, order_by, limit), details, latest, keys, fields)

@@ -8,7 +8,7 @@ validation - are Columns after it.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -191,7 +191,6 @@ def _extraction_day(as_of: str | None) -> Column:
 
 LISTING_CARD = Spec(
     containers=fv.LISTING_CONTAINERS,
-    limit=fv.LISTING_BLOCKS_PER_PAGE,
     first_only=False,
     fields=(
         Field("titles", fv.LISTING_TITLES),
@@ -209,21 +208,26 @@ def parse_valid_listing(title: Column, price: Column) -> Column:
 
 
 def extract_listings(
-    pages: DataFrame, host: str, as_of: str | None = None, max_cards: int = fv.ROWS_PER_TERM, spec: Spec = LISTING_CARD
+    pages: DataFrame, host: str, as_of: str | None = None, max_cards: int | None = None, spec: Spec = LISTING_CARD,
+    blocks_per_page: int | None = None,
 ) -> DataFrame:
     """Listings on stored result pages (page_id, url, html, term), `pos` being the place of the card on its page.
 
-    The container selector that counts is the first with a usable block among its first blocks.
+    The container selector that counts is the first with a usable block among its first `blocks_per_page` blocks (None: all),
+    and at most `max_cards` of its cards are taken (None: all).
     """
+    if blocks_per_page is not None:
+        spec = replace(spec, limit=blocks_per_page)
     found = extract_records(pages, spec).withColumn(
         "usable", F.filter("blocks", lambda block: is_listing_block(block["content"]))
     )
     chosen = F.array_min(F.transform("usable", lambda block: block["sel"]))
+    cards = F.filter("usable", lambda b: b["sel"] == F.col("chosen"))
     cards = (
         found.withColumn("chosen", chosen)
         .select(
             "page_id", "term",
-            F.explode(F.slice(F.filter("usable", lambda b: b["sel"] == F.col("chosen")), 1, max_cards)).alias("card"),
+            F.explode(cards if max_cards is None else F.slice(cards, 1, max_cards)).alias("card"),
         )
         .select("page_id", "term", "card.*")
     )
@@ -294,7 +298,7 @@ def listing_detail_updates(pages: DataFrame) -> DataFrame:
     )
 
 
-def posting_card(max_cards: int) -> Spec:
+def posting_card(max_cards: int | None) -> Spec:
     return Spec(
         containers=fv.POSTING_CONTAINERS,
         limit=max_cards,
@@ -316,7 +320,7 @@ def parse_valid_posting(title: Column, company: Column) -> Column:
 
 
 def extract_postings(
-    pages: DataFrame, host: str, as_of: str | None = None, max_cards: int = fv.ROWS_PER_TERM
+    pages: DataFrame, host: str, as_of: str | None = None, max_cards: int | None = None
 ) -> DataFrame:
     """Postings on stored result pages (page_id, url, html, term); `indice` = `pos` = place of the card on its page."""
     found = extract_records(pages, posting_card(max_cards))

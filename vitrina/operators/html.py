@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from html import unescape
 
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +50,7 @@ class Document:
         self.by_tag, self.by_class = defaultdict(list), defaultdict(list)
         self._children: dict[int, list[int]] = {}
         self._open = [0]
+        self._open_count = Counter()  # open elements by tag
         self._hidden = 0
         self._read(html)
         while self._open:
@@ -106,9 +107,12 @@ class Document:
         self.by_tag[tag].append(index)
         if tag not in _VOID:
             self._open.append(index)
+            self._open_count[tag] += 1
             self._hidden += tag in _HIDDEN
 
     def _end_tag(self, tag: str):
+        if not self._open_count[tag]:
+            return  # nothing to close: no walk through the open elements
         for depth in range(len(self._open) - 1, 0, -1):
             if self.tag[self._open[depth]] == tag:
                 while len(self._open) > depth:
@@ -116,6 +120,8 @@ class Document:
                 return
 
     def _close_open(self, tags, scope):
+        if not any(self._open_count[tag] for tag in tags):
+            return
         for depth in range(len(self._open) - 1, 0, -1):
             name = self.tag[self._open[depth]]
             if name in tags:
@@ -127,6 +133,7 @@ class Document:
 
     def _pop(self):
         index = self._open.pop()
+        self._open_count[self.tag[index]] -= 1
         self.end[index] = len(self.tag)
         self.last_piece[index] = len(self.pieces)
         self._hidden -= self.tag[index] in _HIDDEN

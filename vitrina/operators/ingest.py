@@ -38,8 +38,10 @@ def number_terms(rows: DataFrame, term: str, terms: Sequence[str]) -> DataFrame:
     return rows.where(F.col(term).isin(*terms)).withColumn("term_no", number.otherwise(None))
 
 
-def first_rows(rows: DataFrame, keys: Sequence[str], order_by: Sequence, n: int = 1) -> DataFrame:
-    """The first `n` rows of every key. Exact for any `n` and for hot keys."""
+def first_rows(rows: DataFrame, keys: Sequence[str], order_by: Sequence, n: int | None = 1) -> DataFrame:
+    """The first `n` rows of every key (None: all). Exact for any `n` and for hot keys."""
+    if n is None:
+        return rows
     if n > _MAP_SIDE_LIMIT:
         # Cut every key in slices first, so that no task sees more than n rows of _SPREAD slices of it.
         slices = Window.partitionBy(*keys, "__slice").orderBy(*order_by)
@@ -54,8 +56,9 @@ def first_rows(rows: DataFrame, keys: Sequence[str], order_by: Sequence, n: int
 
 
 def cap_per_term(
-    rows: DataFrame, term: str = "categoria", order_by: Sequence[str] = ("pos",), n: int = fv.ROWS_PER_TERM
+    rows: DataFrame, term: str = "categoria", order_by: Sequence[str] = ("pos",), n: int | None = None
 ) -> DataFrame:
+    """The first `n` rows of every term; all of them without `n`."""
     return first_rows(rows, [term], order_by, n)
 
 

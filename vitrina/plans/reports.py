@@ -80,7 +80,8 @@ def value_bucket(value: Column) -> Column:
     Declared free of NULL, so that a join on it does not repeat the whole expression in a pushed-down null filter.
     """
     size = F.coalesce(F.floor(F.log2(1.0 + F.abs(value)) * 1024.0), F.lit(0).cast("bigint"))
-    return F.when(value < 0, -size - 1).otherwise(size)
+    above_all = F.lit(2**63 - 1)  # NaN sorts above infinity
+    return F.when(F.isnan(value), above_all).when(value < 0, -F.least(size, F.lit(2**62)) - 1).otherwise(F.least(size, F.lit(2**62)))
 
 
 def _median_row(rows: DataFrame, value: Column, sums: dict[str, Column]) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
-from vitrina import fixed_values as fv
 from vitrina.operators import enrich, extract, ingest
 from vitrina.plans import clean, reports
 from vitrina.sources import sinks, snapshots, staging
@@ -63,15 +62,16 @@ def run_analysis(
 
 
 def listing_cards(
-    pages: DataFrame, terms: Sequence[str], host: str, as_of: str | None = None, max_rows: int = fv.ROWS_PER_TERM
+    pages: DataFrame, terms: Sequence[str], host: str, as_of: str | None = None, max_rows: int | None = None,
+    blocks_per_page: int | None = None,
 ) -> DataFrame:
     """Cards of stored result pages, numbered by term and capped; duplicates still in."""
-    rows = ingest.number_terms(extract.extract_listings(pages, host, as_of, max_rows), "categoria", terms)
+    rows = ingest.number_terms(extract.extract_listings(pages, host, as_of, max_rows, blocks_per_page=blocks_per_page), "categoria", terms)
     return ingest.cap_per_term(rows, "categoria", ("page_id", "pos"), max_rows)
 
 
 def posting_cards(
-    pages: DataFrame, terms: Sequence[str], host: str, as_of: str | None = None, max_rows: int = fv.ROWS_PER_TERM
+    pages: DataFrame, terms: Sequence[str], host: str, as_of: str | None = None, max_rows: int | None = None
 ) -> DataFrame:
     """Cards of stored posting pages, numbered by term and capped; duplicates still in."""
     rows = ingest.number_terms(extract.extract_postings(pages, host, as_of, max_rows), "term", terms)
@@ -106,25 +106,28 @@ def run_listing_session(
     host: str,
     out_dir: str,
     as_of: str | None = None,
-    max_rows: int = fv.ROWS_PER_TERM,
+    max_rows: int | None = None,
     prefix: str = "listings_",
     stamp: str | None = None,
+    blocks_per_page: int | None = None,
+    per_term: int | None = None,
 ) -> DataFrame:
     """Pages to a written listing snapshot; one row with the counts, the path and the duration of the run.
 
-    Details (from stored `detail_pages` with url, html, fetched_at) apply before deduplication, to the first rows of every
-    term; only the pages of these rows are parsed.
+    Details (from stored `detail_pages` with url, html, fetched_at) apply before deduplication, to the first `per_term` rows of
+    every term (only their pages are parsed), or to all. `max_rows` caps a page and a term, `blocks_per_page` the blocks looked at;
+    None, the default, means no cap.
     """
 
     def finish(cards: DataFrame) -> DataFrame:
         place = ("page_id", "pos")
         if detail_pages is not None:
             cards = enrich.enrich_listings(
-                cards, detail_pages, "categoria", place, parse=extract.listing_detail_updates
+                cards, detail_pages, "categoria", place, per_term, parse=extract.listing_detail_updates
             )
         return ingest.dedup_listings(cards, ("term_no", *place))
 
-    cards = listing_cards(pages, terms, host, as_of, max_rows)
+    cards = listing_cards(pages, terms, host, as_of, max_rows, blocks_per_page)
     return _session(pages.sparkSession, "listings", cards, finish, sinks.export_listings, out_dir, prefix, stamp)
 
 
@@ -135,18 +138,19 @@ def run_posting_session(
     host: str,
     out_dir: str,
     as_of: str | None = None,
-    max_rows: int = fv.ROWS_PER_TERM,
+    max_rows: int | None = None,
     prefix: str = "postings_",
     stamp: str | None = None,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Pages to a written posting snapshot. Details apply after deduplication, to the first rows overall."""
+    """Pages to a written posting snapshot. Details apply after deduplication, to the first `limit` rows overall (None: all)."""
 
     def finish(cards: DataFrame) -> DataFrame:
         place = ("term_no", "page_id", "pos")
         rows = ingest.dedup_postings(cards, place)
         if detail_pages is None:
             return rows
-        return enrich.enrich_postings(rows, detail_pages, place, parse=extract.posting_detail)
+        return enrich.enrich_postings(rows, detail_pages, place, limit, parse=extract.posting_detail)
 
     cards = posting_cards(pages, terms, host, as_of, max_rows)
     return _session(pages.sparkSession, "postings", cards, finish, sinks.export_postings, out_dir, prefix, stamp)

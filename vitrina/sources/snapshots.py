@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StringType, StructField, StructType
 
 from vitrina.plans.clean import null_missing
 from vitrina.schemas import LISTING_SCHEMA, POSTING_SCHEMA
+from vitrina.sources import hadoop
 
 
 def scan_snapshot(spark: SparkSession, path: str, schema: StructType, multi_line: bool = True) -> DataFrame:
     """A headed CSV file, or a directory of part files, with missing-value texts as NULL.
 
+    Columns are taken by the names in the header, in any order; further columns are left out, a missing one is an error, and
+    so is a part file whose header differs from the others.
+
     Quoted line breaks need `multi_line`, which reads every file in one task; snapshots written by `sinks` are cut into
     files of bounded length. Set it to False for single huge files known to hold one record per line: they then split.
     """
-    rows = (
-        spark.read.schema(schema)
-        .option("header", True)
+    reader = (
+        spark.read.option("header", True)
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multi_line)
         .option("mode", "PERMISSIVE")
-        .csv(path)
     )
-    return null_missing(rows)
+    names = reader.csv(path).columns
+    missing = [name for name in schema.names if name not in names]
+    if missing:
+        raise ValueError(f"{path} has no column {', '.join(missing)}")
+    written = StructType([StructField(name, StringType()) for name in names])
+    rows = reader.option("enforceSchema", False).schema(written).csv(path)
+    return null_missing(rows.select(*schema.names))
 
 
 def scan_listings(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -37,20 +44,15 @@ def scan_postings(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 
 def latest_snapshot(spark: SparkSession, directory: str, prefix: str) -> str:
-    """Path of the newest `prefix*.csv` below the directory, a file or a directory of part files.
+    """Path of the newest finished `prefix*.csv` in the directory: a file, or a directory of part files with `_SUCCESS`.
 
-    Only the file listing is read (path and modification time), no content. Equal times are settled by the path.
+    Only the names in the directory itself are listed, however many part files its snapshots have. Equal times are settled
+    by the path.
     """
-    missing = FileNotFoundError(f"no snapshot {prefix}*.csv in {directory}")
     root = directory.rstrip("/")
-    try:
-        files = spark.read.format("binaryFile").load(f"{root}/{prefix}*.csv")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        raise missing from None
-    name = F.regexp_extract("path", r"^(.*?\.csv)(/[^/]*)?$", 1)
-    newest = files.agg(F.max_by(name, F.struct("modificationTime", "path")).alias("snapshot")).first()
-    if newest.snapshot is None:
-        raise missing
-    return newest.snapshot
+    listed = hadoop.list_folder(spark, root) if hadoop.exists(spark, root) else []
+    found = [(time, path, folder) for name, path, folder, time in listed if name.startswith(prefix) and name.endswith(".csv")]
+    for _, path, folder in sorted(found, reverse=True):
+        if not folder or hadoop.exists(spark, f"{path}/_SUCCESS"):
+            return path
+    raise FileNotFoundError(f"no snapshot {prefix}*.csv in {directory}")
