@@ -164,3 +164,11 @@ def test_rows_that_share_a_key_are_not_multiplied(spark):
     for per_term in (8, None):
         got = enrich.enrich_listings(rows, details, per_term=per_term).collect()
         assert sorted((r.url_producto, r.ubicacion) for r in got) == [("http://x/1", "place 1")] * 2 + [("http://x/2", "place 2")]
+
+
+def test_median_with_nan_and_infinity(spark):
+    for values in ([1.0, 2.0, 3.0, 4.0, float("nan")], [float("-inf"), -2.0, 5.0, float("inf"), float("nan")], [float("nan")] * 2 + [1.0]):
+        frame = spark.createDataFrame([(v,) for v in values], "v double")
+        want = frame.agg(F.median("v")).first()[0]
+        got = reports.exact_median(frame, "v").first().median
+        assert got == want or (got != got and want != want)
