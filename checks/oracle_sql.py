@@ -145,6 +145,7 @@ def _number_terms() -> str:
 # --- scans, sources, sinks -----------------------------------------------------------------------------------------------
 
 ORACLE["scan_listings"] = f"WITH {RAW_L} SELECT {_na(fv.LISTING_COLUMNS)} FROM raw"
+ORACLE["scan_listings_reordered"] = ORACLE["scan_listings"]
 ORACLE["scan_postings"] = f"WITH {RAW_P} SELECT {_na(fv.POSTING_COLUMNS)} FROM rawp"
 ORACLE["latest_snapshot"] = f"""
 WITH {LISTINGS} SELECT categoria, count(*) AS n, 'listings_1.csv' AS snapshot FROM known GROUP BY categoria"""
@@ -203,17 +204,21 @@ def _untag(expr: str) -> str:
 
 
 NAV = "regexp_extract(html, '<nav>(.*?)</nav>', 1, 's')"
-ORACLE["extract_containers"] = f"""
+CONTAINERS = f"""
 WITH items AS (SELECT page_id, unnest(regexp_extract_all({NAV}, '<li>(.*?)</li>', 1)) AS item,
   unnest(range(1, len(regexp_extract_all({NAV}, '<li>(.*?)</li>', 1)) + 1)) AS pos FROM pages)
-SELECT page_id, CAST(pos AS INTEGER) AS pos, {_untag("item")} AS content FROM items WHERE pos <= 4"""
-ORACLE["container_text_filter"] = f"""
+SELECT page_id, CAST(pos AS INTEGER) AS pos, {_untag("item")} AS content FROM items"""
+ORACLE["extract_containers"] = CONTAINERS
+ORACLE["extract_containers_capped"] = f"{CONTAINERS} WHERE pos <= 4"
+FILTERED = f"""
 WITH parts AS (
   SELECT page_id, unnest(string_split(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<p>')[2:]) AS part,
     unnest(range(1, len(string_split(regexp_extract(html, '<article>(.*?)</article>', 1, 's'), '<p>')))) AS pos
   FROM pages),
 texts AS (SELECT page_id, CAST(pos AS INTEGER) AS pos, {_untag("string_split(part, '</p>')[1]")} AS content FROM parts)
-SELECT * FROM texts WHERE pos <= 20 AND length({_strip("content")}) > 50 AND {_has("lower(content)", "$", "precio", "envío")}"""
+SELECT * FROM texts WHERE length({_strip("content")}) > 50 AND {_has("lower(content)", "$", "precio", "envío")}"""
+ORACLE["container_text_filter"] = FILTERED
+ORACLE["container_text_filter_capped"] = f"{FILTERED} AND pos <= 20"
 ORACLE["listing_block_text"] = f"""
 SELECT doc_id, length({_strip("text")}) > 50 AND {_has("lower(text)", "$", "precio", "envío")} AS usable FROM documents"""
 ORACLE["first_match_text"] = f"""
@@ -225,10 +230,8 @@ ORACLE["presence_flag"] = f"""
 SELECT page_id, CASE WHEN contains(html, '<time') OR regexp_matches({NAV}, '<a href="[^"]*tion') THEN 'Sí' ELSE 'No' END AS flag
 FROM pages"""
 
-CARDS = f"""
-cards AS (
-  SELECT *, (p_partkey + i) % 8 AS k FROM (SELECT *, unnest(range(1, p_size + 1)) AS i FROM part) WHERE i <= 20
-),
+ALL_CARDS = f"""
+cards AS (SELECT *, (p_partkey + i) % 8 AS k FROM (SELECT *, unnest(range(1, p_size + 1)) AS i FROM part)),
 extracted AS (
   SELECT p_partkey AS page_id, CAST(i AS INTEGER) AS pos,
     CASE k WHEN 0 THEN 'Modelo ' || i || ' ' || p_name || ' & más' WHEN 1 THEN 'Artículo ' || i || ' ' || p_name
@@ -243,17 +246,25 @@ extracted AS (
     CASE WHEN k = 0 THEN 'https://img.example.com/' || p_partkey || '.jpg' ELSE 'N/A' END AS imagen_url, '' AS condicion
   FROM cards WHERE k IN (0, 1, 6, 7)
 )"""
-ORACLE["extract_listings"] = f"WITH {CARDS} SELECT * FROM extracted"
-ORACLE["run_listing_session"] = f"""
-WITH {CARDS},
+ORACLE["extract_listings"] = f"WITH {ALL_CARDS} SELECT * FROM extracted"
+ORACLE["extract_listings_capped"] = f"WITH {ALL_CARDS} SELECT * FROM extracted WHERE pos <= 20"
+
+
+def _listing_session(block: str, row: str) -> str:
+    return f"""
+WITH {ALL_CARDS},
 numbered AS (SELECT *, list_position({list(st.LISTING_TERMS)}, categoria) AS term_no,
   row_number() OVER (PARTITION BY categoria ORDER BY page_id, pos) AS rn FROM extracted
-  WHERE categoria IN {_in(st.LISTING_TERMS)}),
+  WHERE {block} AND categoria IN {_in(st.LISTING_TERMS)}),
 capped AS (SELECT *, CASE WHEN url_producto <> 'N/A' THEN url_producto ELSE producto || '_' || precio || '_' || vendedor END AS k
-  FROM numbered WHERE rn <= 50)
+  FROM numbered WHERE {row})
 SELECT 'listings' AS kind, count(*) AS rows_extracted, count(DISTINCT k) AS rows_unique,
   count(*) - count(DISTINCT k) AS duplicates_dropped, count(DISTINCT k) AS rows_valid, true AS success FROM capped"""
 
+
+ORACLE["run_listing_session"] = _listing_session("true", "true")
+ORACLE["run_listing_session_capped"] = _listing_session("pos <= 20", "rn <= 50")
+
 POSTED_CARDS = f"""
 cards AS (
   SELECT *, (c_custkey + i) % 6 AS k FROM (SELECT *, unnest(range(1, CAST(2 + c_custkey % 9 AS INTEGER))) AS i FROM customer)
@@ -276,14 +287,22 @@ extracted AS (SELECT c_custkey AS page_id, CAST(i AS INTEGER) AS pos, c_mktsegme
   'No disponible' AS nivel_experiencia, 'No disponible' AS beneficios_ofrecidos
 FROM cards WHERE k IN (0, 1, 3, 5))"""
 ORACLE["extract_postings"] = f"WITH {POSTED_CARDS} SELECT * FROM extracted"
-ORACLE["run_posting_session"] = f"""
+ORACLE["extract_postings_capped"] = ORACLE["extract_postings"]  # no page has 50 cards
+
+
+def _posting_session(row: str) -> str:
+    return f"""
 WITH {POSTED_CARDS},
 ranked AS (SELECT *, row_number() OVER (PARTITION BY term ORDER BY page_id, pos) AS rn FROM extracted
   WHERE term IN {_in(st.SEGMENTS)}),
-capped AS (SELECT * FROM ranked WHERE rn <= 50)
+capped AS (SELECT * FROM ranked WHERE {row})
 SELECT 'postings' AS kind, count(*) AS rows_extracted, count(DISTINCT url_empleo) AS rows_unique,
   count(*) - count(DISTINCT url_empleo) AS duplicates_dropped, count(DISTINCT url_empleo) AS rows_valid, true AS success FROM capped"""
 
+
+ORACLE["run_posting_session"] = _posting_session("true")
+ORACLE["run_posting_session_capped"] = _posting_session("rn <= 50")
+
 HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 ORACLE["absolutize_url"] = f"""
 WITH links AS (SELECT page_id, unnest({HREFS}) AS raw_href, unnest(range(0, len({HREFS}))) AS pos FROM pages),
@@ -416,10 +435,14 @@ FROM ranked r LEFT JOIN details d ON {condition} starts_with(r.url_producto, 'ht
 
 ORACLE["enrich_listings"] = _enriched_listings("r.rn <= 8 AND")
 ORACLE["enrich_listings_all"] = _enriched_listings("")
+ORACLE["enrich_listings_recrawled"] = f"SELECT a.* FROM ({_enriched_listings('')}) a, range(2)"
 DEDUP_P = f"""{RAW_P}, {_number_terms()},
 uniquep AS (SELECT * FROM numbered QUALIFY row_number() OVER (PARTITION BY
   CASE WHEN url_empleo <> 'No encontrado' THEN url_empleo ELSE titulo_puesto || '_' || empresa END ORDER BY term_no, pos) = 1)"""
-ORACLE["enrich_postings"] = f"""
+
+
+def _enriched_postings(condition: str) -> str:
+    return f"""
 WITH {DEDUP_P}, fetched AS ({st.POSTING_DETAILS.format(**_TABLES)}),
 details AS (SELECT * FROM fetched QUALIFY row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, descripcion_completa,
   nivel_experiencia, beneficios_ofrecidos) = 1),
@@ -429,7 +452,11 @@ SELECT r.* EXCLUDE (rn) REPLACE (
     AS descripcion_breve,
   coalesce(nullif(d.nivel_experiencia, 'No disponible'), r.nivel_experiencia) AS nivel_experiencia,
   coalesce(nullif(d.beneficios_ofrecidos, 'No disponible'), r.beneficios_ofrecidos) AS beneficios_ofrecidos)
-FROM ranked r LEFT JOIN details d ON r.rn <= 20 AND starts_with(r.url_empleo, 'http') AND d.url = r.url_empleo"""
+FROM ranked r LEFT JOIN details d ON {condition} starts_with(r.url_empleo, 'http') AND d.url = r.url_empleo"""
+
+
+ORACLE["enrich_postings"] = _enriched_postings("")
+ORACLE["enrich_postings_capped"] = _enriched_postings("r.rn <= 20 AND")
 
 # --- reports -------------------------------------------------------------------------------------------------------------
 

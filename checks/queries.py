@@ -14,8 +14,7 @@ from vitrina.functions.dates import age_band, as_of_column, parse_posted_at
 from vitrina.functions.prices import PRICE_BANDS_SIX, parse_price, price_band
 from vitrina.operators import enrich, extract, ingest
 from vitrina.plans import clean, reports, run
-from vitrina.sources import pages as page_source, sinks, snapshots, staging
-from vitrina.sources.spread import spread_small
+from vitrina.sources import sinks, snapshots, staging
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -26,7 +25,7 @@ def query(function):
 
 
 def _pages(spark, sf_dir):
-    return spread_small(page_source.scan_pages(spark, f"{sf_dir}/pages.parquet"), "page_id")
+    return st.result_pages(spark, sf_dir)
 
 
 def _listings(spark, sf_dir):
@@ -51,6 +50,14 @@ def scan_listings(spark, sf_dir):
     return snapshots.scan_listings(spark, path)
 
 
+@query
+def scan_listings_reordered(spark, sf_dir):
+    path = f"{staging.shared_folder(spark)}/listings.csv"
+    rows = st.raw_listings(spark, sf_dir).select(F.lit("más").alias("extra"), *reversed(fv.LISTING_COLUMNS))
+    sinks.write_csv(rows, path)
+    return snapshots.scan_listings(spark, path)
+
+
 @query
 def scan_postings(spark, sf_dir):
     path = f"{staging.shared_folder(spark)}/postings.csv"
@@ -106,13 +113,27 @@ def scan_pages(spark, sf_dir):
 
 @query
 def extract_containers(spark, sf_dir):
+    found = extract.extract_containers(_pages(spark, sf_dir), (".results li", "nav ul li", "p"))
+    return found.select("page_id", "pos", "content")
+
+
+@query
+def extract_containers_capped(spark, sf_dir):
     found = extract.extract_containers(_pages(spark, sf_dir), (".results li", "nav ul li", "p"), limit=4)
     return found.select("page_id", "pos", "content")
 
 
 @query
 def container_text_filter(spark, sf_dir):
-    found = extract.extract_containers(_pages(spark, sf_dir), ("article h2", "article p"), limit=20)
+    found = extract.extract_containers(_pages(spark, sf_dir), ("article h2", "article p"))
+    return found.where(extract.is_listing_block(F.col("content"))).select("page_id", "pos", "content")
+
+
+@query
+def container_text_filter_capped(spark, sf_dir):
+    found = extract.extract_containers(
+        _pages(spark, sf_dir), ("article h2", "article p"), limit=fv.LISTING_BLOCKS_PER_PAGE
+    )
     return found.where(extract.is_listing_block(F.col("content"))).select("page_id", "pos", "content")
 
 
@@ -139,6 +160,11 @@ def presence_flag(spark, sf_dir):
 
 @query
 def extract_listings(spark, sf_dir):
+    return extract.extract_listings(st.listing_pages(spark, sf_dir), st.LISTING_HOST, st.AS_OF)
+
+
+@query
+def extract_listings_capped(spark, sf_dir):
     return extract.extract_listings(
         st.listing_pages(spark, sf_dir), st.LISTING_HOST, st.AS_OF, fv.ROWS_PER_TERM, blocks_per_page=fv.LISTING_BLOCKS_PER_PAGE
     )
@@ -146,6 +172,11 @@ def extract_listings(spark, sf_dir):
 
 @query
 def extract_postings(spark, sf_dir):
+    return extract.extract_postings(st.posting_pages(spark, sf_dir), st.POSTING_HOST, st.AS_OF)
+
+
+@query
+def extract_postings_capped(spark, sf_dir):
     return extract.extract_postings(st.posting_pages(spark, sf_dir), st.POSTING_HOST, st.AS_OF, fv.ROWS_PER_TERM)
 
 
@@ -365,6 +396,15 @@ def enrich_listings(spark, sf_dir):
     )
 
 
+@query
+def enrich_listings_recrawled(spark, sf_dir):
+    # Every row twice, with the same place: as many rows leave as enter.
+    rows = st.raw_listings(spark, sf_dir)
+    return enrich.enrich_listings(
+        rows.unionAll(rows), st.listing_details(spark, sf_dir), "categoria", st.LISTING_ORDER, per_term=None
+    )
+
+
 @query
 def enrich_listings_all(spark, sf_dir):
     return enrich.enrich_listings(
@@ -374,6 +414,12 @@ def enrich_listings_all(spark, sf_dir):
 
 @query
 def enrich_postings(spark, sf_dir):
+    unique = ingest.dedup_postings(_numbered(spark, sf_dir), st.POSTING_ORDER)
+    return enrich.enrich_postings(unique, st.posting_details(spark, sf_dir), st.POSTING_ORDER)
+
+
+@query
+def enrich_postings_capped(spark, sf_dir):
     unique = ingest.dedup_postings(_numbered(spark, sf_dir), st.POSTING_ORDER)
     return enrich.enrich_postings(unique, st.posting_details(spark, sf_dir), st.POSTING_ORDER, fv.ENRICHED_POSTINGS)
 
@@ -460,6 +506,15 @@ def run_metrics(spark, sf_dir):
 
 @query
 def run_listing_session(spark, sf_dir):
+    result = run.run_listing_session(
+        st.listing_pages(spark, sf_dir), st.listing_detail_pages(spark, sf_dir),
+        st.LISTING_TERMS, st.LISTING_HOST, staging.shared_folder(spark), st.AS_OF, stamp="20240201_120000",
+    )
+    return result.select("kind", "rows_extracted", "rows_unique", "duplicates_dropped", "rows_valid", "success")
+
+
+@query
+def run_listing_session_capped(spark, sf_dir):
     result = run.run_listing_session(
         st.listing_pages(spark, sf_dir), st.listing_detail_pages(spark, sf_dir),
         st.LISTING_TERMS, st.LISTING_HOST, staging.shared_folder(spark), st.AS_OF, fv.ROWS_PER_TERM, stamp="20240201_120000",
@@ -470,6 +525,15 @@ def run_listing_session(spark, sf_dir):
 
 @query
 def run_posting_session(spark, sf_dir):
+    result = run.run_posting_session(
+        st.posting_pages(spark, sf_dir), st.posting_detail_pages(spark, sf_dir),
+        st.SEGMENTS, st.POSTING_HOST, staging.shared_folder(spark), st.AS_OF, stamp="20240201_120000",
+    )
+    return result.select("kind", "rows_extracted", "rows_unique", "duplicates_dropped", "rows_valid", "success")
+
+
+@query
+def run_posting_session_capped(spark, sf_dir):
     result = run.run_posting_session(
         st.posting_pages(spark, sf_dir), st.posting_detail_pages(spark, sf_dir),
         st.SEGMENTS, st.POSTING_HOST, staging.shared_folder(spark), st.AS_OF, fv.ROWS_PER_TERM, stamp="20240201_120000",
