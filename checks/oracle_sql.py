@@ -90,7 +90,7 @@ def _posted(source: str, lowered: str, units) -> str:
       WHEN {source} IS NULL OR {lowered} IN ('no encontrado', 'nan') THEN {AS_OF} - INTERVAL 12 HOUR
       WHEN regexp_full_match({source}, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}')
         AND try_strptime({source}, '%Y-%m-%d') IS NOT NULL THEN try_strptime({source}, '%Y-%m-%d')
-      WHEN {span} <= 17000000 THEN {AS_OF} - to_hours(CAST({span} AS INTEGER))
+      WHEN {span} <= date_diff('hour', TIMESTAMP '0001-01-01 00:00:00', {AS_OF}) THEN {AS_OF} - to_hours(CAST({span} AS INTEGER))
       ELSE {AS_OF} - INTERVAL 12 HOUR END"""
 
 
@@ -176,18 +176,6 @@ WITH {RAW_L}, {CLEAN_L} SELECT * REPLACE (nullif(url_producto, '') AS url_produc
   nullif(envio_gratis, '') AS envio_gratis) FROM cleanl WHERE {VALID_L}"""
 ORACLE["export_postings"] = f"WITH {RAW_P}, {CLEAN_P} SELECT * FROM cleanp WHERE {VALID_P}"
 
-SIZES = f"""
-WITH {LISTINGS}, {POSTINGS}
-SELECT 'productos_por_rango_precio' AS report, count(DISTINCT rango_precio) AS n FROM listings
-UNION ALL SELECT 'productos_por_vendedor', count(DISTINCT (vendedor_limpio, reputacion_limpia)) FROM listings
-UNION ALL SELECT 'productos_por_factor_personalizado', count(*) FROM listings
-UNION ALL SELECT 'empleos_por_fecha_publicacion', count(DISTINCT categoria_fecha) FROM postings
-UNION ALL SELECT 'empleos_por_nivel_experiencia', count(DISTINCT nivel_experiencia_limpio) FROM postings
-UNION ALL SELECT 'empleo_por_factor_personalizado_modalidad_ubicacion',
-  count(DISTINCT (modalidad_limpia, ubicacion)) FROM postings WHERE ubicacion IS NOT NULL
-UNION ALL SELECT 'reporte_resumen', 1"""
-ORACLE["write_reports"] = SIZES
-ORACLE["run_all"] = SIZES
 ORACLE["scan_pages"] = "SELECT page_id, url, html FROM pages"
 
 # --- extraction from pages -----------------------------------------------------------------------------------------------
@@ -472,8 +460,8 @@ WITH {LISTINGS}, vendors AS (
     count(*) FILTER (envio_gratis_bool) AS productos_envio_gratis
   FROM listings GROUP BY vendedor_limpio, reputacion_limpia)"""
 ORACLE["report_vendor"] = f"{VENDORS} SELECT * FROM vendors ORDER BY cantidad_productos DESC, vendedor_limpio, reputacion_limpia"
-ORACLE["rank_sort"] = f"""{VENDORS} SELECT vendedor_limpio, reputacion_limpia, cantidad_productos FROM vendors
-ORDER BY cantidad_productos DESC, vendedor_limpio, reputacion_limpia"""
+ORACLE["rank_sort"] = f"""{VENDORS} SELECT CAST(row_number() OVER (ORDER BY cantidad_productos DESC, vendedor_limpio, reputacion_limpia) - 1
+  AS BIGINT) AS place, vendedor_limpio, reputacion_limpia, cantidad_productos FROM vendors"""
 RANKING = f"""
 WITH {LISTINGS} SELECT producto, precio_numerico, reputacion_limpia, disponible_bool, envio_gratis_bool, puntaje_valor, categoria,
   vendedor_limpio FROM listings"""
@@ -536,3 +524,38 @@ ORACLE["union_terms"] = f"WITH {RAW_P} " + " UNION ALL ".join(
     f"SELECT *, {no} AS term_no FROM rawp WHERE term = '{term}'" for no, term in enumerate(st.POSTING_TERMS)
 )
 ORACLE["number_terms"] = f"WITH {RAW_P}, {_number_terms()} SELECT * FROM numbered WHERE term_no IS NOT NULL"
+
+
+# Texts (and flags), then numbers, of every report.
+REPORTS = {
+    "productos_por_rango_precio": ("report_price_band", "rango_precio", "cantidad_productos precio_promedio precio_minimo precio_maximo"),
+    "productos_por_vendedor": (
+        "report_vendor", "vendedor_limpio reputacion_limpia",
+        "cantidad_productos precio_promedio productos_disponibles productos_envio_gratis",
+    ),
+    "productos_por_factor_personalizado": (
+        "report_value_ranking", "producto reputacion_limpia disponible_bool envio_gratis_bool categoria vendedor_limpio",
+        "precio_numerico puntaje_valor",
+    ),
+    "empleos_por_fecha_publicacion": ("report_posting_age", "categoria_fecha", "cantidad_empleos empresas_unicas"),
+    "empleos_por_nivel_experiencia": ("report_experience", "nivel_experiencia_limpio", "cantidad_empleos empresas_unicas"),
+    "empleo_por_factor_personalizado_modalidad_ubicacion": (
+        "report_modality_location", "modalidad_limpia ubicacion", "cantidad_empleos empresas_unicas"
+    ),
+    "reporte_resumen": (
+        "summary", "fecha_analisis",
+        "total_productos_ml total_empleos_linkedin precio_promedio_ml precio_mediano_ml productos_disponibles "
+        "productos_envio_gratis empleos_remotos empleos_presenciales empleos_hibridos",
+    ),
+}
+
+
+def _report_values(report: str) -> str:
+    source, texts, numbers = REPORTS[report]
+    key = ", ".join(f"coalesce(nullif(CAST({name} AS VARCHAR), ''), '-')" for name in texts.split())
+    values = ", ".join(f"CAST({name} AS DOUBLE)" for name in numbers.split())
+    return f"""SELECT '{report}' AS report, concat_ws('|', {key}) AS row_key, unnest({numbers.split()}) AS name,
+  unnest([{values}]) AS value FROM ({ORACLE[source]})"""
+
+
+ORACLE["write_reports"] = ORACLE["run_all"] = " UNION ALL ".join(map(_report_values, REPORTS))

@@ -90,9 +90,16 @@ def export_postings(spark, sf_dir):
     return spark.read.schema(snapshots.POSTING_SCHEMA).csv(path, header=True, quote='"', escape='"', multiLine=True)
 
 
-def _report_sizes(frames) -> DataFrame:
-    sizes = [frame.agg(F.lit(name).alias("report"), F.count("*").alias("n")) for name, frame in frames.items()]
-    return reduce(DataFrame.unionByName, sizes)
+def _report_values(frames, types) -> DataFrame:
+    """Every number of every row of the reports: report, row_key (the texts and flags of the row), name, value."""
+
+    def values(name: str) -> DataFrame:
+        numbers = [column for column, kind in types[name] if kind in ("bigint", "double")]
+        texts = [F.coalesce(F.nullif(F.col(column).cast("string"), F.lit("")), F.lit("-")) for column, _ in types[name] if column not in numbers]
+        cells = [F.struct(F.lit(column).alias("name"), F.col(column).cast("double").alias("value")) for column in numbers]
+        return frames[name].select(F.lit(name).alias("report"), F.concat_ws("|", *texts).alias("row_key"), F.inline(F.array(*cells)))
+
+    return reduce(DataFrame.unionByName, map(values, frames))
 
 
 @query
@@ -100,7 +107,7 @@ def write_reports(spark, sf_dir):
     prepared = run.run_all(st.raw_listings(spark, sf_dir), st.raw_postings(spark, sf_dir), st.AS_OF, staged=True)
     paths = sinks.write_reports(prepared, staging.shared_folder(spark))
     read = {name: spark.read.csv(path, header=True, escape='"', multiLine=True) for name, path in paths.items()}
-    return _report_sizes(read)
+    return _report_values(read, {name: report.dtypes for name, report in prepared.items()})
 
 
 @query
@@ -496,7 +503,8 @@ def average_price_simple(spark, sf_dir):
 
 @query
 def run_all(spark, sf_dir):
-    return _report_sizes(run.run_all(st.raw_listings(spark, sf_dir), st.raw_postings(spark, sf_dir), st.AS_OF))
+    prepared = run.run_all(st.raw_listings(spark, sf_dir), st.raw_postings(spark, sf_dir), st.AS_OF)
+    return _report_values(prepared, {name: report.dtypes for name, report in prepared.items()})
 
 
 @query
@@ -572,7 +580,9 @@ def cap_per_term_large(spark, sf_dir):
 
 @query
 def rank_sort(spark, sf_dir):
-    return reports.report_vendor(_listings(spark, sf_dir)).select("vendedor_limpio", "reputacion_limpia", "cantidad_productos")
+    # Written as one file, the order of the report is the order of its lines; the place follows from the id within the file.
+    ordered = reports.report_vendor(_listings(spark, sf_dir)).select("vendedor_limpio", "reputacion_limpia", "cantidad_productos")
+    return ordered.coalesce(1).select(F.monotonically_increasing_id().alias("place"), "*")
 
 
 @query

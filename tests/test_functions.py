@@ -108,6 +108,10 @@ def test_posted_at(spark):
     assert strict == [NOW - timedelta(days=days) for days in (14, 90, 2)]
     far = apply(spark, lambda x: parse_posted_at(x, moment), ["99999999999 días", "123456789012345678901234 horas", "20000000 h hora"])
     assert far == [NOW - timedelta(hours=12)] * 3
+    # As far as the calendar goes.
+    hours = (NOW - datetime(1, 1, 1)) // timedelta(hours=1)
+    near = apply(spark, lambda x: parse_posted_at(x, moment), [f"{hours} horas", f"{hours + 1} horas"])
+    assert near == [NOW - timedelta(hours=hours), NOW - timedelta(hours=12)]
 
 
 def test_age_band(spark):

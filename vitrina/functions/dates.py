@@ -8,8 +8,7 @@ from vitrina import fixed_values as fv
 from vitrina.functions.text import has_any
 
 _ISO_DAY = r"^[0-9]{4}-(1[0-2]|0?[1-9])-(3[01]|[12][0-9]|0?[1-9]| [1-9])\z"
-# Offsets beyond about 1,940 years leave the calendar of the supported dates and take the default.
-_MAX_HOURS = 17_000_000
+_CALENDAR_START = "0001-01-01"  # moments before it are not dates of the snapshots and take the default
 _MICROS_PER_DAY = 86_400_000_000
 
 
@@ -34,10 +33,9 @@ def parse_posted_at(text: Column, as_of: Column, strict_units: bool = False) ->
     unit_hours = F
     for words, hours in fv.STRICT_DATE_UNITS if strict_units else fv.DATE_UNITS:
         unit_hours = unit_hours.when(has_any(lowered, words), hours)
-    relative = F.when(
-        amount <= _MAX_HOURS,
-        F.when(amount * unit_hours <= _MAX_HOURS, F.timestamp_add("HOUR", (-amount * unit_hours).cast("int"), as_of)),
-    )
+    hours = F.try_multiply(amount, unit_hours.cast("bigint")).try_cast("int")
+    moment = F.timestamp_add("HOUR", -hours, as_of)
+    relative = F.when(moment >= F.lit(_CALENDAR_START).cast("timestamp_ntz"), moment)
     known = F.when(~lowered.isin(*fv.DATE_MISSING), F.coalesce(day, relative))
     return F.coalesce(known, default)
 
