@@ -10,9 +10,10 @@ SF = "/root/testdata/sf0.001"
 FROM_HTML = {
     "extract_containers", "container_text_filter", "first_match_text", "attribute_extract", "presence_flag", "extract_listings",
     "extract_postings", "absolutize_url", "posting_detail", "listing_detail", "page_status_html", "run_listing_session",
-    "run_posting_session",
+    "run_posting_session", "extract_containers_capped", "container_text_filter_capped", "extract_listings_capped",
+    "extract_postings_capped", "run_listing_session_capped", "run_posting_session_capped",
 }
-WRITING = {"scan_listings", "scan_postings", "latest_snapshot", "export_listings", "export_postings", "write_reports"}
+WRITING = {"scan_listings", "scan_listings_reordered", "scan_postings", "latest_snapshot", "export_listings", "export_postings", "write_reports"}
 
 
 def plan(frame):
