@@ -9,7 +9,8 @@ From the similarities found, the share of links that the forest catches at this
 the target, prefixes are shortened by one MinHash.
 
 Leaders: a text with an estimate of REMOVE or more is taken in for good, all texts from LINK on belong to the leader's group. By
-the triangle inequality a partner (0.8) of a text taken in at 0.65 resembles the leader at 0.45, well above LINK.
+the triangle inequality a partner (0.8) of a text taken in at 0.65 resembles the leader at 0.45, well above LINK. A node of more
+than NODE_BLOCK texts is led block by block; its leaders then meet the texts of its other blocks, so that the same holds there.
 
 Result per document: class_id (smallest doc_id of its class) and n_links (other documents at 0.8 or more, copies included).
 
@@ -100,6 +101,24 @@ def _leaders(table: pa.Table) -> pa.Table:
             group[np.isin(group, met)] = first
         group[linked] = first
         left = left[likeness[left] < REMOVE]
+    return _grouped(table, keys, group, leads)
+
+
+def _take_in(table: pa.Table) -> pa.Table:
+    """Texts of a block of a node, linked to leaders from all blocks of that node; one row for each text and leader."""
+    table = table.sort_by([("leads", "descending"), ("text_key", "ascending")])
+    keys, leads = table.column("text_key").to_pylist(), table.column("leads").to_numpy()
+    signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(len(keys), -1)
+    group = np.arange(len(keys))
+    for head in np.flatnonzero(leads):
+        linked = np.flatnonzero((signs == signs[head]).mean(1) >= LINK)
+        met = np.unique(group[linked])
+        group[np.isin(group, met)] = met[0]
+    return _grouped(table, keys, group, leads)
+
+
+def _grouped(table: pa.Table, keys: list[str], group: np.ndarray, leads: np.ndarray) -> pa.Table:
+    """node, a (first text of the group), b (the text), leads."""
     node = table.column("node")[0].as_py()
     columns = {"node": pa.array([node] * len(keys), pa.int64()), "a": [keys[k] for k in group], "b": keys, "leads": leads}
     return pa.table(columns)
@@ -120,10 +139,22 @@ def family_edges(texts: DataFrame, depth: int) -> DataFrame:
     signed = met.join(texts, "text_key").select("node", "block", "blocks", "text_key", "signature")
     schema = "node long, a string, b string, leads boolean"
     edges = stage_table(signed.groupBy("node", "block").applyInArrow(_leaders, schema))
-    # The leaders of a node that fell into several blocks meet once more.
-    split = met.where("blocks > 1").select(F.col("node").alias("split")).distinct()
-    heads = edges.where("leads").join(split, F.col("node") == F.col("split"), "left_semi").select("node", F.col("b").alias("text_key")).distinct()
-    more = heads.join(texts, "text_key").groupBy("node").applyInArrow(_leaders, schema)
+    # In a node of several blocks, the leaders of all blocks meet the texts of all blocks, in cells of bounded size.
+    split = met.where("blocks > 1")
+    sizes = split.select(F.col("node").alias("split"), "blocks").distinct()
+    heads = edges.where("leads").join(sizes, F.col("node") == F.col("split")).select("node", "blocks", F.col("b").alias("text_key"))
+    chunks = heads.groupBy(F.col("node").alias("led")).agg(F.ceil(F.count("*") / NODE_BLOCK).cast("int").alias("chunks"))
+    led = F.col("node") == F.col("led")
+    heads = heads.join(chunks, led).select(
+        "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("text_key"), "chunks").cast("int").alias("chunk"),
+        "text_key", F.lit(True).alias("leads"),
+    )
+    members = split.join(chunks, led).select(
+        "node", F.col("block").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
+        "text_key", F.lit(False).alias("leads"),
+    )
+    cells = heads.unionByName(members).join(texts, "text_key")
+    more = cells.groupBy("node", "block", "chunk").applyInArrow(_take_in, schema)
     return edges.unionByName(more).where("a <> b").select("a", "b").distinct()
 
 
