@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROWS_AT_ONCE = 256
+SPARE = 1.25
 WORD = re.compile(r"\w+")
 
 
@@ -75,5 +76,14 @@ def held_out(doc_id: Column, modulus: int, value: int) -> Column:
     return F.coalesce(remainder(doc_id, modulus) == value, F.lit(False))
 
 
+def low_draws(draw: Column, sample: int, total: Column | int) -> Column:
+    """Whether a 64-bit hash lies in the lowest range of hashes that holds about SPARE times `sample` of `total` rows.
+
+    Hashes are spread evenly, so this cuts a bounded sample out in the scan: no later sort or task meets more than that.
+    """
+    share = F.lit(SPARE * sample) / F.greatest(F.lit(total) if isinstance(total, int) else total, F.lit(1))
+    return draw.cast("double") <= F.lit(-(2.0**63)) + share * F.lit(2.0**64)
+
+
 def documents(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -2,7 +2,7 @@
 
 Training rows fall into three folds by a hash of id and text. The lexicon fold gives the words and word beginnings that are
 far more frequent in toxic texts (document counts, added up over all of its rows); the tree fold and the calibration fold are
-bounded samples (`sample` rows each, smallest hashes first). The folds keep the lexicon from being judged by its own rows.
+bounded samples (`sample` rows each, smallest hashes first, repeated rows once). The folds keep the lexicon from being judged by its own rows.
 
 Features: densities, counts and distinct entries of the learned words, the learned beginnings, a list of common insults and
 the same after undoing look-alike characters; second person near such words; capitals, punctuation, exclamation and
@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrina.llm import boosting
-from vitrina.llm.common import flat_map_rows, map_rows, words
+from vitrina.llm.common import flat_map_rows, low_draws, map_rows, words
 from vitrina.sources.staging import stage_table
 
 INSULTS = frozenset("idiot stupid moron loser scum trash worthless pathetic disgusting clown dumb fool jerk".split())
@@ -55,14 +55,13 @@ def _counted(part) -> dict:
     return {"term": keys, "toxic": [toxic[k] for k in keys], "clean": [clean[k] for k in keys]}
 
 
-def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> frozenset[str]:
+def learn_lexicon(rows: DataFrame, n_toxic: int, n_clean: int, size: int = LEXICON) -> frozenset[str]:
     """Terms whose share among toxic texts is at least LEAST_ODDS times that among others; the strongest `size`."""
     counts = stage_table(
         flat_map_rows(rows.select("text", "toxic"), _counted, "term string, toxic long, clean long", at_once=2048)
         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(F.col("toxic") >= LEAST_DOCS)
     )
-    totals = rows.agg(F.count_if(F.col("toxic") == 1).alias("toxic"), F.count_if(F.col("toxic") == 0).alias("clean")).first()
-    odds = (F.col("toxic") / max(1, totals.toxic)) / ((F.col("clean") + 0.5) / (totals.clean + 1))
+    odds = (F.col("toxic") / max(1, n_toxic)) / ((F.col("clean") + 0.5) / (n_clean + 1))
     ranked = counts.withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     best = ranked.orderBy(F.col("odds").desc(), F.col("toxic").desc(), "term").limit(size)
     return frozenset(row.term for row in best.select("term").collect())
@@ -92,7 +91,7 @@ def features(text: str | None, lexicon: frozenset[str], word_cache: dict) -> lis
     hidden = sum(f[3] for f in flags)
     hits = sorted({*learned, *begins, *insults})
     you = [k for k, f in enumerate(flags) if f[4]]
-    near = int((np.abs(np.subtract.outer(hits, you)).min(1) <= NEAR).sum()) if hits and you and len(hits) * len(you) < 1_000_000 else len(hits) * bool(you)
+    near = _near(hits, you)
     letters = max(1, len(text) - sum(map(text.count, " \n")))
     upper = sum(map(str.isupper, text))
     marks = sum(map(text.count, ".,;:!?*#%&$@"))
@@ -106,6 +105,13 @@ def features(text: str | None, lexicon: frozenset[str], word_cache: dict) -> lis
     ]
 
 
+def _near(hits: list[int], others: list[int]) -> int:
+    """How many hits have one of the others within NEAR words; both sorted."""
+    places = np.array([-NEAR - 1, *others, hits[-1] + NEAR + 1] if hits else [], np.int64)
+    at = np.searchsorted(places, hits)
+    return int((np.minimum(places[at] - hits, np.subtract(hits, places[at - 1])) <= NEAR).sum()) if hits else 0
+
+
 def _dense(hits: list[int], span: int = 50):
     """Index ranges of hits that lie within `span` words of each other, widest for each start."""
     end = 0
@@ -141,22 +147,26 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMP
     rows = docs.where("doc_id IS NOT NULL").where(usable).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.join(marks, "doc_id").withColumn("draw", F.xxhash64("doc_id", "text"))
     fold = F.pmod(F.col("draw"), F.lit(10))
-    lexicon = learn_lexicon(rows.where(fold < 5))
+    toxic, clean = (F.count_if(F.col("toxic") == label) for label in (1, 0))
+    sizes = {r.fold: (r.toxic, r.clean) for r in rows.groupBy(fold.alias("fold")).agg(toxic.alias("toxic"), clean.alias("clean")).collect()}
+    lexicon = learn_lexicon(rows.where(fold < 5), *(sum(sizes.get(k, (0, 0))[label] for k in range(5)) for label in (0, 1)))
     empty = Scorer(lexicon, None, None)
 
     def dense(part):
         return {"x": list(empty.matrix(part.column("text").to_pylist())), "y": part.column("toxic")}
 
-    def table(chosen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    def table(folds: range) -> tuple[np.ndarray, np.ndarray]:
+        total = sum(sum(sizes.get(k, (0, 0))) for k in folds)
+        chosen = rows.where(fold.between(folds[0], folds[-1]) & low_draws(F.col("draw"), sample, total)).dropDuplicates(["draw"])
         drawn = chosen.orderBy("draw", "doc_id").limit(sample).select("text", "toxic")
         got = map_rows(drawn, dense, "x array<double>, y int").collect()
         return np.array([r.x for r in got], float).reshape(len(got), FEATURES), np.array([r.y for r in got], float)
 
-    x, y = table(rows.where((fold >= 5) & (fold < 8)))
+    x, y = table(range(5, 8))
     if not len(y):
         return empty
     trees = boosting.fit_trees(x, y, trees=80, depth=3, rate=0.15)
-    x, y = table(rows.where(fold >= 8))
+    x, y = table(range(8, 10))
     raw = trees.probability(x)
     if not len(y):
         return Scorer(lexicon, trees, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
