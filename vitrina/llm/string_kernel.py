@@ -6,7 +6,8 @@ both sizes. Nyström: a bounded number of landmark texts spans the feature space
 solved in it. Since the kernel is linear in the presence vectors, landmarks and weights fold into one matrix, and batches of
 presence rows are scored by one matrix product.
 
-Training texts are a bounded sample: the `per_class` smallest hashes of each language, cut before the shuffle.
+Training texts are a bounded sample: the `per_class` smallest hashes of each language, cut before the shuffle;
+repeated rows are drawn once.
 
 Defined cases: NULL texts and texts without a letter are `und` with score 0; very long texts are read whole; rows without id
 or language never train; without training rows everything is `und`.
@@ -18,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from vitrina.llm.common import map_rows
+from vitrina.llm.common import low_draws, map_rows
+from vitrina.sources.staging import stage_table
 
 PLACES = 1 << 16
 PER_CLASS = 800
@@ -105,8 +107,11 @@ def fit(bits: np.ndarray, y: list[str], landmarks: int = LANDMARKS, ridge: float
 def train(docs: DataFrame, usable: Column, per_class: int = PER_CLASS) -> Classifier:
     rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(usable)
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
+    # One row a language, as many as the model has classes.
+    sizes = F.broadcast(stage_table(rows.groupBy("lang").agg(F.count("*").alias("total"))))
+    few = rows.join(sizes, "lang").where(low_draws(F.col("draw"), per_class, F.col("total"))).dropDuplicates(["lang", "draw"])
     smallest = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
-    drawn = rows.withColumn("turn", smallest).where(F.col("turn") <= per_class).select("lang", "text", "draw")
+    drawn = few.withColumn("turn", smallest).where(F.col("turn") <= per_class).select("lang", "text", "draw")
 
     def pack(part):
         sets = [presence(t) for t in part.column("text").to_pylist()]
