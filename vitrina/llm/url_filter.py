@@ -2,7 +2,7 @@
 
 The labelled urls are those that a rule decides. Suffix statistics (rows and blocked share of the last label and of the last
 two labels of a host) are counted over one half of the labelled urls, and the trees are fitted on a bounded sample of the
-other half, so that the statistics do not repeat the labels they are to explain.
+distinct urls of the other half, so that the statistics do not repeat the labels they are to explain.
 
 Defined cases: a NULL url, or one without `://`, has an empty host and path, fits no rule and is judged by the trees; an empty
 path starts with no rule's path; rows are judged one by one, so repeated rows agree; without labelled urls every verdict is
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrina.llm import boosting
-from vitrina.llm.common import map_rows
+from vitrina.llm.common import low_draws, map_rows
 from vitrina.sources.staging import stage_table
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -110,7 +110,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, default: s
     labelled = labelled.withColumn("draw", F.xxhash64("url"))
     counted = labelled.where("pmod(draw, 2) = 0")
     statistics = {"tld": (stage_table(_statistics(counted, 1, "tld")), 1), "domain": (stage_table(_statistics(counted, 2, "domain")), 2)}
-    drawn = labelled.where("pmod(draw, 2) = 1").orderBy("draw", "url", "host").limit(sample)
+    others = labelled.where("pmod(draw, 2) = 1")
+    distinct = others.select("draw").distinct().count()
+    drawn = others.where(low_draws(F.col("draw"), sample, distinct)).dropDuplicates(["draw"]).orderBy("draw").limit(sample)
 
     def lexical(part):
         return {"x": list(features(part)), "y": part.column("blocked")}
