@@ -18,7 +18,9 @@ import hashlib
 import math
 import re
 import uuid
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -55,10 +57,13 @@ def _entropy(value: str) -> float:
 def further_candidates(text: str, base: list) -> list[tuple[str, int, int, str]]:
     """Tokens with letters and digits and enough entropy, outside all base spans."""
     out = []
+    starts = [s[1] for s in base]
+    stops = list(accumulate((s[2] for s in base), max))
     for m in TOKEN.finditer(text):
         value = m[0]
         if any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and _entropy(value) >= LEAST_ENTROPY:
-            if all(m.end() <= start or m.start() >= stop for _, start, stop, _ in base):
+            before = bisect_left(starts, m.end())  # base spans that start before the end of the token
+            if not before or stops[before - 1] <= m.start():
                 out.append(("live", *m.span(), value))
     return out
 
