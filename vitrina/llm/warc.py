@@ -3,7 +3,7 @@
 A record is a row (page_id, url, payload). Only headers (id, digest, length) are grouped: one largest id per digest that
 occurs more than once, combined before the shuffle. Records then join these groups on digest and length; adaptive execution
 splits the rows of a hot digest. Archives are written by Spark's text writer, whose line separator is the end of a WARC
-record; they are read back whole, one file of bounded size at a time.
+record; one archive at a time is read back, record by record out of its compressed bytes.
 
 Defined cases: a NULL payload is an empty one. A NULL id counts as smaller than any other, and a record whose group has only
 NULL ids refers to none and is a response. Rows that repeat the largest id of a group are all responses. Line breaks in urls
@@ -15,6 +15,8 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
+from typing import BinaryIO
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -94,17 +96,18 @@ def write_archives(resolved: DataFrame, path: str, date: str = "2024-01-01T00:00
 
 def parse_archive(content: bytes):
     """Records of one archive: header fields and block."""
-    at = 0
-    while at < len(content):
-        stop = content.index(END.encode(), at)
-        lines = content[at:stop].decode("utf-8").split("\r\n")
-        fields = dict(line.split(": ", 1) for line in lines[1:])
-        start = stop + len(END)
-        length = int(fields["Content-Length"])
-        yield fields, content[start : start + length]
-        if content[start + length : start + length + 4] != END.encode():
+    return parse_records(io.BytesIO(content))
+
+
+def parse_records(archive: BinaryIO):
+    """Records of an open archive, one in memory at a time."""
+    while archive.readline():  # the version, or the end
+        lines = iter(lambda: archive.readline().decode("utf-8").removesuffix("\r\n"), "")
+        fields = dict(line.split(": ", 1) for line in lines)
+        block = archive.read(int(fields["Content-Length"]))
+        if archive.read(len(END)) != END.encode():
             raise ValueError(f"record {fields.get('WARC-Record-ID')} does not end where its length says")
-        at = start + length + len(END)
+        yield fields, block
 
 
 def _record(fields: dict, block: bytes, payloads: bool) -> tuple:
@@ -129,7 +132,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> Dat
     def parse(part):
         columns = [[] for _ in range(7)]
         for content in part.column("content").to_pylist():
-            for fields, block in parse_archive(gzip.decompress(content)):
+            for fields, block in parse_records(gzip.GzipFile(fileobj=io.BytesIO(content))):
                 for column, value in zip(columns, _record(fields, block, payloads)):
                     column.append(value)
         return dict(zip([c.strip().split()[0] for c in READ.split(",")], columns))
