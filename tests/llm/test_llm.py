@@ -18,6 +18,7 @@ from vitrina.llm import (
     boosting, components, decontamination, near_copies, pii, piece_codec, queries, secret_scan, string_kernel, top_k, toxicity,
     url_filter, warc,
 )
+from vitrina.llm.common import low_draws
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -182,6 +183,20 @@ def test_blocks_of_hot_groups(spark, monkeypatch):
     assert [r.class_id for r in rows] == group and [r.n_links for r in rows] == links
 
 
+def test_links_across_blocks_of_a_node(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "NODE_BLOCK", 4)
+    rng, words = random.Random(12), letters(12)
+    text, texts = [rng.choice(words) for _ in range(150)], []
+    for _ in range(80):  # every text differs a little from the one before, so the ends of the chain share little
+        text = list(text)
+        text[rng.randrange(150)] = rng.choice(words)
+        texts.append(" ".join(text))
+    rng.shuffle(texts)
+    rows = near_copies.near_copies(docs_of(spark, texts)).orderBy("doc_id").collect()
+    group, links = brute_near(texts)
+    assert [r.class_id for r in rows] == group and [r.n_links for r in rows] == links
+
+
 def test_near_copies_cases(spark):
     text = " ".join(letters(4)[:50])
     frame = spark.createDataFrame([(1, text, 0), (1, text, 0), (2, text, 1), (None, text + " b", 2), (None, None, 3), (4, "", 4)], "doc_id long, text string, key int")
@@ -251,6 +266,15 @@ def test_secrets_by_definition(spark):
         assert [int(s.split(":")[1]) for s in listed] == sorted(int(s.split(":")[1]) for s in listed)
 
 
+def test_further_candidates_touch_no_base_span():
+    token, key = "Zx9Qw8Er7Ty6Ui5Op4As3Df2", "0123456789abcdef01234567"
+    text = f"{token} password={token} x {key} AKIA{key.upper()} {key}{token} {token}"
+    base = secret_scan.base_spans(text)
+    spans = [c[1:3] for c in secret_scan.further_candidates(text, base)]
+    free = [m.span() for m in secret_scan.TOKEN.finditer(text) if all(m.end() <= s[1] or m.start() >= s[2] for s in base)]
+    assert spans == free and (0, len(token)) in spans and (len(text) - len(token), len(text)) in spans
+
+
 def test_ownership_separates_copies(spark):
     own, shared = "Xk3Lq9Pz7Rt2Wv8Yb4Nm", "Qw5Er6Ty7Ui8Op9As1Df"
     rows = [(1, f"a {own} b", "ann/one"), (2, f"{own}", "ann/two"), (3, f"{shared} x", "bob/one"), (4, f"y {shared}", None), (4, f"y {shared}", None)]
@@ -274,6 +298,23 @@ def test_trees_and_isotonic():
     assert boosting.calibrated(np.array([0.1, 0.2, 0.25, 0.4]), knots).tolist() == [0, 0.5, 0.5, 1]
 
 
+def test_nearness_against_all_pairs():
+    rng = random.Random(5)
+    for _ in range(200):
+        hits, others = (sorted(rng.sample(range(60), rng.randrange(12))) for _ in range(2))
+        assert toxicity._near(hits, others) == sum(any(abs(h - o) <= toxicity.NEAR for o in others) for h in hits)
+
+
+def test_low_draws_hold_the_sample(spark):
+    rows = spark.range(50_000).withColumn("draw", F.xxhash64("id"))
+    chosen = rows.where(low_draws(F.col("draw"), 1000, 50_000))
+    assert 1000 < chosen.count() < 1500
+    smallest = [r.draw for r in rows.orderBy("draw").limit(1000).collect()]
+    assert [r.draw for r in chosen.orderBy("draw").limit(1000).collect()] == smallest
+    for total in (0, 900, 1250):
+        assert rows.where(low_draws(F.col("draw"), 1000, total)).count() == 50_000
+
+
 def test_toxicity_held_out(spark):
     words, rng = letters(6), random.Random(8)
     bad = ["idiot", "scum", *(f"vrk{w}" for w in words[:40])]
