@@ -461,6 +461,17 @@ def test_leaks_against_brute_force(spark):
     assert decontamination.find_leaks(docs_of(spark, texts), benchmark.limit(0)).count() == 0
 
 
+def test_edited_copy_in_many_documents(spark):
+    """Every sixth word changed: the intact n-grams are in all documents, those over the changed words in none."""
+    rng, words = random.Random(17), letters(18)
+    item = words[:36]
+    copy = [words[40 + k] if k % 6 == 5 else w for k, w in enumerate(item)]
+    texts = [" ".join([*(rng.choice(words[100:]) for _ in range(20)), *copy, *(rng.choice(words[100:]) for _ in range(20))]) for _ in range(120)]
+    found = decontamination.find_leaks(docs_of(spark, texts), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert sorted(r.doc_id for r in found) == list(range(120))
+    assert {r.score for r in found} == {smith_waterman(item, copy) / 72} and 0.5 < found[0].score < 0.8
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------------------
 
 

@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare word n-grams as seeds, Smith-Waterman alignment of what they find.
+"""Benchmark decontamination: word n-grams as seeds, Smith-Waterman alignment of what they find.
 
 The items are worked through in blocks whose size in bytes is bounded, so an index of one block fits a broadcast at any size
-of the benchmark. For a block, one pass over the documents counts in how many of them each item n-gram occurs. The rarest
-n-gram of every run of RUN consecutive ones of an item becomes a seed, however frequent it is, so that a copied stretch of
-RUN + N - 1 words always holds one; so do all n-grams up to AS_RARE times as frequent as the item's median seed. A second pass finds the seeds in the documents and aligns the text around them with the
-item; nothing but counts and results leaves a task.
+of the benchmark. Every n-gram of an item is a seed, however frequent it is, so each copied stretch of N words is found. One
+pass finds the seeds in the documents, drops the items that cannot reach the threshold by upper bounds of their score (words
+in common with the document, then with any window that an alignment can span), and aligns the text around the seeds of the
+others; nothing but results leaves a task.
 
 An item leaks into a document if the local alignment (2 a match, -1 a mismatch or gap) reaches `threshold` of the score of the
 whole item. Words are lower-case runs of letters and digits.
@@ -24,8 +24,6 @@ from pyspark.sql import DataFrame, functions as F
 from vitrina.llm.common import flat_map_rows, words
 
 N = 3
-RUN = 4
-AS_RARE = 16
 THRESHOLD = 0.5
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -44,9 +42,18 @@ class ItemIndex:
                 self.tokens.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in tokens], np.int64))
         self.vocabulary = vocabulary
         self.base = np.int64(len(vocabulary) + 1)
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
         grams = [self.grams(t) for t in self.tokens]
-        self.keys = np.unique(np.concatenate(grams)) if grams else np.zeros(0, np.int64)
-        self.positions = [np.searchsorted(self.keys, g) for g in grams]
+        self.keys, place = np.unique(np.concatenate(grams), return_inverse=True) if grams else (np.zeros(0, np.int64),) * 2
+        owner = np.repeat(np.arange(len(grams)), self.sizes - N + 1)
+        self.gram_starts = np.cumsum([0, *(len(g) for g in grams)])
+        self.grams_of = place  # of item k: from gram_starts[k] on
+        self.owners = owner[np.argsort(place, kind="stable")]
+        self.owner_starts = np.searchsorted(np.sort(place), np.arange(len(self.keys) + 1))
+        counted = [np.unique(t, return_counts=True) for t in self.tokens]
+        self.word_starts = np.cumsum([0, *(len(w) for w, _ in counted)])
+        self.words = np.concatenate([w for w, _ in counted]) if counted else np.zeros(0, np.int64)
+        self.times = np.concatenate([n for _, n in counted]) if counted else np.zeros(0, np.int64)
 
     def grams(self, tokens: np.ndarray) -> np.ndarray:
         out = tokens[: len(tokens) - N + 1].copy()
@@ -60,30 +67,32 @@ class ItemIndex:
         get = self.vocabulary.get
         return np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
 
-    def hits(self, ids: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in a text and indices into `keys` of the n-grams that occur in it."""
-        if len(ids) < N or not len(keys):
+        if len(ids) < N or not len(self.keys):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         known = ids >= 0
         whole = np.flatnonzero(known[:-2] & known[1:-1] & known[2:])
         key = (ids[whole] * self.base + ids[whole + 1]) * self.base + ids[whole + 2]
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        found = keys[at] == key
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        found = self.keys[at] == key
         return whole[found], at[found]
 
-    def choose_seeds(self, frequency: np.ndarray) -> None:
-        """Of each run of RUN n-grams of an item the rarest (ties: the first), and all that are about as rare as these."""
-        owners = defaultdict(set)
-        for item, grams in enumerate(self.positions):
-            times = frequency[grams]
-            runs = range(max(1, len(grams) - RUN + 1))
-            rarest = sorted({start + int(times[start : start + RUN].argmin()) for start in runs})
-            common = AS_RARE * (1 + np.median(times[rarest]))
-            for k in {*rarest, *np.flatnonzero(times <= common).tolist()}:
-                owners[int(grams[k])].add((item, k))
-        self.seed_index = np.array(sorted(owners), np.int64)
-        self.seeds = self.keys[self.seed_index]
-        self.owners = [sorted(owners[k]) for k in self.seed_index.tolist()]
+    def candidates(self, ids: np.ndarray, grams: np.ndarray, threshold: float) -> np.ndarray:
+        """Items with one of these n-grams that have enough words in common with the text: an alignment scores at most MATCH for each."""
+        items = np.unique(self.owners[_ranges(self.owner_starts, grams)])
+        have, times = np.unique(ids, return_counts=True)
+        at = _ranges(self.word_starts, items)
+        place = np.minimum(np.searchsorted(have, self.words[at]), len(have) - 1)
+        common = np.where(have[place] == self.words[at], np.minimum(times[place], self.times[at]), 0)
+        widths = self.word_starts[items + 1] - self.word_starts[items]
+        return items[np.add.reduceat(common, np.cumsum(widths) - widths) >= threshold * self.sizes[items]]
+
+
+def _ranges(starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Indices starts[r] .. starts[r + 1] - 1 of all rows, one after the other."""
+    widths = starts[rows + 1] - starts[rows]
+    return np.repeat(starts[rows] - np.cumsum(widths) + widths, widths) + np.arange(widths.sum())
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -116,20 +125,25 @@ def _stretches(where: list[int], reach: int) -> list[tuple[int, int]]:
 
 def leaks_of(index: ItemIndex, ids: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
     """(item number, score, start, stop) of the items that leak into a text."""
-    at, seed = index.hits(ids, index.seeds)
-    starts = defaultdict(list)
-    for position, k in zip(at.tolist(), seed.tolist()):
-        for item, offset in index.owners[k]:
-            starts[item].append(position - offset)
+    at, seed = index.hits(ids)
+    if not len(at):
+        return []
+    order = np.argsort(seed, kind="stable")
+    at, seed = at[order], seed[order]
     out = []
-    for item, where in starts.items():
+    for item in index.candidates(ids, np.unique(seed), threshold).tolist():
         tokens = index.tokens[item]
+        grams = index.grams_of[index.gram_starts[item] : index.gram_starts[item + 1]]
+        where = [(at[a:b] - offset) for offset, (a, b) in enumerate(zip(np.searchsorted(seed, grams), np.searchsorted(seed, grams, "right")))]
         needed = threshold * MATCH * len(tokens)
+        # An alignment that scores enough has no room for more unmatched words than this.
+        span = len(tokens) + int(MATCH * len(tokens) - needed) // GAP
         best = (0, 0, 0)
-        for a, b in _stretches(where, len(tokens) + N):
+        for a, b in _stretches(np.unique(np.concatenate(where)).tolist(), len(tokens) + N):
             part = ids[a : b + len(tokens)]
-            # No alignment scores more than two for each word that both sides have.
-            if MATCH * np.isin(part, tokens).sum() < needed:
+            within = np.cumsum(np.isin(part, tokens))
+            within[span:] -= within[:-span].copy()
+            if MATCH * within.max(initial=0) < needed:
                 continue
             score, end = align(tokens, part)
             best = max(best, (score, a + end - 1, a))
@@ -156,21 +170,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
 
 def _block_leaks(rows: DataFrame, index: ItemIndex, threshold: float) -> DataFrame:
     context = rows.sparkSession.sparkContext
-    plain = context.broadcast(index)
-
-    def count(part):
-        held = plain.value
-        times = np.zeros(len(held.keys), np.int64)
-        for text in part.column("text").to_pylist():
-            times[np.unique(held.hits(held.read(text), held.keys)[1])] += 1
-        found = np.flatnonzero(times)
-        return {"gram": found, "n": times[found]}
-
-    counted = flat_map_rows(rows.select("text"), count, "gram int, n long", at_once=4096).groupBy("gram").agg(F.sum("n").alias("n"))
-    frequency = np.zeros(len(index.keys), np.int64)
-    for row in counted.collect():  # one row for each n-gram of this block of items
-        frequency[row.gram] = row.n
-    index.choose_seeds(frequency)
     seeded = context.broadcast(index)
 
     def search(part):
