@@ -80,6 +80,24 @@ def test_cards_against_brute_force(spark):
         assert luhn(re.sub(r"\D", "", got)) == 0 and re.sub(r"\d", "9", got) == re.sub(r"\d", "9", card)
 
 
+def test_cards_beside_other_numbers(spark):
+    card, amex = "4111 1111 1111 1111", "3782 822463 10005"
+    alone = {c: t[:-1] for c, t in zip((card, amex, "4111111111111111"), pseudonyms(spark, [f"{c}." for c in (card, amex, "4111111111111111")])[0])}
+    cases = [
+        ("card {} 12/25", card), ("{} 123", "4111111111111111"), ("item 12 {}", card), ("12 345 {} 12/25 678", card), ("7 {} 12", amex), ("{} 12.50", card),
+        ("{0} {0} 77", card), ("1 2 3 4 5 6 7 8 9 {}", card), ("1234 {} 5678", card), ("{}-123", "4111111111111111"), ("{} 12ab", card),
+    ]
+    new, count = pseudonyms(spark, [text.format(c) for text, c in cases])
+    assert new == [text.format(alone[c]) for text, c in cases]
+    assert count == [1, 1, 1, 1, 1, 1, 2, 1, 1, 1, 1]
+    # An unusual layout, and other kinds beside a card, within its run or not.
+    new, count = pseudonyms(spark, ["12 37828 22463 10005 12/25", f"12 988-555-2485 {card}", f"{card} 24/12/2024", f"{card} 2024-12-24 219-09-9999", "7 " * 5_000 + card])
+    assert count[:4] == [1, 2, 2, 3] and "10005" not in new[0] and new[0].startswith("12 ") and new[0].endswith(" 12/25")
+    assert alone[card] in new[1] and "2485" not in new[1] and new[2].startswith(alone[card] + " ") and "24/12/2024" not in new[2]
+    assert new[3].startswith(alone[card] + " ") and "2024-12-24" not in new[3] and "9999" not in new[3]
+    assert new[4].endswith(alone[card])
+
+
 def test_formats_links_and_cases(spark):
     texts = [
         None, "", "no number", "4041894974608796 is no card", "call +1 (988) 555-2485 or 988-555-2485", "on 2024-02-29 and 29/02/2024",

@@ -3,7 +3,9 @@
 One pattern finds candidates; a candidate is validated by its kind and, if valid, permuted by a keyed Feistel network within
 the values of its format, so that equal values stay equal everywhere and different ones stay different:
 
-- card numbers: 13 to 19 digits with a right Luhn check digit; the digits before it are permuted, the check digit follows;
+- card numbers: 13 to 19 digits with a right Luhn check digit; the digits before it are permuted, the check digit follows. Groups
+  of digits one space or hyphen apart form a run of any length: if it is no card as a whole, usual card layouts anywhere in it
+  come first, then other values, then the longest card from each group on, so that neighbouring numbers hide none;
 - phone numbers: three, three and four digits, with or without +1; the ten digits are permuted (North American area and
   exchange codes stay such codes);
 - IPv4 addresses; social security numbers (valid areas, groups and serials); dates 1800 to 2199 as yyyy-mm-dd or dd/mm/yyyy.
@@ -27,8 +29,13 @@ PHONE = r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
 IP = r"\d{1,3}(?:\.\d{1,3}){3}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
-CARD = r"\d(?:[ -]?\d){12,18}"
-ANY = rf"{EMAIL}|(?<![\w.+-])(?:{PHONE}|{IP}|{DATE}|{SSN}|{CARD})(?!\w|[.-]\d)"
+LAYOUT = r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}|\d{13,19}"  # of cards
+# Groups that are no part of a word, a decimal or a date; possessive, so that a long run neither backtracks nor recurses.
+GROUP = r"\d++(?!\w|\.\d)"
+RUN = rf"(?=\d(?:[ -]?\d){{12}}){GROUP}(?:[ -](?!\d\d/\d\d/\d{{4}}(?!\w)){GROUP})*+"
+OTHER = rf"(?<![\w.+-])(?:{PHONE}|{DATE}|{SSN})(?!\w|[.-]\d)"  # kinds that can lie within a run
+ANY = rf"{EMAIL}|(?<![\w.+-])(?:{PHONE}|{IP}|{DATE}|{SSN}|{RUN})(?!\w|[.-]\d)"
+MARKED = "<[^>]*>"
 ROUNDS = 8
 EPOCH = "1800-01-01"
 DAYS = (189, 773)  # 146,097 days are 400 years of the calendar
@@ -196,20 +203,91 @@ def _email(token: Column, key: str) -> Column:
 
 def _kind(token: Column) -> Column:
     out = F.lit("email")
-    for kind, pattern in (("card", CARD), ("ssn", SSN), ("date", DATE), ("ip", IP), ("phone", PHONE)):
+    for kind, pattern in (("card", r"\d[\d -]*"), ("ssn", SSN), ("date", DATE), ("ip", IP), ("phone", PHONE)):
         out = F.when(token.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
     return out
 
 
+def _replaced(text: Column, pattern: str, use) -> Column:
+    """The text with `use(match)` in place of every match of the pattern."""
+    found, between = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), use), F.split(text, pattern, -1)
+    return F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def _outside(text: Column, use) -> Column:
+    """The text with `use(part)` in place of every part that is not marked."""
+    found, between = F.regexp_extract_all(text, F.lit(MARKED), F.lit(0)), F.transform(F.split(text, MARKED, -1), use)
+    return F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+
+
+def _marked_cards(part: Column, layout: str, key: str) -> Column:
+    """Part of a run with pseudonyms, marked, for the cards of whole groups in a layout: from left to right, the longest first."""
+
+    def at(groups, start):
+        """Number of groups and text of the card that starts here; NULL without one."""
+
+        def among(near):
+            def window(k):
+                text = F.regexp_replace(F.array_join(F.slice(near, F.lit(1), k), ""), "[ -]$", "")
+                return _let(text, lambda t: F.when(t.rlike(f"^(?:{layout})$"), F.when(_luhn(_digits(t)) % 10 == 0, F.struct(k.alias("k"), t.alias("text")))))
+
+            return F.filter(F.transform(F.sequence(F.size(near), F.lit(1), F.lit(-1)), window), lambda w: w.isNotNull())
+
+        near = F.sequence(start, F.least(start + 18, F.size(groups)))  # a group has one digit at least
+        return _let(F.transform(near, lambda k: F.get(groups, k - 1)), among)
+
+    def marked(groups):
+        def step(state, start):
+            def put(found):
+                card = F.get(found, F.lit(0))
+                end = F.regexp_extract(F.get(groups, start + card["k"] - 2), "[ -]$", 0)
+                return F.when(F.size(found) > 0, F.struct(
+                    (start + card["k"]).alias("next"), F.concat(state["out"], F.lit("<"), _card(card["text"], key), F.lit(">"), end).alias("out"),
+                )).otherwise(F.struct((start + 1).alias("next"), F.concat(state["out"], F.get(groups, start - 1)).alias("out")))
+
+            return F.when(start < state["next"], state).otherwise(_let(at(groups, start), put))
+
+        start = F.struct(F.lit(1).alias("next"), F.lit("").alias("out"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, lambda state: state["out"])
+
+    return _let(F.split(part, r"(?<=[ -])", -1), marked)
+
+
+def _made(kind: Column, value: Column, key: str, makers: dict) -> Column:
+    """The pseudonym of a value by its kind; NULL if it is not valid."""
+    new = F.lit(None).cast("string")
+    for name, maker in makers.items():
+        new = F.when(kind == name, maker(value, key)).otherwise(new)
+    return new
+
+
+def _cards_in(layout: str, key: str):
+    enough = r"\d(?:[ -]?\d){12}"
+    return lambda text: _outside(text, lambda part: F.when(part.rlike(enough), _marked_cards(part, layout, key)).otherwise(part))
+
+
+def _others_in(key: str):
+    makers = {"phone": _phone, "date": _date, "ssn": _ssn}
+
+    def put(value):
+        return F.coalesce(F.concat(F.lit("<"), _made(_kind(value), value, key, makers), F.lit(">")), value)
+
+    return lambda text: _outside(text, lambda part: _replaced(part, OTHER, put))
+
+
+def _in_runs(step) -> Column:
+    return F.transform("__changed", lambda c: F.when(c["run"], F.struct(step(c["text"]).alias("text"), c["n"].alias("n"), c["run"].alias("run"))).otherwise(c))
+
+
 def _pseudonym(token: Column, key: str) -> Column:
-    """Struct kind (NULL if not valid) and text."""
+    """Struct text, n (values replaced) and run (whether values are still to be looked for in it)."""
     makers = {"email": _email, "phone": _phone, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card}
 
     def chosen(kind):
-        new = F.lit(None).cast("string")
-        for name in KINDS:
-            new = F.when(kind == name, makers[name](token, key)).otherwise(new)
-        return _let(new, lambda n: F.struct(F.when(n.isNotNull(), kind).alias("kind"), F.coalesce(n, token).alias("text")))
+        fits = (kind != "card") | F.length(_digits(token)).between(13, 19)
+        return _let(F.when(fits, _made(kind, token, key, makers)), lambda new: F.struct(
+            F.coalesce(new, token).alias("text"), new.isNotNull().cast("int").alias("n"), (new.isNull() & (kind == "card")).alias("run"),
+        ))
 
     return _let(_kind(token), chosen)
 
@@ -222,9 +300,16 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", count_name: str
     tokens = F.when(maybe, F.regexp_extract_all(source, F.lit(ANY), F.lit(0))).otherwise(none)
     changed = F.transform(tokens, lambda token: _pseudonym(token, key))
     rows = docs.withColumn("__changed", changed)
+    # A step a column: nested in one expression they would be too deep for the analyser.
+    for step in (_cards_in(LAYOUT, key), _others_in(key), _cards_in(r"\d(?:[ -]?\d){12,18}", key)):
+        rows = rows.withColumn("__changed", _in_runs(step))
+    marks = lambda c: F.size(F.regexp_extract_all(c["text"], F.lit("<"), F.lit(0)))
+    rows = rows.withColumn("__changed", F.transform("__changed", lambda c: F.when(
+        c["run"], F.struct(F.translate(c["text"], "<>", "").alias("text"), marks(c).alias("n"), c["run"].alias("run"))
+    ).otherwise(c)))
     between = F.split(source, ANY, -1)
     whole = F.array_join(F.zip_with(between, F.transform("__changed", lambda c: c["text"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    count = F.size(F.filter("__changed", lambda c: c["kind"].isNotNull()))
+    count = F.aggregate("__changed", F.lit(0), lambda total, c: total + c["n"])
     return rows.withColumns({
         text: F.when(F.size("__changed") > 0, whole).otherwise(source), count_name: F.coalesce(count, F.lit(0)).cast("long"),
     }).drop("__changed")
