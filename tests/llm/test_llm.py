@@ -9,6 +9,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -226,6 +227,27 @@ def test_near_copies_cases(spark):
     assert near_copies.near_copies(frame.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    def counting(depth):
+        def run(table):
+            first = table.column("text_key")[0].as_py()
+            return pa.table({"text_key": [first], "n_texts": [table.num_rows], "n_documents": [0], "expected": [0.0], "root": [first]})
+
+        return run
+
+    words = letters(5)[:60]
+    text, near = " ".join(words), " ".join(words[:-1])
+    docs = spark.createDataFrame([(1, text)] * 150 + [(2, near)] + [(None, near)] * 150, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.class_id, r.n_links, r.n_similar_texts) for r in near_copies.near_copies(docs).collect()}
+    assert got == {(1, 1, 300, 1), (2, 1, 300, 1), (None, 1, 300, 1)}
+    keys = {t: near_copies._sign(pa.table({"text": [t]}))["text_key"][0] for t in (text, near)}
+    chosen = docs.where("doc_id = 1 OR doc_id IS NULL").groupBy("text").agg(F.min(F.xxhash64("doc_id", "text")).alias("row_key"))
+    chosen = chosen.select(F.when(F.col("text") == text, keys[text]).otherwise(keys[near]).alias("text_key"), "row_key", F.lit(150).cast("long").alias("copies"))
+    families = spark.createDataFrame([(k, keys[text]) for k in keys.values()], "node string, root string")
+    monkeypatch.setattr(near_copies, "_verify", counting)
+    assert [r.n_texts for r in near_copies.verify(docs, chosen, families, 5).collect()] == [2]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(f"{rng.randrange(80):03d}", f"{rng.randrange(80):03d}") for _ in range(50)] + [(f"z{k:03d}", f"z{k + 1:03d}") for k in range(40)]

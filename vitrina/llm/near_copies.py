@@ -229,6 +229,9 @@ def verify(docs: DataFrame, chosen: DataFrame, families: DataFrame, depth: int)
         return {"text_key": keys, "shingles": pa.array(out, pa.binary())}
 
     kept = ["copies", "family", "blocks", "block"]
+    # Of rows that repeat each other, id included, one goes on; only texts with copies have such, so only these are shuffled.
+    found = found.select("row_key", "text", *kept)
+    found = found.where("copies = 1").unionByName(found.where("copies > 1").dropDuplicates(["row_key"]))
     shingled = map_rows(found.select("text", *kept), sets, "text_key string, shingles binary", kept)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = shingled.withColumn("other", other).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
