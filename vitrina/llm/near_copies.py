@@ -6,7 +6,7 @@ its trie. Within a node, leaders take in the texts that resemble them (by all Mi
 comparisons in proportion to the node. Families are then verified exactly: their texts meet in cells of two blocks, shingle
 sets become sparse columns, one matrix product gives all intersections, and only counts and a spanning forest leave a cell.
 From the similarities found, the share of links that the forest catches at this prefix length is estimated; while it is below
-the target, prefixes are shortened by one MinHash.
+the target, prefixes are shortened by one MinHash. With TREES and DEPTH as set it never is: this is banding at a fixed depth.
 
 Leaders: a text with an estimate of REMOVE or more is taken in for good, all texts from LINK on belong to the leader's group. By
 the triangle inequality a partner (0.8) of a text taken in at 0.65 resembles the leader at 0.45, well above LINK. A node of more
