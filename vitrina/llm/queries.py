@@ -7,7 +7,10 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrina.llm import decontamination, near_copies, pii, piece_codec, secret_scan, string_kernel, top_k, toxicity, url_filter, warc
+from vitrina.llm import (
+    decontamination, fill_in_middle, mixing, near_copies, pii, piece_codec, secret_scan, string_kernel, top_k, toxicity, turn_repair,
+    url_filter, warc,
+)
 from vitrina.llm.common import documents, held_out, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +92,22 @@ def op10_leaks(spark, sf_dir):
     return found.select("doc_id", "item_id", "score", "start", "stop")
 
 
+@query
+def op11_mix(spark, sf_dir):
+    mixed = mixing.mix(documents(spark, sf_dir))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_in_middle.digests(fill_in_middle.transform(documents(spark, sf_dir)))
+
+
+@query
+def op13_turn_repair(spark, sf_dir):
+    return turn_repair.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 # Groups and types of op2 in SQL; DuckDB has sha1() in hex, and its base32 is spelt out of groups of five bits.
 ORACLE["op4_top_k"] = """
 WITH kept AS (
@@ -115,3 +134,60 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = original THEN
   CASE WHEN page_id <> original THEN original END AS refers_to
 FROM grouped
 """
+
+ORACLE["op11_mix"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS key,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    CAST('0x' || substr(md5('42:' || coalesce(CAST(doc_id AS VARCHAR), ' ') || ':' || coalesce(text, '')), 1, 8) AS BIGINT) AS draw
+  FROM documents
+), sources AS (
+  SELECT key, min(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY key
+), weighed AS (
+  SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sources
+), levels AS (
+  SELECT *, (sum(source_size) OVER () * 1.5 - coalesce(sum(2.0 * source_size) OVER (full_first ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (full_first ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM weighed WINDOW full_first AS (ORDER BY 2.0 * source_size / weight, source NULLS LAST)
+), goals AS (
+  SELECT key, source_size, least(2.0 * source_size, max(level) OVER () * weight) AS target,
+    CAST('0x' || substr(md5('42:' || key), 1, 7) AS BIGINT) AS start
+  FROM levels
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY key ORDER BY
+    greatest(length(bin(size)) - 6, 0) * 32 + (size >> greatest(length(bin(size)) - 6, 0)) DESC, draw, doc_id, size) - 1 AS place
+  FROM sized
+), rated AS (
+  SELECT p.*, source_size, target, start, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size * 268435456) AS BIGINT) ELSE 0 END AS rate
+  FROM placed p JOIN goals USING (key)
+)
+SELECT doc_id, size, source_size, CAST(target AS DOUBLE) AS target,
+  CAST((((place % 268435456) * rate + start) % 268435456 + rate) // 268435456 * size AS BIGINT) AS taken
+FROM rated
+"""
+
+ORACLE["op12_fill_in_middle"] = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+    sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS hexed
+  FROM documents
+), drawn AS (
+  SELECT *, CAST(len(units) AS BIGINT) AS n, [CAST('0x' || substr(hexed, 1 + 8 * k, 8) AS BIGINT) FOR k IN [0, 1, 2, 3]] AS h FROM cut
+), formed AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+      WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+), parts AS (
+  SELECT *, coalesce(array_to_string(units[1:a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1:b], ''), '') AS middle,
+    coalesce(array_to_string(units[b + 1:], ''), '') AS suffix
+  FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
