@@ -1,8 +1,9 @@
 """Toxicity: boosted trees over dense features of a whole text, calibrated by isotonic regression.
 
 Training rows fall into three folds by a hash of id and text. The lexicon fold gives the words and word beginnings that are
-far more frequent in toxic texts (document counts, added up over all of its rows); the tree fold and the calibration fold are
-bounded samples (`sample` rows each, smallest hashes first, repeated rows once). The folds keep the lexicon from being judged by its own rows.
+far more frequent in toxic texts (document counts); the other two fit the trees and the calibration. All three are bounded samples
+(`lexicon_rows`, `sample` and `sample` different rows, smallest hashes first), chosen from ids and hashes alone, so that only the
+texts of chosen rows leave the scan. The folds keep the lexicon from being judged by its own rows.
 
 Features: densities, counts and distinct entries of the learned words, the learned beginnings, a list of common insults and
 the same after undoing look-alike characters; second person near such words; capitals, punctuation, exclamation and
@@ -10,7 +11,7 @@ obfuscation rates; lengths.
 
 Defined cases: NULL and empty texts have all features 0 and get the score of such a text; very long texts are read whole; a
 document with several labels counts as toxic if one of them says so; without labels every score is 0; rows without id never
-train. Language, source and id are no inputs of a score.
+train; repeated rows train once; an empty table gives an empty result; a kept column may not have the name of a new one. Language, source and id are no inputs of a score.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ SECOND_PERSON = frozenset("you your yours u ur du dich dein deine ihr tu te toi
 LOOKALIKES = str.maketrans("013457@$!", "oieastasi")
 OBFUSCATED = re.compile(r"(?<!\S)(?=\S*[^\W\d_])\S*[^\W\d_][0-9@$!*#]+[^\W\d_]\S*|(?<!\w)(?:[^\W\d_][.\-*_ ]){3,}[^\W\d_](?!\w)")
 SAMPLE = 15_000
+LEXICON_ROWS = 60_000
 LEXICON = 20_000
 NEAR = 6
 BEGINNINGS = (4, 5)
@@ -141,36 +143,55 @@ class Scorer:
         return {k: v for k, v in self.__dict__.items() if k != "cache"}
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE) -> Scorer:
-    """Fit on documents for which `usable` holds and a label exists."""
+def _choose(marked: DataFrame, sizes: dict[int, int], folds: range, use: str, most: int) -> DataFrame:
+    """The `most` smallest hashes of some folds, from narrow rows (doc_id, draw, toxic)."""
+    total = sum(sizes.get(k, 0) for k in folds)
+    within = F.pmod(F.col("draw"), F.lit(10)).between(folds[0], folds[-1]) & low_draws(F.col("draw"), most, total)
+    return marked.where(within).orderBy("draw", "doc_id").limit(most).withColumn("use", F.lit(use))
+
+
+def chosen_rows(docs: DataFrame, labels: DataFrame, usable: Column, sample: int, lexicon_rows: int) -> DataFrame:
+    """Texts for the lexicon, the trees and the calibration: doc_id, draw, toxic, use, text; every (id, text) once.
+
+    The choice is made on ids and hashes alone. Its size is bounded, so it is sent to the scan that picks up the texts.
+    """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.where("doc_id IS NOT NULL").where(usable).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.join(marks, "doc_id").withColumn("draw", F.xxhash64("doc_id", "text"))
+    rows = rows.withColumn("draw", F.xxhash64("doc_id", "text"))
+    marked = stage_table(rows.select("doc_id", "draw").distinct().join(marks, "doc_id"))
     fold = F.pmod(F.col("draw"), F.lit(10))
-    toxic, clean = (F.count_if(F.col("toxic") == label) for label in (1, 0))
-    sizes = {r.fold: (r.toxic, r.clean) for r in rows.groupBy(fold.alias("fold")).agg(toxic.alias("toxic"), clean.alias("clean")).collect()}
-    lexicon = learn_lexicon(rows.where(fold < 5), *(sum(sizes.get(k, (0, 0))[label] for k in range(5)) for label in (0, 1)))
-    empty = Scorer(lexicon, None, None)
+    sizes = {r.fold: r["count"] for r in marked.groupBy(fold.alias("fold")).count().collect()}
+    uses = (("lexicon", range(5), lexicon_rows), ("trees", range(5, 8), sample), ("calibration", range(8, 10), sample))
+    parts = [_choose(marked, sizes, folds, use, most) for use, folds, most in uses]
+    chosen = stage_table(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    return stage_table(rows.join(F.broadcast(chosen), ["doc_id", "draw"]).dropDuplicates(["doc_id", "draw"]))
+
+
+def train(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = SAMPLE, lexicon_rows: int = LEXICON_ROWS) -> Scorer:
+    """Fit on documents for which `usable` holds and a label exists."""
+    chosen = chosen_rows(docs, labels, usable, sample, lexicon_rows)
+    counts = {r.toxic: r["count"] for r in chosen.where("use = 'lexicon'").groupBy("toxic").count().collect()}
+    empty = Scorer(learn_lexicon(chosen.where("use = 'lexicon'"), counts.get(1, 0), counts.get(0, 0)), None, None)
 
     def dense(part):
-        return {"x": list(empty.matrix(part.column("text").to_pylist())), "y": part.column("toxic")}
+        return {"x": list(empty.matrix(part.column("text").to_pylist()))}
+
+    keep = ("use", "draw", "doc_id", "toxic")
+    got = map_rows(chosen.where("use != 'lexicon'").select(*keep, "text"), dense, "x array<double>", keep).collect()
 
-    def table(folds: range) -> tuple[np.ndarray, np.ndarray]:
-        total = sum(sum(sizes.get(k, (0, 0))) for k in folds)
-        chosen = rows.where(fold.between(folds[0], folds[-1]) & low_draws(F.col("draw"), sample, total)).dropDuplicates(["draw"])
-        drawn = chosen.orderBy("draw", "doc_id").limit(sample).select("text", "toxic")
-        got = map_rows(drawn, dense, "x array<double>, y int").collect()
-        return np.array([r.x for r in got], float).reshape(len(got), FEATURES), np.array([r.y for r in got], float)
+    def table(use: str) -> tuple[np.ndarray, np.ndarray]:
+        rows = sorted((r for r in got if r.use == use), key=lambda r: (r.draw, r.doc_id))
+        return np.array([r.x for r in rows], float).reshape(len(rows), FEATURES), np.array([r.toxic for r in rows], float)
 
-    x, y = table(range(5, 8))
+    x, y = table("trees")
     if not len(y):
         return empty
     trees = boosting.fit_trees(x, y, trees=80, depth=3, rate=0.15)
-    x, y = table(range(8, 10))
+    x, y = table("calibration")
     raw = trees.probability(x)
     if not len(y):
-        return Scorer(lexicon, trees, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
-    return Scorer(lexicon, trees, boosting.fit_isotonic(raw, y))
+        return Scorer(empty.lexicon, trees, (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    return Scorer(empty.lexicon, trees, boosting.fit_isotonic(raw, y))
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, keep=("doc_id",), names=("score", "predicted")) -> DataFrame:
