@@ -107,8 +107,9 @@ def fit(bits: np.ndarray, y: list[str], landmarks: int = LANDMARKS, ridge: float
 def train(docs: DataFrame, usable: Column, per_class: int = PER_CLASS) -> Classifier:
     rows = docs.where("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").where(usable)
     rows = rows.select("lang", "text", F.xxhash64("doc_id", "text").alias("draw"))
-    # One row a language, as many as the model has classes.
-    sizes = F.broadcast(stage_table(rows.groupBy("lang").agg(F.count("*").alias("total"))))
+    # One row a language, as many as the model has classes. Repeated rows count once, here as in the sample.
+    different = rows.select("lang", "draw").distinct()
+    sizes = F.broadcast(stage_table(different.groupBy("lang").agg(F.count("*").alias("total"))))
     few = rows.join(sizes, "lang").where(low_draws(F.col("draw"), per_class, F.col("total"))).dropDuplicates(["lang", "draw"])
     smallest = F.row_number().over(W.partitionBy("lang").orderBy("draw"))
     drawn = few.withColumn("turn", smallest).where(F.col("turn") <= per_class).select("lang", "text", "draw")
