@@ -8,7 +8,7 @@ taken once for every integer that the sum crosses at it: the whole part of its r
 Documents stand in the order of their size class (largest first, 32 classes per power of two), then of a hash of id and text, so
 that every stretch of the sum meets documents of like size, and the words taken differ from the target by about the largest
 document. That order does not depend on how the work is cut. Places in it come from counts: rows per class, classes above a
-bounded number of rows cut in ranges of the hash, prefix sums of the counts of these cells, and a running sum in each cell. Sums
+bounded number of rows cut in ranges of the hash, prefix sums of the counts (classes of a source, then cells of a class), and a running sum in each cell. Sums
 are whole numbers of 2^-28 copies, so no rounding depends on the number of rows.
 
 Scale: texts are read once; the narrow rows (id, source, size, hash) are staged and shuffled twice. Equal narrow rows are combined
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from vitrina.sources.staging import stage_table
 
 BITS = 28
-ROWS_PER_CELL = 100_000
+ROWS_PER_CELL = 2_000
 SEED = 42
 
 
@@ -96,16 +96,19 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
     )
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * 2**BITS)).otherwise(0).cast("long")
     start = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("__key")).cast("binary")), 1, BITS // 4), 16, 10).cast("long")
+    larger = Window.partitionBy("__key").orderBy(F.col("__class").desc())
     planned = stage_table(
         classes.drop("source", "__words")
+        .withColumn("__larger", F.sum("__rows").over(larger) - F.col("__rows"))
         .join(sources.drop("source").withColumns({"__rate": rate, "__start": start}), "__key")
         .withColumn("__slices", F.expr(f"1 + __rows div {ROWS_PER_CELL}"))
         .drop("__rows")
     )
     sliced = rows.join(planned, ["__key", "__class"]).withColumn("__slice", F.expr("shiftright(draw * __slices, 32)"))
-    in_order = Window.partitionBy("__key").orderBy(F.col("__class").desc(), "__slice")
-    cells = sliced.groupBy(*cell).agg(F.sum("__n").alias("__in_cell"))
-    cells = cells.select(*cell, (F.sum("__in_cell").over(in_order) - F.col("__in_cell")).alias("__before"))
+    in_order = Window.partitionBy("__key", "__class").orderBy("__slice")
+    cells = sliced.groupBy(*cell).agg(F.sum("__n").alias("__in_cell"), F.first("__larger").alias("__larger"))
+    before = F.col("__larger") + F.sum("__in_cell").over(in_order) - F.col("__in_cell")
+    cells = cells.select(*cell, before.alias("__before"))
     upto = F.sum("__n").over(Window.partitionBy(*cell).orderBy("draw", "doc_id", "size"))
     placed = sliced.withColumn("__upto", upto - F.col("__n")).join(cells, cell)
     single = placed.select(
