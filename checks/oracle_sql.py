@@ -466,8 +466,10 @@ RANKING = f"""
 WITH {LISTINGS} SELECT producto, precio_numerico, reputacion_limpia, disponible_bool, envio_gratis_bool, puntaje_valor, categoria,
   vendedor_limpio FROM listings"""
 ORACLE["report_value_ranking"] = RANKING
-ORACLE["report_value_ranking_top"] = f"""{RANKING} ORDER BY puntaje_valor DESC, producto NULLS FIRST, precio_numerico,
-  reputacion_limpia, disponible_bool, envio_gratis_bool, categoria NULLS FIRST, vendedor_limpio LIMIT 100"""
+RANKING_ORDER = """puntaje_valor DESC, producto NULLS FIRST, precio_numerico,
+  reputacion_limpia, disponible_bool, envio_gratis_bool, categoria NULLS FIRST, vendedor_limpio"""
+ORACLE["report_value_ranking_top"] = f"{RANKING} ORDER BY {RANKING_ORDER} LIMIT 100"
+ORACLE["report_value_ranking_placed"] = f"SELECT *, row_number() OVER (ORDER BY {RANKING_ORDER}) - 1 AS place FROM ({RANKING})"
 
 
 def _posting_report(*keys: str) -> str:

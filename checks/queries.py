@@ -449,6 +449,11 @@ def report_value_ranking(spark, sf_dir):
     return reports.report_value_ranking(_listings(spark, sf_dir))
 
 
+@query
+def report_value_ranking_placed(spark, sf_dir):
+    return reports.report_value_ranking_placed(_listings(spark, sf_dir))
+
+
 @query
 def report_value_ranking_top(spark, sf_dir):
     return reports.report_value_ranking(_listings(spark, sf_dir), limit=100)
@@ -580,9 +585,7 @@ def cap_per_term_large(spark, sf_dir):
 
 @query
 def rank_sort(spark, sf_dir):
-    # Written as one file, the order of the report is the order of its lines; the place follows from the id within the file.
-    ordered = reports.report_vendor(_listings(spark, sf_dir)).select("vendedor_limpio", "reputacion_limpia", "cantidad_productos")
-    return ordered.coalesce(1).select(F.monotonically_increasing_id().alias("place"), "*")
+    return reports.report_vendor_placed(_listings(spark, sf_dir)).select("place", "vendedor_limpio", "reputacion_limpia", "cantidad_productos")
 
 
 @query

@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrina import fixed_values as fv
 from vitrina.functions.text import canonical_url
+from vitrina.operators.ranks import cut_to_first
 
 # Above this limit Spark does not cut groups before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 _MAP_SIDE_LIMIT = 1000
-_SPREAD = 256
 _RANK = "__rank"
 
 
@@ -39,18 +39,17 @@ def number_terms(rows: DataFrame, term: str, terms: Sequence[str]) -> DataFrame:
 
 
 def first_rows(rows: DataFrame, keys: Sequence[str], order_by: Sequence, n: int | None = 1) -> DataFrame:
-    """The first `n` rows of every key (None: all). Exact for any `n` and for hot keys."""
+    """The first `n` rows of every key (None: all). Exact for any `n` and for hot keys.
+
+    Above 1000 rows a key, where Spark does not cut groups before the shuffle, `order_by` must be column names: histograms of them
+    say first which rows can be among the first n, so that no more than about 2 n rows a key are shuffled and ranked.
+    """
     if n is None:
         return rows
     if n > _MAP_SIDE_LIMIT:
-        # Cut every key in slices first, so that no task sees more than n rows of _SPREAD slices of it.
-        slices = Window.partitionBy(*keys, "__slice").orderBy(*order_by)
-        rows = (
-            rows.withColumn("__slice", F.pmod(F.xxhash64(*order_by), F.lit(_SPREAD)))
-            .withColumn(_RANK, F.row_number().over(slices))
-            .where(F.col(_RANK) <= n)
-            .drop(_RANK, "__slice")
-        )
+        if not all(isinstance(name, str) for name in order_by):
+            raise TypeError("more than 1000 rows a key need an order by column names")
+        rows = cut_to_first(rows, keys, order_by, n)
     window = Window.partitionBy(*keys).orderBy(*order_by)
     return rows.withColumn(_RANK, F.row_number().over(window)).where(F.col(_RANK) <= n).drop(_RANK)
 

@@ -20,10 +20,13 @@ def null_missing(rows: DataFrame) -> DataFrame:
 
 
 def clean_listings(
-    listings: DataFrame, bands: Bands = PRICE_BANDS, weights: score.Weights = score.Weights()
+    listings: DataFrame, bands: Bands = PRICE_BANDS, weights: score.Weights = score.Weights(), nulled: bool = False
 ) -> DataFrame:
-    """Listing snapshot plus price, seller, reputation, flags, band and value score. Stateless, one projection chain."""
-    rows = null_missing(listings).withColumns(
+    """Listing snapshot plus price, seller, reputation, flags, band and value score. Stateless, one projection chain.
+
+    `nulled`: texts for missing values are NULL already, as a scanned snapshot has them.
+    """
+    rows = (listings if nulled else null_missing(listings)).withColumns(
         {
             "precio_numerico": parse_price(F.col("precio")),
             "vendedor_limpio": text.clean_vendor(F.col("vendedor")),
@@ -46,10 +49,12 @@ def clean_listings(
     )
 
 
-def clean_postings(postings: DataFrame, as_of: str | None = None, strict_units: bool = False) -> DataFrame:
-    """Posting snapshot plus publication moment, seniority, work mode and age band."""
+def clean_postings(
+    postings: DataFrame, as_of: str | None = None, strict_units: bool = False, nulled: bool = False
+) -> DataFrame:
+    """Posting snapshot plus publication moment, seniority, work mode and age band. `nulled` as in `clean_listings`."""
     moment = as_of_column(as_of)
-    rows = null_missing(postings).withColumns(
+    rows = (postings if nulled else null_missing(postings)).withColumns(
         {
             "fecha_publicacion_dt": parse_posted_at(F.col("fecha_publicacion"), moment, strict_units),
             "nivel_experiencia_limpio": labels.classify_experience(F.col("nivel_experiencia")),

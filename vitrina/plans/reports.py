@@ -2,15 +2,20 @@
 
 Groupings are plain aggregates: Spark combines them before the shuffle, also the distinct counts, so a hot group costs no
 more than any other. Sorted outputs get all keys as tie-break: the order is total and range partitions split evenly.
+
+Every grouped report exists twice: from rows, and from `listing_groups` or `posting_groups`, which hold the groups of all of them
+as grouping sets of one pass over the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrina import fixed_values as fv
 from vitrina.functions.dates import as_of_column
 from vitrina.functions.numbers import round_frame
+from vitrina.operators import ranks
+from vitrina.sources.staging import stage_table
 
 RANKING_COLUMNS = (
     "producto", "precio_numerico", "reputacion_limpia", "disponible_bool",
@@ -18,143 +23,179 @@ RANKING_COLUMNS = (
 )
 
 
-def report_price_band(listings: DataFrame) -> DataFrame:
+def _listing_measures() -> dict[str, Column]:
     price = F.col("precio_numerico")
-    return (
-        listings.groupBy("rango_precio")
-        .agg(
-            F.count("producto").alias("cantidad_productos"),
-            round_frame(F.avg(price)).alias("precio_promedio"),
-            round_frame(F.min(price)).alias("precio_minimo"),
-            round_frame(F.max(price)).alias("precio_maximo"),
-        )
-        .orderBy("rango_precio")
-    )
+    return {
+        "cantidad_productos": F.count("producto"),
+        "precio_promedio": round_frame(F.avg(price)),
+        "precio_minimo": round_frame(F.min(price)),
+        "precio_maximo": round_frame(F.max(price)),
+        "productos_disponibles": F.count_if("disponible_bool"),
+        "productos_envio_gratis": F.count_if("envio_gratis_bool"),
+    }
+
+
+_BAND_COLUMNS = ("cantidad_productos", "precio_promedio", "precio_minimo", "precio_maximo")
+_VENDOR_COLUMNS = ("cantidad_productos", "precio_promedio", "productos_disponibles", "productos_envio_gratis")
+
+
+def _measured(rows, names) -> DataFrame:
+    measures = _listing_measures()
+    return rows.agg(*[measures[name].alias(name) for name in names])
+
+
+def report_price_band(listings: DataFrame) -> DataFrame:
+    return _measured(listings.groupBy("rango_precio"), _BAND_COLUMNS).orderBy("rango_precio")
 
 
 def report_vendor(listings: DataFrame) -> DataFrame:
-    return (
-        listings.groupBy("vendedor_limpio", "reputacion_limpia")
-        .agg(
-            F.count("producto").alias("cantidad_productos"),
-            round_frame(F.avg("precio_numerico")).alias("precio_promedio"),
-            F.count_if("disponible_bool").alias("productos_disponibles"),
-            F.count_if("envio_gratis_bool").alias("productos_envio_gratis"),
-        )
-        .orderBy(F.desc("cantidad_productos"), "vendedor_limpio", "reputacion_limpia")
+    counts = _measured(listings.groupBy("vendedor_limpio", "reputacion_limpia"), _VENDOR_COLUMNS)
+    return counts.orderBy(F.desc("cantidad_productos"), "vendedor_limpio", "reputacion_limpia")
+
+
+def listing_groups(listings: DataFrame) -> DataFrame:
+    """One pass: groups by price band, by seller and reputation, by the first digit of the price (for the median), and of all rows.
+
+    `grouping` tells them apart: BANDS, VENDORS, DIGITS, ALL.
+    """
+    keys = [F.col(name) for name in ("rango_precio", "vendedor_limpio", "reputacion_limpia", "prefix")]
+    rows = listings.withColumn("prefix", ranks.top_digit(F.col("precio_numerico")))
+    return rows.groupingSets([keys[:1], keys[1:3], keys[3:], []], *keys).agg(
+        F.grouping_id().cast("int").alias("grouping"), F.count("*").alias("n"), F.sum("precio_numerico").alias("price_sum"),
+        *[measure.alias(name) for name, measure in _listing_measures().items()],
     )
 
 
+# Bits of the keys that a group is not by.
+BANDS, VENDORS, DIGITS, ALL = 0b0111, 0b1001, 0b1110, 0b1111
+
+
+def price_band_of(groups: DataFrame) -> DataFrame:
+    return groups.where(F.col("grouping") == BANDS).select("rango_precio", *_BAND_COLUMNS).orderBy("rango_precio")
+
+
+def vendor_of(groups: DataFrame) -> DataFrame:
+    counts = groups.where(F.col("grouping") == VENDORS).select("vendedor_limpio", "reputacion_limpia", *_VENDOR_COLUMNS)
+    return counts.orderBy(F.desc("cantidad_productos"), "vendedor_limpio", "reputacion_limpia")
+
+
+def _ranking_order() -> list[Column]:
+    return [F.desc("puntaje_valor"), *[F.asc(name) for name in RANKING_COLUMNS if name != "puntaje_valor"]]
+
+
 def report_value_ranking(listings: DataFrame, limit: int | None = None) -> DataFrame:
     """All listings by value score, or the best `limit`. The full ranking is a range-partitioned sort."""
-    ranked = listings.select(*RANKING_COLUMNS).orderBy(
-        F.desc("puntaje_valor"), *[name for name in RANKING_COLUMNS if name != "puntaje_valor"]
-    )
+    ranked = listings.select(*RANKING_COLUMNS).orderBy(*_ranking_order())
     return ranked if limit is None else ranked.limit(limit)
 
 
-def _posting_counts(postings: DataFrame, *keys: str) -> DataFrame:
-    return postings.groupBy(*keys).agg(
-        F.count("titulo_puesto").alias("cantidad_empleos"),
-        F.count_distinct("empresa").alias("empresas_unicas"),
-    )
+def report_value_ranking_placed(listings: DataFrame, folder: str | None = None) -> DataFrame:
+    """The full ranking with the 0-based `place` of every listing; equal listings take neighbouring places."""
+    return ranks.with_place(listings.select(*RANKING_COLUMNS), _ranking_order(), "place", folder)
+
+
+def report_vendor_placed(listings: DataFrame, folder: str | None = None) -> DataFrame:
+    """The vendor report with the 0-based `place` of every group."""
+    order = (F.desc("cantidad_productos"), F.asc("vendedor_limpio"), F.asc("reputacion_limpia"))
+    return ranks.with_place(_measured(listings.groupBy("vendedor_limpio", "reputacion_limpia"), _VENDOR_COLUMNS), order, "place", folder)
+
+
+def _posting_measures() -> list[Column]:
+    return [F.count("titulo_puesto").alias("cantidad_empleos"), F.count_distinct("empresa").alias("empresas_unicas")]
 
 
 def report_posting_age(postings: DataFrame) -> DataFrame:
-    return _posting_counts(postings, "categoria_fecha").orderBy("categoria_fecha")
+    return postings.groupBy("categoria_fecha").agg(*_posting_measures()).orderBy("categoria_fecha")
 
 
 def report_experience(postings: DataFrame) -> DataFrame:
-    counts = _posting_counts(postings, "nivel_experiencia_limpio")
+    counts = postings.groupBy("nivel_experiencia_limpio").agg(*_posting_measures())
     return counts.orderBy(F.desc("cantidad_empleos"), "nivel_experiencia_limpio")
 
 
 def report_modality_location(postings: DataFrame) -> DataFrame:
-    counts = _posting_counts(postings.where("ubicacion IS NOT NULL"), "modalidad_limpia", "ubicacion")
+    counts = postings.where("ubicacion IS NOT NULL").groupBy("modalidad_limpia", "ubicacion").agg(*_posting_measures())
     return counts.orderBy(F.desc("cantidad_empleos"), "modalidad_limpia", "ubicacion")
 
 
-def value_bucket(value: Column) -> Column:
-    """Monotone bucket number of a double: 1024 buckets per power of two, at most about two million in all.
+def _modes() -> list[Column]:
+    mode = F.col("modalidad_limpia")
+    return [
+        F.count("*").alias("total_empleos_linkedin"),
+        F.count_if(mode == fv.MODE_REMOTE).alias("empleos_remotos"),
+        F.count_if(mode == fv.MODE_ONSITE).alias("empleos_presenciales"),
+        F.count_if(mode == fv.MODE_HYBRID).alias("empleos_hibridos"),
+    ]
+
 
-    Declared free of NULL, so that a join on it does not repeat the whole expression in a pushed-down null filter.
-    """
-    size = F.coalesce(F.floor(F.log2(1.0 + F.abs(value)) * 1024.0), F.lit(0).cast("bigint"))
-    above_all = F.lit(2**63 - 1)  # NaN sorts above infinity
-    return F.when(F.isnan(value), above_all).when(value < 0, -F.least(size, F.lit(2**62)) - 1).otherwise(F.least(size, F.lit(2**62)))
+def posting_groups(postings: DataFrame) -> DataFrame:
+    """One pass: groups by age band, by seniority, by work mode and place, and of all rows (`grouping`: AGES, LEVELS, PLACES, ALL)."""
+    rows = postings.withColumn("mode_key", F.col("modalidad_limpia"))  # the modes are counted in groups that are not by mode
+    keys = [F.col(name) for name in ("categoria_fecha", "nivel_experiencia_limpio", "mode_key", "ubicacion")]
+    return rows.groupingSets([keys[:1], keys[1:2], keys[2:], []], *keys).agg(
+        F.grouping_id().cast("int").alias("grouping"), *_posting_measures(), *_modes()
+    )
 
 
-def _median_row(rows: DataFrame, value: Column, sums: dict[str, Column]) -> DataFrame:
-    """One row: the exact `median` of a column free of NULL, the row count `n` and further sums, in two passes.
+AGES, LEVELS, PLACES = 0b0111, 0b1011, 0b1100
 
-    First the counts per value bucket say which bucket holds the middle ranks; then only the rows of that bucket are
-    counted per distinct value. One task sees no more than the bucket counts (bounded by the buckets of a double) and the
-    distinct values of the middle bucket, which spans less than a thousandth of the value. The sums ride on the first pass.
-    """
-    by_bucket = rows.groupBy(value_bucket(value).alias("__bucket")).agg(
-        F.count("*").alias("n"), *[total.alias(name) for name, total in sums.items()]
-    )
-    everything = Window.partitionBy()
-    upto = F.sum("n").over(Window.orderBy("__bucket"))
-    middle = (
-        by_bucket.select(
-            "__bucket", (upto - F.col("n")).alias("before"), upto.alias("upto"),
-            *[F.sum(name).over(everything).alias(name) for name in ("n", *sums)],
-        )
-        .withColumns({"first": F.expr("(n + 1) div 2"), "second": F.expr("n div 2 + 1")})
-        .where("upto >= first AND before < second")
-        .drop("upto")
-    )
-    counts = (
-        rows.select(value.alias("__value"), value_bucket(value).alias("__bucket"))
-        .join(F.broadcast(middle), "__bucket")  # at most two rows
-        .groupBy(*middle.columns, "__value")
-        .agg(F.count("*").alias("__count"))
-    )
-    reached = F.col("before") + F.sum("__count").over(Window.partitionBy("__bucket").orderBy("__value"))
-    return (
-        counts.withColumn("upto", reached)
-        .where("upto >= first AND upto - __count < second")
-        .agg(
-            ((F.min("__value") + F.max("__value")) / 2.0).alias("median"),
-            *[F.max(name).alias(name) for name in ("n", *sums)],
-        )
+
+def posting_age_of(groups: DataFrame) -> DataFrame:
+    return groups.where(F.col("grouping") == AGES).select("categoria_fecha", "cantidad_empleos", "empresas_unicas").orderBy("categoria_fecha")
+
+
+def experience_of(groups: DataFrame) -> DataFrame:
+    counts = groups.where(F.col("grouping") == LEVELS).select("nivel_experiencia_limpio", "cantidad_empleos", "empresas_unicas")
+    return counts.orderBy(F.desc("cantidad_empleos"), "nivel_experiencia_limpio")
+
+
+def modality_location_of(groups: DataFrame) -> DataFrame:
+    counts = groups.where((F.col("grouping") == PLACES) & F.col("ubicacion").isNotNull()).select(
+        F.col("mode_key").alias("modalidad_limpia"), "ubicacion", "cantidad_empleos", "empresas_unicas"
     )
+    return counts.orderBy(F.desc("cantidad_empleos"), "modalidad_limpia", "ubicacion")
 
 
 def exact_median(rows: DataFrame, column: str) -> DataFrame:
     """One row `median`: the exact median of a double column, without bringing its values together in one task."""
-    known = rows.where(F.col(column).isNotNull())
-    return _median_row(known, F.col(column), {}).select("median")
+    return ranks.exact_median(rows, F.col(column))
+
+
+def _summary_row(totals: DataFrame, modes: DataFrame, median: DataFrame, as_of: str | None) -> DataFrame:
+    """One row from one row of each."""
+    stamp = F.date_format(as_of_column(as_of), "yyyy-MM-dd HH:mm:ss").alias("fecha_analisis")
+    counts = ("total_empleos_linkedin", "empleos_remotos", "empleos_presenciales", "empleos_hibridos")
+    rows = totals.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(modes))
+    return rows.select(
+        stamp, F.coalesce("n", F.lit(0)).alias("total_productos_ml"), F.coalesce(counts[0], F.lit(0)).alias(counts[0]),
+        round_frame(F.col("price_sum") / F.col("n")).alias("precio_promedio_ml"), round_frame(F.col("median")).alias("precio_mediano_ml"),
+        F.coalesce("available", F.lit(0)).alias("productos_disponibles"), F.coalesce("free", F.lit(0)).alias("productos_envio_gratis"),
+        *[F.coalesce(name, F.lit(0)).alias(name) for name in counts[1:]],
+    )
 
 
 def summary(listings: DataFrame, postings: DataFrame, as_of: str | None = None) -> DataFrame:
-    """One row of totals. The listing totals come from the same pass that counts the median's buckets."""
+    """One row of totals. The listing totals come from the same pass that counts the first digits of the prices for the median."""
     price = F.col("precio_numerico")
-    sums = {
-        "price_sum": F.sum(price),
-        "available": F.count_if("disponible_bool"),
-        "free": F.count_if("envio_gratis_bool"),
-    }
-    totals = _median_row(listings, price, sums).select(
-        F.coalesce("n", F.lit(0)).alias("total_productos_ml"),
-        round_frame(F.col("price_sum") / F.col("n")).alias("precio_promedio_ml"),
-        round_frame(F.col("median")).alias("precio_mediano_ml"),
-        F.coalesce("available", F.lit(0)).alias("productos_disponibles"),
-        F.coalesce("free", F.lit(0)).alias("productos_envio_gratis"),
-    )
-    mode = F.col("modalidad_limpia")
-    modes = postings.agg(
-        F.count("*").alias("total_empleos_linkedin"),
-        F.count_if(mode == fv.MODE_REMOTE).alias("empleos_remotos"),
-        F.count_if(mode == fv.MODE_ONSITE).alias("empleos_presenciales"),
-        F.count_if(mode == fv.MODE_HYBRID).alias("empleos_hibridos"),
-    )
-    stamp = F.date_format(as_of_column(as_of), "yyyy-MM-dd HH:mm:ss").alias("fecha_analisis")
-    return totals.crossJoin(F.broadcast(modes)).select(  # one row on either side
-        stamp, "total_productos_ml", "total_empleos_linkedin", "precio_promedio_ml", "precio_mediano_ml",
-        "productos_disponibles", "productos_envio_gratis", "empleos_remotos", "empleos_presenciales", "empleos_hibridos",
+    first = listings.groupBy(ranks.top_digit(price).alias("prefix")).agg(
+        F.count("*").alias("n"), F.sum(price).alias("price_sum"),
+        F.count_if("disponible_bool").alias("available"), F.count_if("envio_gratis_bool").alias("free"),
     )
+    first = stage_table(first)
+    totals = first.agg(*[F.sum(name).alias(name) for name in ("n", "price_sum", "available", "free")])
+    median = ranks.exact_median(listings, price, first.select("prefix", "n"))
+    return _summary_row(totals, postings.agg(*_modes()), median, as_of)
+
+
+def summary_of(listing_groups: DataFrame, posting_groups: DataFrame, listings: DataFrame, as_of: str | None = None) -> DataFrame:
+    """The summary from the groups; the rows are read once more, for the prices that share the median's first digit."""
+    names = {"n": "n", "price_sum": "price_sum", "productos_disponibles": "available", "productos_envio_gratis": "free"}
+    every = listing_groups.where(F.col("grouping") == ALL)
+    totals = every.agg(*[F.max(name).alias(alias) for name, alias in names.items()])
+    counts = ("total_empleos_linkedin", "empleos_remotos", "empleos_presenciales", "empleos_hibridos")
+    modes = posting_groups.where(F.col("grouping") == ALL).agg(*[F.max(name).alias(name) for name in counts])
+    digits = listing_groups.where(F.col("grouping") == DIGITS).select("prefix", "n")
+    return _summary_row(totals, modes, ranks.exact_median(listings, F.col("precio_numerico"), digits), as_of)
 
 
 def category_counts(listings: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
@@ -12,34 +12,54 @@ from vitrina.plans import clean, reports
 from vitrina.sources import sinks, snapshots, staging
 
 
-def all_reports(listings: DataFrame, postings: DataFrame, as_of: str | None = None) -> dict[str, DataFrame]:
-    """The seven reports, lazily, from cleaned listings and postings."""
-    return {
-        "productos_por_rango_precio": reports.report_price_band(listings),
-        "productos_por_vendedor": reports.report_vendor(listings),
+Report = Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def all_reports(
+    listings: DataFrame, postings: DataFrame, as_of: str | None = None, folder: str | None = None,
+    more: Mapping[str, Report] | None = None,
+) -> dict[str, DataFrame]:
+    """The seven reports, from cleaned listings and postings, and `more` of the caller's own.
+
+    The groups of all grouped reports are computed in one pass over each input and staged; ranking and median read the listings
+    again. A report of `more` gets both cleaned tables.
+    """
+    listed = staging.stage_table(reports.listing_groups(listings), folder)
+    posted = staging.stage_table(reports.posting_groups(postings), folder)
+    prepared = {
+        "productos_por_rango_precio": reports.price_band_of(listed),
+        "productos_por_vendedor": reports.vendor_of(listed),
         "productos_por_factor_personalizado": reports.report_value_ranking(listings),
-        "empleos_por_fecha_publicacion": reports.report_posting_age(postings),
-        "empleos_por_nivel_experiencia": reports.report_experience(postings),
-        "empleo_por_factor_personalizado_modalidad_ubicacion": reports.report_modality_location(postings),
-        "reporte_resumen": reports.summary(listings, postings, as_of),
+        "empleos_por_fecha_publicacion": reports.posting_age_of(posted),
+        "empleos_por_nivel_experiencia": reports.experience_of(posted),
+        "empleo_por_factor_personalizado_modalidad_ubicacion": reports.modality_location_of(posted),
+        "reporte_resumen": reports.summary_of(listed, posted, listings, as_of),
     }
+    taken = sorted(prepared.keys() & (more or {}).keys())
+    if taken:
+        raise ValueError(f"reports of these names exist: {', '.join(taken)}")
+    return prepared | {name: report(listings, postings) for name, report in (more or {}).items()}
 
 
 def run_all(
-    listings: DataFrame, postings: DataFrame, as_of: str | None = None, staged: bool = False
+    listings: DataFrame, postings: DataFrame, as_of: str | None = None, staged: bool = False, folder: str | None = None,
+    more: Mapping[str, Report] | None = None, nulled: bool = False,
 ) -> dict[str, DataFrame]:
     """Clean both snapshots and prepare all reports.
 
-    `staged` writes the cleaned columns that the reports use once to the shared folder, so that seven reports do not parse
-    the CSV text seven times; without it every report scans its input anew, which is right for columnar input.
+    `staged` writes the cleaned columns once to the shared folder (or to `folder` in it), so that grouped reports, ranking and
+    median do not parse CSV text again; without it they scan their input anew, which is right for columnar input. With `more`, all
+    cleaned columns are staged.
     """
-    cleaned = clean.clean_listings(listings).select(*reports.RANKING_COLUMNS, "rango_precio")
-    dated = clean.clean_postings(postings, as_of).select(
-        "titulo_puesto", "empresa", "ubicacion", "categoria_fecha", "nivel_experiencia_limpio", "modalidad_limpia"
-    )
+    cleaned, dated = clean.clean_listings(listings, nulled=nulled), clean.clean_postings(postings, as_of, nulled=nulled)
+    if not more:
+        cleaned = cleaned.select(*reports.RANKING_COLUMNS, "rango_precio")
+        dated = dated.select(
+            "titulo_puesto", "empresa", "ubicacion", "categoria_fecha", "nivel_experiencia_limpio", "modalidad_limpia"
+        )
     if staged:
-        cleaned, dated = staging.stage_table(cleaned), staging.stage_table(dated)
-    return all_reports(cleaned, dated, as_of)
+        cleaned, dated = staging.stage_table(cleaned, folder), staging.stage_table(dated, folder)
+    return all_reports(cleaned, dated, as_of, folder, more)
 
 
 def run_analysis(
@@ -50,15 +70,18 @@ def run_analysis(
     posting_prefix: str = "postings_",
     as_of: str | None = None,
     multi_line: bool = True,
+    more: Mapping[str, Report] | None = None,
 ) -> dict[str, str]:
-    """Newest snapshot of each kind to seven written reports; returns their paths."""
+    """Newest snapshot of each kind to seven written reports and `more`; returns their paths. Leaves nothing else behind."""
     listings = snapshots.scan_listings(
         spark, snapshots.latest_snapshot(spark, raw_dir, listing_prefix), multi_line
     )
     postings = snapshots.scan_postings(
         spark, snapshots.latest_snapshot(spark, raw_dir, posting_prefix), multi_line
     )
-    return sinks.write_reports(run_all(listings, postings, as_of, staged=True), out_dir)
+    with staging.run_folder(spark) as folder:
+        prepared = run_all(listings, postings, as_of, True, folder, more, nulled=True)
+        return sinks.write_reports(prepared, out_dir)
 
 
 def listing_cards(
