@@ -291,6 +291,22 @@ SELECT 'postings' AS kind, count(*) AS rows_extracted, count(DISTINCT url_empleo
 ORACLE["run_posting_session"] = _posting_session("true")
 ORACLE["run_posting_session_capped"] = _posting_session("rn <= 50")
 
+def _session_counts(kind: str, cards: str, table: str, term: str, terms, key: str, bare: str = "0") -> str:
+    """Sessions without caps, with the web pages beside the rendered ones, of which `bare` hold no record and little text."""
+    return f"""
+WITH {cards},
+ranked AS (SELECT *, list_position({list(terms)}, {term}) AS term_no FROM extracted WHERE {term} IN {_in(terms)}),
+firsts AS (SELECT * FROM (SELECT *, {key} AS k FROM ranked) QUALIFY row_number() OVER (PARTITION BY k ORDER BY term_no, page_id, pos) = 1),
+bodies AS (SELECT page_id, {_untag("regexp_extract(html, '<body>(.*)', 1, 's')")} AS body FROM pages),
+statuses AS (SELECT {_status("body")} FROM bodies),
+listed AS (SELECT {term} AS name, count(*) AS n FROM firsts GROUP BY {term})
+SELECT '{kind}' AS kind, (SELECT count(*) FROM {table}) + (SELECT count(*) FROM pages) AS pages,
+  (SELECT count(*) FROM statuses WHERE status = 'blocked') AS pages_blocked, (SELECT count(*) FROM statuses WHERE status = 'thin') + {bare} AS pages_thin,
+  (SELECT count(*) FROM extracted WHERE {term} NOT IN {_in(terms)}) AS rows_other_terms, (SELECT count(*) FROM ranked) AS rows_extracted,
+  (SELECT count(*) FROM firsts) AS rows_unique, (SELECT count(*) FROM firsts) AS rows_valid, true AS success, CAST(NULL AS VARCHAR) AS error,
+  (SELECT string_agg(name || '=' || n, ';' ORDER BY name) FROM listed) AS categories"""
+
+
 HREFS = "regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)"
 ORACLE["absolutize_url"] = f"""
 WITH links AS (SELECT page_id, unnest({HREFS}) AS raw_href, unnest(range(0, len({HREFS}))) AS pos FROM pages),
@@ -364,6 +380,17 @@ ORACLE["page_status_html"] = f"""
 WITH bodies AS (SELECT page_id, {_untag("regexp_extract(html, '<body>(.*)', 1, 's')")} AS body FROM pages)
 SELECT page_id, {_status("body")} FROM bodies"""
 
+ORACLE["run_listing_session_counts"] = _session_counts(
+    "listings", ALL_CARDS, "part", "categoria", st.LISTING_TERMS,
+    "CASE WHEN url_producto <> 'N/A' THEN url_producto ELSE producto || '_' || precio || '_' || vendedor END",
+    "(SELECT count(*) FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM cards WHERE k NOT IN (4, 5)))",  # no usable block
+)
+ORACLE["run_posting_session_counts"] = _session_counts("postings", POSTED_CARDS, "customer", "term", st.SEGMENTS, "url_empleo")
+ORACLE["run_session_failed"] = f"""
+WITH done AS ({_posting_session("true")})
+SELECT kind, (SELECT count(*) FROM customer) AS pages, rows_extracted, rows_valid, true AS success, CAST(NULL AS BOOLEAN) AS exists_already FROM done
+UNION ALL SELECT kind, (SELECT count(*) FROM customer), rows_extracted, NULL, false, true FROM done"""
+
 # --- normalisers ---------------------------------------------------------------------------------------------------------
 
 ORACLE["clean_text_listing"] = f"WITH {RAW_L}, {CLEAN_L} SELECT * EXCLUDE (precio) FROM cleanl"

@@ -555,6 +555,49 @@ def run_posting_session_capped(spark, sf_dir):
     return result.select("kind", "rows_extracted", "rows_unique", "duplicates_dropped", "rows_valid", "success")
 
 
+SESSION_COUNTS = (
+    "kind", "pages", "pages_blocked", "pages_thin", "rows_other_terms", "rows_extracted", "rows_unique", "rows_valid", "success", "error",
+)
+
+
+def _with_web_pages(pages, spark, sf_dir):
+    """Result pages, and among them web pages of another site, some of them blocked or nearly empty."""
+    web = _pages(spark, sf_dir).select((-F.col("page_id") - 1).alias("page_id"), "url", "html", F.lit("web").alias("term"))
+    return pages.select("page_id", "url", "html", "term").unionByName(web.select(*[F.col(n).cast(pages.schema[n].dataType) for n in ("page_id", "url", "html", "term")]))
+
+
+def _session_counts(result):
+    entries = F.array_sort(F.map_entries("category_counts"))
+    said = F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ";")
+    return result.select(*SESSION_COUNTS, said.alias("categories"))
+
+
+@query
+def run_listing_session_counts(spark, sf_dir):
+    pages = _with_web_pages(st.listing_pages(spark, sf_dir), spark, sf_dir)
+    return _session_counts(run.run_listing_session(
+        pages, None, st.LISTING_TERMS, st.LISTING_HOST, staging.shared_folder(spark), st.AS_OF, stamp="20240201_120000", fmt="parquet",
+    ))
+
+
+@query
+def run_posting_session_counts(spark, sf_dir):
+    pages = _with_web_pages(st.posting_pages(spark, sf_dir), spark, sf_dir)
+    return _session_counts(run.run_posting_session(
+        pages, None, st.SEGMENTS, st.POSTING_HOST, staging.shared_folder(spark), st.AS_OF, stamp="20240201_120000", fmt="parquet",
+    ))
+
+
+@query
+def run_session_failed(spark, sf_dir):
+    """A session whose snapshot exists already: a row with the error instead of an exception."""
+    folder = staging.shared_folder(spark)
+    pages = st.posting_pages(spark, sf_dir)
+    runs = [run.run_posting_session(pages, None, st.SEGMENTS, st.POSTING_HOST, folder, st.AS_OF, stamp="1") for _ in range(2)]
+    failed = F.col("error").contains("already exists")
+    return runs[0].unionByName(runs[1]).select("kind", "pages", "rows_extracted", "rows_valid", "success", failed.alias("exists_already"))
+
+
 # --- dedup, caps, order, union -------------------------------------------------------------------------------------------
 
 

@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from vitrina import fixed_values as fv
@@ -44,6 +44,10 @@ class Spec:
 
     `limit` blocks are taken per container selector; `first_only` stops at the first selector that finds any. If none
     does, the nearest `li` around each of the first `limit` links `fallback_link` is a block.
+
+    With `block_words`, only blocks with one of them and more than `block_chars` characters count, and fields are looked up only
+    in those of the first selector that has any, at most `cards` of them. `page_text` adds the text of the body of pages without
+    any block, NULL for others.
     """
 
     fields: tuple[Field, ...]
@@ -51,6 +55,10 @@ class Spec:
     limit: int | None = None
     first_only: bool = True
     fallback_link: str | None = None
+    block_words: tuple[str, ...] = ()
+    block_chars: int = 0
+    cards: int | None = None
+    page_text: bool = False
 
 
 def _blocks(page: Document, spec: Spec) -> Iterator[tuple[int, int, int]]:
@@ -73,6 +81,21 @@ def _blocks(page: Document, spec: Spec) -> Iterator[tuple[int, int, int]]:
             yield len(spec.containers), place, index
 
 
+def _usable(page: Document, spec: Spec) -> Iterator[tuple[int, int, int, str]]:
+    """Blocks with their text; with `block_words`, the usable ones of the first selector that has any."""
+    chosen, taken = None, 0
+    for number, place, index in _blocks(page, spec):
+        if chosen is not None and (number != chosen or taken == spec.cards):
+            return
+        content = page.text_content(index)
+        if spec.block_words:
+            lower = content.lower()
+            if len(content.strip(fv.WHITESPACE)) <= spec.block_chars or not any(word in lower for word in spec.block_words):
+                continue
+            chosen, taken = number, taken + 1
+        yield number, place, index, content
+
+
 def _candidates(page: Document, block: int, field: Field) -> list[str | None]:
     values: list[str | None] = []
     for selector in field.selectors:
@@ -91,7 +114,10 @@ def _candidates(page: Document, block: int, field: Field) -> list[str | None]:
 
 
 def extract_records(pages: DataFrame, spec: Spec) -> DataFrame:
-    """Every page column but `html`, plus `blocks`: array of (sel, pos, content, one array of candidates per field)."""
+    """Every page column but `html`, plus `blocks`: array of (sel, pos, content, one array of candidates per field).
+
+    And `page_text`, if the spec asks for it.
+    """
     kept = [name for name in pages.columns if name != "html"]
     names = [field.name for field in spec.fields]
     texts = ArrayType(StringType())
@@ -100,6 +126,8 @@ def extract_records(pages: DataFrame, spec: Spec) -> DataFrame:
         + [StructField(name, texts) for name in names]
     )
     schema = StructType([pages.schema[name] for name in kept] + [StructField("blocks", ArrayType(block_type))])
+    if spec.page_text:
+        schema = schema.add("page_text", StringType())
     arrow_type = pa.list_(
         pa.struct(
             [("sel", pa.int32()), ("pos", pa.int32()), ("content", pa.string())]
@@ -107,25 +135,30 @@ def extract_records(pages: DataFrame, spec: Spec) -> DataFrame:
         )
     )
 
-    def parse(html: str | None) -> list[dict]:
+    def parse(html: str | None) -> tuple[list[dict], str | None]:
         if html is None:
-            return []
+            return [], ""
         page = Document(html)
-        return [
-            {"sel": number, "pos": place, "content": page.text_content(index)}
+        blocks = [
+            {"sel": number, "pos": place, "content": content}
             | {field.name: _candidates(page, index, field) for field in spec.fields}
-            for number, place, index in _blocks(page, spec)
+            for number, place, index, content in _usable(page, spec)
         ]
+        if blocks or not spec.page_text:
+            return blocks, None
+        body = page.first(0, "body")
+        return blocks, "" if body is None else page.text_content(body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Small output slices: the parsed blocks of a full batch are never held at once.
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                blocks = pa.array([parse(html.as_py()) for html in part.column("html")], arrow_type)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(name) for name in kept] + [blocks], names=[*kept, "blocks"]
-                )
+                parsed = [parse(html.as_py()) for html in part.column("html")]
+                arrays = [part.column(name) for name in kept] + [pa.array([blocks for blocks, _ in parsed], arrow_type)]
+                if spec.page_text:
+                    arrays.append(pa.array([text for _, text in parsed], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return pages.select(*kept, "html").mapInArrow(run, schema)
 
@@ -192,6 +225,8 @@ def _extraction_day(as_of: str | None) -> Column:
 LISTING_CARD = Spec(
     containers=fv.LISTING_CONTAINERS,
     first_only=False,
+    block_words=fv.LISTING_BLOCK_WORDS,
+    block_chars=fv.LISTING_BLOCK_CHARS,
     fields=(
         Field("titles", fv.LISTING_TITLES),
         Field("prices", fv.LISTING_PRICES),
@@ -207,30 +242,31 @@ def parse_valid_listing(title: Column, price: Column) -> Column:
     return (F.length(strip(title)) >= 5) & ~price.isin("", fv.MISSING)
 
 
+def _watched(pages: DataFrame, spec: Spec, seen: Observation | None) -> DataFrame:
+    """The records of pages; `seen` receives the number of pages and of those that look blocked or thin instead of holding records."""
+    if seen is None:
+        return extract_records(pages, spec)
+    found = extract_records(pages, replace(spec, page_text=True))
+    status = F.when(F.col("page_text").isNotNull(), labels.page_status(F.col("page_text")))
+    counts = [F.count_if(status == name).alias(f"pages_{name}") for name in ("blocked", "thin")]
+    return found.withColumn("status", status).observe(seen, F.count(F.lit(1)).alias("pages"), *counts).drop("page_text", "status")
+
+
 def extract_listings(
     pages: DataFrame, host: str, as_of: str | None = None, max_cards: int | None = None, spec: Spec = LISTING_CARD,
-    blocks_per_page: int | None = None,
+    blocks_per_page: int | None = None, seen: Observation | None = None,
 ) -> DataFrame:
     """Listings on stored result pages (page_id, url, html, term), `pos` being the place of the card on its page.
 
     The container selector that counts is the first with a usable block among its first `blocks_per_page` blocks (None: all),
-    and at most `max_cards` of its cards are taken (None: all).
+    and at most `max_cards` of its cards are taken (None: all). Both are decided while parsing: fields are looked up in the cards
+    that are taken only. `seen` counts the pages, blocked and thin ones apart.
     """
+    spec = replace(spec, cards=max_cards)
     if blocks_per_page is not None:
         spec = replace(spec, limit=blocks_per_page)
-    found = extract_records(pages, spec).withColumn(
-        "usable", F.filter("blocks", lambda block: is_listing_block(block["content"]))
-    )
-    chosen = F.array_min(F.transform("usable", lambda block: block["sel"]))
-    cards = F.filter("usable", lambda b: b["sel"] == F.col("chosen"))
-    cards = (
-        found.withColumn("chosen", chosen)
-        .select(
-            "page_id", "term",
-            F.explode(cards if max_cards is None else F.slice(cards, 1, max_cards)).alias("card"),
-        )
-        .select("page_id", "term", "card.*")
-    )
+    found = _watched(pages, spec, seen)
+    cards = found.select("page_id", "term", F.explode("blocks").alias("card")).select("page_id", "term", "card.*")
     price = first_text(F.col("prices"))
     rows = cards.select(
         "page_id",
@@ -320,10 +356,13 @@ def parse_valid_posting(title: Column, company: Column) -> Column:
 
 
 def extract_postings(
-    pages: DataFrame, host: str, as_of: str | None = None, max_cards: int | None = None
+    pages: DataFrame, host: str, as_of: str | None = None, max_cards: int | None = None, seen: Observation | None = None
 ) -> DataFrame:
-    """Postings on stored result pages (page_id, url, html, term); `indice` = `pos` = place of the card on its page."""
-    found = extract_records(pages, posting_card(max_cards))
+    """Postings on stored result pages (page_id, url, html, term); `indice` = `pos` = place of the card on its page.
+
+    `seen` counts the pages, blocked and thin ones apart.
+    """
+    found = _watched(pages, posting_card(max_cards), seen)
     cards = found.select("page_id", "term", F.explode("blocks").alias("card")).select("page_id", "term", "card.*")
     title = F.get(
         F.filter(F.arrays_zip("titles", "title_hrefs"), lambda pair: strip(pair["titles"]) != ""), F.lit(0)

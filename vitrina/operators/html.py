@@ -49,6 +49,7 @@ class Document:
         self.pieces: list[tuple[str | None, bool]] = []
         self.by_tag, self.by_class = defaultdict(list), defaultdict(list)
         self._children: dict[int, list[int]] = {}
+        self._found: dict[str, list[int]] = {}  # elements of the page by selector, for searches in blocks
         self._open = [0]
         self._open_count = Counter()  # open elements by tag
         self._hidden = 0
@@ -175,6 +176,15 @@ class Document:
         """Descendants of `scope` that match, in document order. Nothing outside `scope`, nor `scope` itself, counts as ancestor."""
         chains = parse_selector(selector)
         low, high = scope + 1, self.end[scope]
+        if scope:
+            # Blocks share one search of the page per selector: what matches in a block matches in the page.
+            if selector not in self._found:
+                self._found[selector] = list(self.select(0, selector))
+            found = self._found[selector]
+            part = found[bisect_left(found, low):bisect_left(found, high)]
+            if not part or all(len(chain) == 1 for chain in chains):
+                return iter(part)
+            return (i for i in part if any(self._matches(i, chain, scope) for chain in chains))
         if len(chains) > 1:
             return (i for i in range(low, high) if any(self._matches(i, chain, scope) for chain in chains))
         (chain,) = chains

@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from vitrina import fixed_values as fv
 from vitrina.functions.text import canonical_url
@@ -30,12 +30,15 @@ def union_terms(frames: Mapping[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tagged)
 
 
-def number_terms(rows: DataFrame, term: str, terms: Sequence[str]) -> DataFrame:
-    """Keep the rows of the given terms and tag them with their place in the list."""
+def number_terms(rows: DataFrame, term: str, terms: Sequence[str], dropped: Observation | None = None) -> DataFrame:
+    """Keep the rows of the given terms and tag them with their place in the list; `dropped` receives the count of the others."""
     number = F
     for no, name in enumerate(terms):
         number = number.when(F.col(term) == name, no)
-    return rows.where(F.col(term).isin(*terms)).withColumn("term_no", number.otherwise(None))
+    listed = F.coalesce(F.col(term).isin(*terms), F.lit(False))
+    if dropped is not None:
+        rows = rows.observe(dropped, F.count_if(~listed).alias("rows_other_terms"))
+    return rows.where(listed).withColumn("term_no", number.otherwise(None))
 
 
 def first_rows(rows: DataFrame, keys: Sequence[str], order_by: Sequence, n: int | None = 1) -> DataFrame:

@@ -86,40 +86,59 @@ def run_analysis(
 
 def listing_cards(
     pages: DataFrame, terms: Sequence[str], host: str, as_of: str | None = None, max_rows: int | None = None,
-    blocks_per_page: int | None = None,
+    blocks_per_page: int | None = None, seen: Observation | None = None, dropped: Observation | None = None,
 ) -> DataFrame:
     """Cards of stored result pages, numbered by term and capped; duplicates still in."""
-    rows = ingest.number_terms(extract.extract_listings(pages, host, as_of, max_rows, blocks_per_page=blocks_per_page), "categoria", terms)
+    cards = extract.extract_listings(pages, host, as_of, max_rows, blocks_per_page=blocks_per_page, seen=seen)
+    rows = ingest.number_terms(cards, "categoria", terms, dropped)
     return ingest.cap_per_term(rows, "categoria", ("page_id", "pos"), max_rows)
 
 
 def posting_cards(
-    pages: DataFrame, terms: Sequence[str], host: str, as_of: str | None = None, max_rows: int | None = None
+    pages: DataFrame, terms: Sequence[str], host: str, as_of: str | None = None, max_rows: int | None = None,
+    seen: Observation | None = None, dropped: Observation | None = None,
 ) -> DataFrame:
     """Cards of stored posting pages, numbered by term and capped; duplicates still in."""
-    rows = ingest.number_terms(extract.extract_postings(pages, host, as_of, max_rows), "term", terms)
+    rows = ingest.number_terms(extract.extract_postings(pages, host, as_of, max_rows, seen), "term", terms, dropped)
     return ingest.cap_per_term(rows, "term", ("page_id", "pos"), max_rows)
 
 
 RUN_SCHEMA = (
     "kind string, rows_extracted bigint, duplicates_dropped bigint, rows_unique bigint, rows_valid bigint, "
-    "success boolean, duration_s double, path string"
+    "success boolean, duration_s double, path string, error string, pages bigint, pages_blocked bigint, pages_thin bigint, "
+    "rows_other_terms bigint, category_counts map<string, bigint>"
 )
+NO_ROWS = "no rows extracted"
 
 
-def _session(spark, kind, cards, finish, export, out_dir, prefix, stamp) -> DataFrame:
+def _session(spark, kind, extracted, terms, term, finish, export, out_dir, prefix, stamp, fmt) -> DataFrame:
+    """One row about a run. An error of the run is a row too: success is false, `error` says why, counts not reached are NULL.
+
+    All counts ride on the two jobs that write the cards and the snapshot. Pages without any record count as blocked or thin by
+    their text; rows of terms that were not asked for are left out and counted; category_counts has the unique rows of every term.
+    """
     started = time.time()
-    seen, written = Observation(f"{kind} extracted"), Observation(f"{kind} written")
-    # Pages are parsed once: all later steps, some of which read the cards twice, start from the staged table.
-    staged = staging.stage_table(cards.observe(seen, F.count(F.lit(1)).alias("rows")))
-    path = export(finish(staged), out_dir, prefix, stamp, written, staged)
-    extracted = seen.get["rows"]
-    counts = written.get if path else {"rows_in": 0, "rows_valid": 0}
-    row = (
-        kind, extracted, extracted - counts["rows_in"], counts["rows_in"], counts["rows_valid"],
-        path is not None, time.time() - started, path,
-    )
-    return spark.createDataFrame([row], RUN_SCHEMA)
+    row = dict.fromkeys(name.split()[0] for name in RUN_SCHEMA.replace("map<string, bigint>", "map").split(", ")) | {"kind": kind, "success": False}
+    seen, kept, dropped, unique, written = (Observation(f"{kind} {what}") for what in ("pages", "kept", "dropped", "unique", "written"))
+    try:
+        with staging.run_folder(spark) as folder:
+            # Pages are parsed once: all later steps, some of which read the cards twice, start from the staged table.
+            cards = extracted(seen, dropped).observe(kept, F.count(F.lit(1)).alias("rows"))
+            staged = staging.stage_table(cards, folder)
+            row |= seen.get | dropped.get | {"rows_extracted": kept.get["rows"]}
+            counts = [F.count_if(F.col(term) == name).alias(f"c{k}") for k, name in enumerate(terms)]
+            path = export(finish(staged).observe(unique, *counts), out_dir, prefix, stamp, written, staged, fmt)
+            got = written.get if path else {"rows_in": 0, "rows_valid": 0}
+            categories = {name: unique.get[f"c{k}"] for k, name in enumerate(terms)} if path else {}
+            row |= {
+                "duplicates_dropped": row["rows_extracted"] - got["rows_in"], "rows_unique": got["rows_in"], "rows_valid": got["rows_valid"],
+                "path": path, "success": path is not None, "error": None if path else NO_ROWS,
+                "category_counts": {name: count for name, count in categories.items() if count},
+            }
+    except Exception as error:  # a failed run is a result, whatever failed
+        row["error"] = f"{type(error).__name__}: {error}"[:2000]
+    row["duration_s"] = time.time() - started
+    return spark.createDataFrame([tuple(row.values())], RUN_SCHEMA)
 
 
 def run_listing_session(
@@ -134,12 +153,13 @@ def run_listing_session(
     stamp: str | None = None,
     blocks_per_page: int | None = None,
     per_term: int | None = None,
+    fmt: str = "csv",
 ) -> DataFrame:
     """Pages to a written listing snapshot; one row with the counts, the path and the duration of the run.
 
     Details (from stored `detail_pages` with url, html, fetched_at) apply before deduplication, to the first `per_term` rows of
     every term (only their pages are parsed), or to all. `max_rows` caps a page and a term, `blocks_per_page` the blocks looked at;
-    None, the default, means no cap.
+    None, the default, means no cap. `fmt` is csv or parquet.
     """
 
     def finish(cards: DataFrame) -> DataFrame:
@@ -150,8 +170,10 @@ def run_listing_session(
             )
         return ingest.dedup_listings(cards, ("term_no", *place))
 
-    cards = listing_cards(pages, terms, host, as_of, max_rows, blocks_per_page)
-    return _session(pages.sparkSession, "listings", cards, finish, sinks.export_listings, out_dir, prefix, stamp)
+    def extracted(seen: Observation, dropped: Observation) -> DataFrame:
+        return listing_cards(pages, terms, host, as_of, max_rows, blocks_per_page, seen, dropped)
+
+    return _session(pages.sparkSession, "listings", extracted, terms, "categoria", finish, sinks.export_listings, out_dir, prefix, stamp, fmt)
 
 
 def run_posting_session(
@@ -165,8 +187,9 @@ def run_posting_session(
     prefix: str = "postings_",
     stamp: str | None = None,
     limit: int | None = None,
+    fmt: str = "csv",
 ) -> DataFrame:
-    """Pages to a written posting snapshot. Details apply after deduplication, to the first `limit` rows overall (None: all)."""
+    """Pages to a written posting snapshot, csv or parquet. Details apply after deduplication, to the first `limit` rows overall (None: all)."""
 
     def finish(cards: DataFrame) -> DataFrame:
         place = ("term_no", "page_id", "pos")
@@ -175,8 +198,10 @@ def run_posting_session(
             return rows
         return enrich.enrich_postings(rows, detail_pages, place, limit, parse=extract.posting_detail)
 
-    cards = posting_cards(pages, terms, host, as_of, max_rows)
-    return _session(pages.sparkSession, "postings", cards, finish, sinks.export_postings, out_dir, prefix, stamp)
+    def extracted(seen: Observation, dropped: Observation) -> DataFrame:
+        return posting_cards(pages, terms, host, as_of, max_rows, seen, dropped)
+
+    return _session(pages.sparkSession, "postings", extracted, terms, "term", finish, sinks.export_postings, out_dir, prefix, stamp, fmt)
 
 
 def run_metrics(listings: DataFrame, order_by: Sequence[str] = ("term_no", "pos")) -> DataFrame:

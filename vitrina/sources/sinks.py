@@ -32,16 +32,24 @@ def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
     )
 
 
-def _export(rows, exported, valid, out_dir, prefix, stamp, observation, probe) -> str | None:
+def write_snapshot(rows: DataFrame, path: str, fmt: str = "csv") -> None:
+    """A snapshot directory: CSV as it is exchanged with other programs, or a columnar format that later runs read in part."""
+    if fmt == "csv":
+        write_csv(rows, path)
+    else:
+        rows.write.option("maxRecordsPerFile", RECORDS_PER_FILE).format(fmt).save(path)
+
+
+def _export(rows, exported, valid, out_dir, prefix, stamp, observation, probe, fmt) -> str | None:
     if (rows if probe is None else probe).isEmpty():
         return None
     stamp = stamp or datetime.now().strftime("%Y%m%d_%H%M%S")
-    path = f"{out_dir.rstrip('/')}/{prefix}{stamp}.csv"
+    path = f"{out_dir.rstrip('/')}/{prefix}{stamp}.{fmt}"
     if observation is not None:
         exported = exported.observe(
             observation, F.count(F.lit(1)).alias("rows_in"), F.count_if(valid).alias("rows_valid")
         )
-    write_csv(exported.where(valid), path)
+    write_snapshot(exported.where(valid), path, fmt)
     return path
 
 
@@ -52,14 +60,15 @@ def export_listings(
     stamp: str | None = None,
     observation: Observation | None = None,
     probe: DataFrame | None = None,
+    fmt: str = "csv",
 ) -> str | None:
     """Clean, validate and write listings as one snapshot directory; its path, or None (nothing written) without rows.
 
     `probe` is a cheaper frame that is empty exactly when `listings` is, such as the rows before deduplication.
-    `observation` receives rows_in and rows_valid from the same job.
+    `observation` receives rows_in and rows_valid from the same job. `fmt` is csv or parquet.
     """
     valid = valid_listing(F.col("producto"), F.col("precio"))
-    return _export(listings, export_listing_rows(listings), valid, out_dir, prefix, stamp, observation, probe)
+    return _export(listings, export_listing_rows(listings), valid, out_dir, prefix, stamp, observation, probe, fmt)
 
 
 def export_postings(
@@ -69,10 +78,11 @@ def export_postings(
     stamp: str | None = None,
     observation: Observation | None = None,
     probe: DataFrame | None = None,
+    fmt: str = "csv",
 ) -> str | None:
     """Same for postings."""
     valid = valid_posting(F.col("titulo_puesto"), F.col("empresa"))
-    return _export(postings, export_posting_rows(postings), valid, out_dir, prefix, stamp, observation, probe)
+    return _export(postings, export_posting_rows(postings), valid, out_dir, prefix, stamp, observation, probe, fmt)
 
 
 def write_reports(reports: Mapping[str, DataFrame], out_dir: str, fmt: str = "csv") -> dict[str, str]:
