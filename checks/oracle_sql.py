@@ -538,6 +538,7 @@ WITH {RAW_L} SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY
   CASE WHEN url_producto <> 'N/A' THEN {key} ELSE producto || '_' || precio || '_' || vendedor END ORDER BY {LISTING_ORDER}) = 1"""
 
 
+ORACLE["dedup_listings_incremental"] = _dedup_listings("url_producto").replace("ORDER BY ", f"ORDER BY {st.LISTING_ORDER[1]} % 3, ")
 ORACLE["dedup_listings"] = _dedup_listings("url_producto")
 ORACLE["dedup_listings_canonical"] = _dedup_listings("regexp_extract(url_producto, '^[^?#]*')")
 ORACLE["run_metrics"] = f"""
@@ -546,6 +547,7 @@ cleaned AS ({CLEAN_L.replace("cleanl AS (", "").replace(" FROM raw)", " FROM uni
 counts AS (SELECT (SELECT count(*) FROM raw) AS rows_in, count(*) AS rows_unique, count(*) FILTER ({VALID_L}) AS rows_valid FROM cleaned)
 SELECT *, rows_in - rows_unique AS duplicates_dropped FROM counts"""
 ORACLE["dedup_postings"] = f"WITH {DEDUP_P} SELECT * FROM uniquep"
+ORACLE["dedup_postings_incremental"] = f"WITH {DEDUP_P} SELECT * FROM uniquep".replace("END ORDER BY term_no", "END ORDER BY pos % 3, term_no")
 for _name, _n in (("cap_per_term", 50), ("cap_per_term_large", 5000)):
     ORACLE[_name] = f"""
 WITH {RAW_L} SELECT * FROM raw QUALIFY row_number() OVER (PARTITION BY categoria ORDER BY {LISTING_ORDER}) <= {_n}"""

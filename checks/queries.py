@@ -616,6 +616,26 @@ def dedup_postings(spark, sf_dir):
     return ingest.dedup_postings(_numbered(spark, sf_dir), st.POSTING_ORDER)
 
 
+SNAPSHOT_BY = st.LISTING_ORDER[1]
+
+
+def _in_snapshots(rows, order, dedup, spark):
+    """Three snapshots one after the other, against an index that starts empty."""
+    index = f"{staging.shared_folder(spark)}/index"
+    number = F.pmod(F.col(order), F.lit(3))
+    return reduce(DataFrame.unionByName, [dedup(rows.where(number == k), index) for k in range(3)])
+
+
+@query
+def dedup_listings_incremental(spark, sf_dir):
+    return _in_snapshots(st.raw_listings(spark, sf_dir), SNAPSHOT_BY, lambda rows, index: ingest.dedup_listings_incremental(rows, index, st.LISTING_ORDER), spark)
+
+
+@query
+def dedup_postings_incremental(spark, sf_dir):
+    return _in_snapshots(_numbered(spark, sf_dir), "pos", lambda rows, index: ingest.dedup_postings_incremental(rows, index, st.POSTING_ORDER), spark)
+
+
 @query
 def cap_per_term(spark, sf_dir):
     return ingest.cap_per_term(st.raw_listings(spark, sf_dir), "categoria", st.LISTING_ORDER, fv.ROWS_PER_TERM)

@@ -7,6 +7,7 @@ from vitrina import fixed_values as fv
 from vitrina.operators import extract
 from vitrina.operators.html import Document, parse_selector
 from vitrina.plans import run
+from vitrina.sources import staging
 
 AS_OF = "2024-02-01 12:00:00"
 HOST = "https://tienda.example.com"
@@ -177,6 +178,36 @@ def test_sessions(spark, pages, tmp_path):
     assert (jobs.rows_extracted, jobs.rows_valid) == (2, 2)
 
 
+def test_sessions_leave_only_their_snapshot(spark, pages, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    shared.mkdir()
+    monkeypatch.setattr(staging, "shared_root", lambda spark: str(shared))
+    details = pages.where("page_id = 4").select("page_id", "url", "html", F.lit(1).alias("fetched_at"))
+    for number, per_term in enumerate((8, None)):
+        done = run.run_listing_session(pages, details, ["luz", "mesa"], HOST, str(tmp_path / "out"), AS_OF, stamp=str(number), per_term=per_term).first()
+        assert done.success and list(shared.iterdir()) == []
+        rows = {r.producto: r for r in spark.read.csv(done.path, header=True).collect()}
+        assert (rows["Mesa de roble & pino"].ubicacion, rows["Mesa de roble & pino"].reputacion_vendedor) == ("Rosario", "Verde oscuro")
+
+
+def test_session_counts_and_failures(spark, pages, tmp_path):
+    odd = spark.createDataFrame([
+        (90, "u", "<body>Are you a robot? Solve the captcha.</body>", "luz"), (91, "u", "<body>short</body>", "luz"), (92, "u", None, "luz"),
+    ], "page_id long, url string, html string, term string")
+    both = pages.select("page_id", "url", "html", "term").unionByName(odd.select(*[F.col(n).cast(pages.schema[n].dataType) for n in odd.columns]))
+    alone = run.run_listing_session(pages, None, ["luz", "mesa"], HOST, str(tmp_path), AS_OF, stamp="a").first()
+    result = run.run_listing_session(both, None, ["luz", "mesa"], HOST, str(tmp_path), AS_OF, stamp="b", fmt="parquet").first()
+    assert (result.pages - alone.pages, result.pages_blocked - alone.pages_blocked, result.pages_thin - alone.pages_thin) == (3, 1, 2)
+    assert result.path.endswith("listings_b.parquet") and spark.read.parquet(result.path).count() == result.rows_valid == alone.rows_valid
+    assert sum(result.category_counts.values()) == result.rows_unique and set(result.category_counts) <= {"luz", "mesa"}
+    other = run.run_listing_session(pages, None, ["luz"], HOST, str(tmp_path), AS_OF, stamp="c").first()
+    assert other.rows_other_terms + other.rows_extracted == alone.rows_other_terms + alone.rows_extracted
+    again = run.run_listing_session(pages, None, ["luz"], HOST, str(tmp_path), AS_OF, stamp="c").first()
+    assert (again.success, again.path) == (False, None) and "exists" in again.error and again.rows_extracted == other.rows_extracted
+    none = run.run_listing_session(pages, None, ["nada"], HOST, str(tmp_path), AS_OF, stamp="d").first()
+    assert none.error == run.NO_ROWS and none.category_counts == {}
+
+
 def test_stray_end_tags_take_linear_time():
     import time
 

@@ -149,3 +149,45 @@ def test_unfinished_snapshot_is_not_newest(spark, tmp_path):
     (tmp_path / "listings_2.csv").mkdir()
     (tmp_path / "listings_2.csv" / "part-00000.csv").write_text("id\n1\n")
     assert snapshots.latest_snapshot(spark, str(tmp_path), "listings_").endswith("/listings_1.csv")
+
+
+def test_analysis_leaves_nothing_behind_and_takes_parquet(spark, tmp_path, monkeypatch):
+    shared, raw = tmp_path / "shared", tmp_path / "raw"
+    shared.mkdir()
+    sinks.export_listings(spark.createDataFrame([listing("Silla vieja"), listing("Mesa nueva", "$20")], LISTING_SCHEMA), str(raw), stamp="1", fmt="parquet")
+    sinks.export_postings(spark.createDataFrame([posting()], POSTING_SCHEMA), str(raw), stamp="1", fmt="parquet")
+    monkeypatch.setattr(staging, "shared_root", lambda spark: str(shared))
+    paths = run.run_analysis(spark, str(raw), str(tmp_path / "out"), as_of="2024-02-01 12:00:00")
+    assert list(shared.iterdir()) == []
+    assert spark.read.csv(paths["reporte_resumen"], header=True).first().total_productos_ml == "2"
+    path = snapshots.latest_snapshot(spark, str(raw), "listings_")
+    assert path.endswith(".parquet") and snapshots.scan_listings(spark, path).columns == list(fv.LISTING_COLUMNS)
+    with pytest.raises(ValueError, match="no column"):
+        snapshots.scan_postings(spark, path)
+
+
+def test_key_index(spark, tmp_path):
+    from vitrina.operators import known_keys
+
+    path = str(tmp_path / "index")
+    old = spark.range(3000).select(F.col("id").cast("string").alias("k"))
+    new = spark.range(2500, 6000).select(F.col("id").cast("string").alias("k")).unionByName(spark.createDataFrame([(None,), ("",)], "k string"))
+
+    def add(rows):
+        known_keys.add_keys(rows.select(known_keys.key_text(F.col("k")).alias("key")), path, buckets=8, chunks=4)
+
+    assert known_keys.unseen(new, F.col("k"), path).count() == 3502  # no index yet
+    add(old)
+    spark.sql(f"DROP TABLE {known_keys._table(spark, path)}")  # as in a later session: the files stay
+    assert known_keys.unseen(new, F.col("k"), path).count() == 3002
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = known_keys.unseen(new, F.col("k"), path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    scan = text.index("vitrina_keys_")
+    assert text.count("Exchange hashpartitioning") <= 1 and "Bucketed: true" in text[scan:]  # what is old is not shuffled
+    add(new)
+    add(new)
+    assert known_keys.unseen(new, F.col("k"), path).count() == known_keys.unseen(old, F.col("k"), path).count() == 0
+    assert known_keys.unseen(spark.createDataFrame([("x",)], "k string"), F.col("k"), path).count() == 1

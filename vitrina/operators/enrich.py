@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrina import fixed_values as fv
 from vitrina.functions.text import snippet
+from vitrina.operators import bloom
 from vitrina.operators.ingest import first_rows
 from vitrina.sources.staging import stage_table
 
@@ -53,13 +54,15 @@ def _same_url(left: str, right: str) -> Column:
 
 
 def _update_chosen(
-    rows: DataFrame, url: str, chosen: DataFrame, details: DataFrame, latest: Parse, keys: Sequence[str], fields: Sequence[str]
+    rows: DataFrame, url: str, chosen: DataFrame, details: DataFrame, latest: Parse, keys: Sequence[str], fields: Sequence[str],
+    folder: str | None = None,
 ) -> DataFrame:
     """Few rows to enrich: join these with their details, and bring the outcome back on the unique order key."""
-    chosen = stage_table(chosen)
+    chosen = stage_table(chosen, folder)
     found = _prefixed(latest(of_chosen(details, chosen)))
     updates = stage_table(
-        chosen.distinct().join(found, _same_url("url", "__url")).select(*keys, F.col("url").alias("found_url"), *[F.col(f"__{n}").alias(n) for n in fields])
+        chosen.distinct().join(found, _same_url("url", "__url")).select(*keys, F.col("url").alias("found_url"), *[F.col(f"__{n}").alias(n) for n in fields]),
+        folder,
     )
     # Rows may share a key (a page stored twice); with the url, an update is one row, and no row is multiplied.
     same_row = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"__{name}")) for name in keys], F.col(url) == F.col("__found_url"))
@@ -116,6 +119,12 @@ def of_chosen(details: DataFrame, chosen: DataFrame) -> DataFrame:
     return details.join(wanted, _same_url("url", "__url"), "left_semi")
 
 
+def of_wanted(pages: DataFrame, rows: DataFrame, url: str) -> DataFrame:
+    """Detail pages whose url a row may have: a filter of fixed size, so that pages nobody asks for are neither parsed nor shuffled."""
+    links = rows.select(F.col(url).alias("key")).where(F.col("key").startswith("http"))
+    return bloom.with_maybe(pages, F.col("url"), bloom.bitmaps(links), "__maybe").where("__maybe").drop("__maybe")
+
+
 def enrich_listings(
     listings: DataFrame,
     details: DataFrame,
@@ -123,11 +132,13 @@ def enrich_listings(
     order_by: Sequence[str] = ("pos",),
     per_term: int | None = None,
     parse: Parse | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Place and reputation from the details for the first `per_term` listings of each term (None: all).
 
     `details`: url, fetched_at, ubicacion, reputacion_vendedor. `order_by` must number the rows of a term without ties.
-    With `parse`, `details` are stored pages (url, html, fetched_at) that it turns into such rows, chosen pages only.
+    With `parse`, `details` are stored pages (url, html, fetched_at) that it turns into such rows: pages of chosen rows only, or,
+    without `per_term`, those that a fixed-size filter of the urls lets through.
     Finding the chosen rows and their updates runs as jobs of its own; the result is lazy.
     """
     fields = ("ubicacion", "reputacion_vendedor")
@@ -138,9 +149,10 @@ def enrich_listings(
 
     keys = [term, *order_by]
     if per_term is None:
-        return _update_all(listings, "url_producto", latest(details), keys, fields)
+        found = of_wanted(details, listings, "url_producto") if parse else details
+        return _update_all(listings, "url_producto", latest(found), keys, fields)
     chosen = chosen_listings(listings, term, order_by, per_term)
-    return _update_chosen(listings, "url_producto", chosen, details, latest, keys, fields)
+    return _update_chosen(listings, "url_producto", chosen, details, latest, keys, fields, folder)
 
 
 def enrich_postings(
@@ -149,6 +161,7 @@ def enrich_postings(
     order_by: Sequence[str] = ("term_no", "pos"),
     limit: int | None = None,
     parse: Parse | None = None,
+    folder: str | None = None,
 ) -> DataFrame:
     """Snippet, level and benefits from the details for the first `limit` postings overall (None: all).
 
@@ -167,5 +180,7 @@ def enrich_postings(
 
     keys = list(order_by)
     if limit is None:
-        return _update_all(postings, "url_empleo", latest(details), keys, fields)
-    return _update_chosen(postings, "url_empleo", chosen_postings(postings, order_by, limit), details, latest, keys, fields)
+        found = of_wanted(details, postings, "url_empleo") if parse else details
+        return _update_all(postings, "url_empleo", latest(found), keys, fields)
+    chosen = chosen_postings(postings, order_by, limit)
+    return _update_chosen(postings, "url_empleo", chosen, details, latest, keys, fields, folder)

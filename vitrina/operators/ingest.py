@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from vitrina import fixed_values as fv
 from vitrina.functions.text import canonical_url
+from vitrina.operators import known_keys
 from vitrina.operators.ranks import cut_to_first
+from vitrina.sources.staging import stage_table
 
 # Above this limit Spark does not cut groups before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
 _MAP_SIDE_LIMIT = 1000
@@ -68,12 +70,25 @@ def _printed(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("None"))
 
 
-def _keep_first(rows: DataFrame, url: str, unset: str, fallback: Sequence[str], order_by, canonical: bool) -> DataFrame:
+def _row_key(url: str, unset: str, fallback: Sequence[str], canonical: bool) -> Column:
     link = F.col(url)
     known = link.isNull() | (link != unset)
-    key = F.when(known, canonical_url(link) if canonical else link).otherwise(
+    return F.when(known, canonical_url(link) if canonical else link).otherwise(
         F.concat_ws("_", *[_printed(name) for name in fallback])
     )
+
+
+def listing_key(canonical: bool = False) -> Column:
+    """What makes listings equal: the url, or title, price and seller where there is none."""
+    return _row_key("url_producto", fv.MISSING, ("producto", "precio", "vendedor"), canonical)
+
+
+def posting_key(canonical: bool = False) -> Column:
+    """What makes postings equal: the url, or title and company where there is none."""
+    return _row_key("url_empleo", fv.NOT_FOUND, ("titulo_puesto", "empresa"), canonical)
+
+
+def _keep_first(rows: DataFrame, key: Column, order_by) -> DataFrame:
     return first_rows(rows.withColumn("__key", key), ["__key"], order_by).drop("__key")
 
 
@@ -81,16 +96,38 @@ def dedup_listings(
     listings: DataFrame, order_by: Sequence[str] = ("term_no", "pos"), canonical: bool = False
 ) -> DataFrame:
     """First listing per url; listings without url count as equal when title, price and seller are equal."""
-    return _keep_first(
-        listings, "url_producto", fv.MISSING, ("producto", "precio", "vendedor"), order_by, canonical
-    )
+    return _keep_first(listings, listing_key(canonical), order_by)
 
 
 def dedup_postings(
     postings: DataFrame, order_by: Sequence[str] = ("term_no", "pos"), canonical: bool = False
 ) -> DataFrame:
     """First posting per url; postings without url count as equal when title and company are equal."""
-    return _keep_first(postings, "url_empleo", fv.NOT_FOUND, ("titulo_puesto", "empresa"), order_by, canonical)
+    return _keep_first(postings, posting_key(canonical), order_by)
+
+
+def _incremental(rows: DataFrame, key: Column, order_by, index: str) -> DataFrame:
+    new = stage_table(known_keys.unseen(_keep_first(rows, key, order_by), key, index))
+    known_keys.add_keys(new.select(known_keys.key_text(key).alias("key")), index)
+    return new
+
+
+def dedup_listings_incremental(
+    listings: DataFrame, index: str, order_by: Sequence[str] = ("term_no", "pos"), canonical: bool = False
+) -> DataFrame:
+    """`dedup_listings` of a snapshot, without what earlier snapshots had; its keys are added to the index, a folder.
+
+    The results for snapshots one after the other are together those of one deduplication of all of them, earlier ones first.
+    A repeated run of the same snapshot returns nothing; see `known_keys` for what is read and shuffled.
+    """
+    return _incremental(listings, listing_key(canonical), order_by, index)
+
+
+def dedup_postings_incremental(
+    postings: DataFrame, index: str, order_by: Sequence[str] = ("term_no", "pos"), canonical: bool = False
+) -> DataFrame:
+    """Same for postings."""
+    return _incremental(postings, posting_key(canonical), order_by, index)
 
 
 def valid_listing(title: Column, price: Column) -> Column:

@@ -187,7 +187,9 @@ def summary(listings: DataFrame, postings: DataFrame, as_of: str | None = None)
     return _summary_row(totals, postings.agg(*_modes()), median, as_of)
 
 
-def summary_of(listing_groups: DataFrame, posting_groups: DataFrame, listings: DataFrame, as_of: str | None = None) -> DataFrame:
+def summary_of(
+    listing_groups: DataFrame, posting_groups: DataFrame, listings: DataFrame, as_of: str | None = None, folder: str | None = None
+) -> DataFrame:
     """The summary from the groups; the rows are read once more, for the prices that share the median's first digit."""
     names = {"n": "n", "price_sum": "price_sum", "productos_disponibles": "available", "productos_envio_gratis": "free"}
     every = listing_groups.where(F.col("grouping") == ALL)
@@ -195,7 +197,8 @@ def summary_of(listing_groups: DataFrame, posting_groups: DataFrame, listings: D
     counts = ("total_empleos_linkedin", "empleos_remotos", "empleos_presenciales", "empleos_hibridos")
     modes = posting_groups.where(F.col("grouping") == ALL).agg(*[F.max(name).alias(name) for name in counts])
     digits = listing_groups.where(F.col("grouping") == DIGITS).select("prefix", "n")
-    return _summary_row(totals, modes, ranks.exact_median(listings, F.col("precio_numerico"), digits), as_of)
+    median = ranks.exact_median(listings, F.col("precio_numerico"), digits, folder)
+    return _summary_row(totals, modes, median, as_of)
 
 
 def category_counts(listings: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def all_reports(
         "empleos_por_fecha_publicacion": reports.posting_age_of(posted),
         "empleos_por_nivel_experiencia": reports.experience_of(posted),
         "empleo_por_factor_personalizado_modalidad_ubicacion": reports.modality_location_of(posted),
-        "reporte_resumen": reports.summary_of(listed, posted, listings, as_of),
+        "reporte_resumen": reports.summary_of(listed, posted, listings, as_of, folder),
     }
     taken = sorted(prepared.keys() & (more or {}).keys())
     if taken:
@@ -127,7 +127,7 @@ def _session(spark, kind, extracted, terms, term, finish, export, out_dir, prefi
             staged = staging.stage_table(cards, folder)
             row |= seen.get | dropped.get | {"rows_extracted": kept.get["rows"]}
             counts = [F.count_if(F.col(term) == name).alias(f"c{k}") for k, name in enumerate(terms)]
-            path = export(finish(staged).observe(unique, *counts), out_dir, prefix, stamp, written, staged, fmt)
+            path = export(finish(staged, folder).observe(unique, *counts), out_dir, prefix, stamp, written, staged, fmt)
             got = written.get if path else {"rows_in": 0, "rows_valid": 0}
             categories = {name: unique.get[f"c{k}"] for k, name in enumerate(terms)} if path else {}
             row |= {
@@ -162,11 +162,11 @@ def run_listing_session(
     None, the default, means no cap. `fmt` is csv or parquet.
     """
 
-    def finish(cards: DataFrame) -> DataFrame:
+    def finish(cards: DataFrame, folder: str) -> DataFrame:
         place = ("page_id", "pos")
         if detail_pages is not None:
             cards = enrich.enrich_listings(
-                cards, detail_pages, "categoria", place, per_term, parse=extract.listing_detail_updates
+                cards, detail_pages, "categoria", place, per_term, extract.listing_detail_updates, folder
             )
         return ingest.dedup_listings(cards, ("term_no", *place))
 
@@ -191,12 +191,12 @@ def run_posting_session(
 ) -> DataFrame:
     """Pages to a written posting snapshot, csv or parquet. Details apply after deduplication, to the first `limit` rows overall (None: all)."""
 
-    def finish(cards: DataFrame) -> DataFrame:
+    def finish(cards: DataFrame, folder: str) -> DataFrame:
         place = ("term_no", "page_id", "pos")
         rows = ingest.dedup_postings(cards, place)
         if detail_pages is None:
             return rows
-        return enrich.enrich_postings(rows, detail_pages, place, limit, parse=extract.posting_detail)
+        return enrich.enrich_postings(rows, detail_pages, place, limit, extract.posting_detail, folder)
 
     def extracted(seen: Observation, dropped: Observation) -> DataFrame:
         return posting_cards(pages, terms, host, as_of, max_rows, seen, dropped)
