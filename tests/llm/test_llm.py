@@ -268,13 +268,14 @@ def test_top_k_against_brute_force(spark):
     rows += [(k, [1.0, 1.0, 0.0, 0.0]) for k in range(300, 400)]  # many ties
     rows += [(400, None), (401, [1.0, None, 0.0, 0.0]), (402, [math.nan, 0.0, 0.0, 0.0]), (403, [math.inf, 0.0, 0.0, 0.0]), (None, [1.0] * 4)]
     rows += [(420, [1.0, 2.0]), (421, [3.0, 1.0]), (440, [5.0]), (460, []), (500, [2.0**20, 1.0, 1.0, 1.0]), (301, [1.0, 1.0, 0.0, 0.0])]
+    rows += [(7, [9.0, 1.0, 0.0, 2.0]), (40, [3.0, 0.5, 0.0, 1.0]), (40, [3.0, 0.5, 0.0, 1.0])]  # ids on several rows
     frame = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, score int")
     got = [tuple(r) for r in top_k.top_k(frame, F.col("vec_id") % 20 == 0, slice_rows=37, query_block=5).collect()]
-    held = {i: [math.floor(64 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    held = [(i, [math.floor(64 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in held:
+    for q, vector in held:
         if q % 20 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(held[q], v)), i) for i, v in held.items() if i != q and len(v) == len(held[q]))
+            scored = sorted((-sum(a * b for a, b in zip(vector, v)), i) for i, v in held if i != q and len(v) == len(vector))
             want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scored[:20])]
     assert sorted(got) == sorted(want)
     assert top_k.top_k(frame.limit(0), F.col("vec_id") % 20 == 0).count() == 0

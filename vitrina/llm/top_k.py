@@ -8,8 +8,8 @@ value wide. The last pass sends the scores above the kth value and, of those equ
 Bins below a cell's own kth value are not sent: the kth value of all rows cannot lie below it.
 
 Defined cases: vectors that are NULL, or hold NULL or non-finite components, and rows without id take no part; vectors meet
-those of their own length only; an id on several rows counts once, with its smallest vector; ties go to the smaller id; a
-query with fewer than k candidates returns them all; no rows, no result. Scores beyond a long are refused with an error.
+those of their own length only; an id on several rows is as many candidates and queries, and none of them is a candidate of the
+others; ties go to the smaller id; a query with fewer than k candidates returns them all; no rows, no result. Scores beyond a long are refused with an error.
 """
 
 from __future__ import annotations
@@ -69,16 +69,16 @@ def _histogram(exact: bool):
             counts = np.bincount((row + at)[inside], minlength=len(score) * BINS).reshape(len(score), BINS)
             above = counts[:, ::-1].cumsum(1)[:, ::-1] - counts  # in higher bins of this range
             r, b = np.nonzero((counts > 0) & (above < need))  # a cell's lower bins cannot hold the kth value of all
-            for column, values in zip(out, (part.column("vec_id").to_numpy()[r], b, counts[r, b])):
+            for column, values in zip(out, (part.column("row").to_numpy()[r], b, counts[r, b])):
                 column.append(values)
-        return pa.table(dict(zip(("query_id", "bin", "n"), (pa.array(np.concatenate(c), pa.int64()) for c in out))))
+        return pa.table(dict(zip(("row", "bin", "n"), (pa.array(np.concatenate(c), pa.int64()) for c in out))))
 
     return run
 
 
 def _chosen(exact: bool, k: int):
     def run(table: pa.Table) -> pa.Table:
-        out = [[np.zeros(0, np.int64)] for _ in range(3)]
+        out = [[np.zeros(0, np.int64)] for _ in range(4)]
         for part, ids, score, own in _blocks(table, exact):
             low = part.column("low").to_numpy()[:, None]
             order = np.argsort(ids, kind="stable")
@@ -86,9 +86,9 @@ def _chosen(exact: bool, k: int):
             level = (score == low) & ~own
             level &= level.cumsum(1) <= k
             r, c = np.nonzero(((score > low) & ~own) | level)
-            for column, values in zip(out, (part.column("vec_id").to_numpy()[r], sorted_ids[c], score[r, c])):
+            for column, values in zip(out, (part.column("row").to_numpy()[r], part.column("vec_id").to_numpy()[r], sorted_ids[c], score[r, c])):
                 column.append(values)
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(np.concatenate(c), pa.int64()) for c in out))))
+        return pa.table(dict(zip(("row", "query_id", "vec_id", "score"), (pa.array(np.concatenate(c), pa.int64()) for c in out))))
 
     return run
 
@@ -97,8 +97,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE,
     """query_id, rank, vec_id, score of the k highest integer inner products of every query with all other rows."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole_numbers(F.col("embedding"), scale).alias("v"), is_query.alias("is_query"))
-    rows = rows.where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"), F.first("is_query").alias("is_query"))
-    rows = stage_table(rows.withColumn("dim", F.size("v")))
+    rows = rows.where("vec_id IS NOT NULL AND v IS NOT NULL").withColumns({"dim": F.size("v"), "row": F.monotonically_increasing_id()})
+    rows = stage_table(rows)  # from here on a row keeps its number
     facts = rows.agg(
         F.count("*").alias("n"), F.count_if("is_query").alias("queries"),
         F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)).alias("square"),
@@ -110,16 +110,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE,
         raise OverflowError("scores would exceed a long")
     exact = bound < 2**52
     slices, blocks = -(-facts.n // slice_rows), -(-facts.queries // query_block)
-    place = F.xxhash64("vec_id")
+    place = F.xxhash64("row")
     candidates = rows.select(
-        "vec_id", "v", "dim", F.lit(False).alias("is_query"), F.pmod(place, F.lit(slices)).cast("int").alias("slice"),
+        "row", "vec_id", "v", "dim", F.lit(False).alias("is_query"), F.pmod(place, F.lit(slices)).cast("int").alias("slice"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
         *[F.lit(0).cast("long").alias(n) for n in ("low", "width", "span", "need")],
     )
 
     def cells(ranges: DataFrame) -> DataFrame:
         asked = ranges.select(
-            "vec_id", "v", "dim", F.lit(True).alias("is_query"),
+            "row", "vec_id", "v", "dim", F.lit(True).alias("is_query"),
             F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"),
             F.pmod(place, F.lit(blocks)).cast("int").alias("block"), "low", "width", "span", "need",
         )
@@ -127,29 +127,29 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = SCALE,
 
     width = -(-(2 * bound + 1) // BINS)
     ranges = rows.where("is_query").select(
-        "vec_id", "v", "dim", F.lit(-bound).cast("long").alias("low"), F.lit(width).cast("long").alias("width"),
+        "row", "vec_id", "v", "dim", F.lit(-bound).cast("long").alias("low"), F.lit(width).cast("long").alias("width"),
         F.lit(2 * bound + 1).cast("long").alias("span"), F.lit(k).cast("long").alias("need"),
     )
     while True:
-        counts = cells(ranges).applyInArrow(_histogram(exact), "query_id long, bin long, n long")
-        counts = counts.groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        down = W.partitionBy("query_id").orderBy(F.col("bin").desc())
-        counts = counts.withColumn("reached", F.sum("n").over(down)).select(F.col("query_id").alias("vec_id"), "bin", "n", "reached")
+        counts = cells(ranges).applyInArrow(_histogram(exact), "row long, bin long, n long")
+        counts = counts.groupBy("row", "bin").agg(F.sum("n").alias("n"))
+        down = W.partitionBy("row").orderBy(F.col("bin").desc())
+        counts = counts.withColumn("reached", F.sum("n").over(down)).select("row", "bin", "n", "reached")
         # The first bin at which the count reaches what is needed, or the lowest filled one if all are too few.
         cut = (
-            counts.join(ranges.select("vec_id", "need"), "vec_id").where(F.col("reached") - F.col("n") < F.col("need"))
-            .groupBy("vec_id").agg(F.min_by(F.struct("bin", "n", "reached"), F.col("bin")).alias("cut"))
+            counts.join(ranges.select("row", "need"), "row").where(F.col("reached") - F.col("n") < F.col("need"))
+            .groupBy("row").agg(F.min_by(F.struct("bin", "n", "reached"), F.col("bin")).alias("cut"))
         )
         step = -(-width // BINS)
         ranges = stage_table(
-            ranges.join(cut, "vec_id").select(
-                "vec_id", "v", "dim", (F.col("low") + F.col("cut.bin") * F.col("width")).alias("low"), F.lit(step).cast("long").alias("width"), F.col("width").alias("span"),
+            ranges.join(cut, "row").select(
+                "row", "vec_id", "v", "dim", (F.col("low") + F.col("cut.bin") * F.col("width")).alias("low"), F.lit(step).cast("long").alias("width"), F.col("width").alias("span"),
                 F.least(F.col("need") - F.col("cut.reached") + F.col("cut.n"), F.col("cut.n")).alias("need"),
             )
         )
         if width == 1:
             break
         width = step
-    found = cells(ranges).applyInArrow(_chosen(exact, k), "query_id long, vec_id long, score long")
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
+    found = cells(ranges).applyInArrow(_chosen(exact, k), "row long, query_id long, vec_id long, score long")
+    best = W.partitionBy("row").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
