@@ -145,6 +145,8 @@ def _number_terms() -> str:
 # --- scans, sources, sinks -----------------------------------------------------------------------------------------------
 
 ORACLE["scan_listings"] = f"WITH {RAW_L} SELECT {_na(fv.LISTING_COLUMNS)} FROM raw"
+ORACLE["ingest_new_snapshots"] = f"""
+WITH {RAW_L} SELECT {_na(fv.LISTING_COLUMNS)}, 'listings_' || ({st.LISTING_ORDER[1]} % 3) AS snapshot FROM raw"""
 ORACLE["scan_listings_reordered"] = ORACLE["scan_listings"]
 ORACLE["scan_postings"] = f"WITH {RAW_P} SELECT {_na(fv.POSTING_COLUMNS)} FROM rawp"
 ORACLE["latest_snapshot"] = f"""

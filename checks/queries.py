@@ -14,7 +14,11 @@ from vitrina.functions.dates import age_band, as_of_column, parse_posted_at
 from vitrina.functions.prices import PRICE_BANDS_SIX, parse_price, price_band
 from vitrina.operators import enrich, extract, ingest
 from vitrina.plans import clean, reports, run
+from vitrina.schemas import LISTING_SCHEMA
 from vitrina.sources import sinks, snapshots, staging
+from vitrina.streaming import new_snapshots
+
+SNAPSHOT_BY = st.LISTING_ORDER[1]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -65,6 +69,30 @@ def scan_postings(spark, sf_dir):
     return snapshots.scan_postings(spark, path)
 
 
+@query
+def ingest_new_snapshots(spark, sf_dir):
+    """Three snapshots: one there at the first run of the stream, two more at the second, nothing new at the third."""
+    folder = staging.shared_folder(spark)
+    rows = st.raw_listings(spark, sf_dir)
+
+    def arrive(number: int) -> None:
+        part = rows.where(F.pmod(F.col(SNAPSHOT_BY), F.lit(3)) == number).select(*fv.LISTING_COLUMNS)
+        sinks.write_snapshot(part, f"{folder}/raw/listings_{number}.csv")
+
+    def ingest_now() -> int:
+        return new_snapshots.ingest_new_snapshots(
+            spark, f"{folder}/raw", "listings_", LISTING_SCHEMA, f"{folder}/table", f"{folder}/checkpoint", files_per_batch=8
+        )
+
+    arrive(0)
+    ingest_now()
+    arrive(1)
+    arrive(2)
+    ingest_now()
+    ingest_now()
+    return new_snapshots.ingested(spark, LISTING_SCHEMA, f"{folder}/table")
+
+
 @query
 def latest_snapshot(spark, sf_dir):
     folder = staging.shared_folder(spark)
@@ -616,9 +644,6 @@ def dedup_postings(spark, sf_dir):
     return ingest.dedup_postings(_numbered(spark, sf_dir), st.POSTING_ORDER)
 
 
-SNAPSHOT_BY = st.LISTING_ORDER[1]
-
-
 def _in_snapshots(rows, order, dedup, spark):
     """Three snapshots one after the other, against an index that starts empty."""
     index = f"{staging.shared_folder(spark)}/index"
