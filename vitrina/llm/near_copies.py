@@ -213,8 +213,10 @@ VERIFIED = "text_key string, n_texts long, n_documents long, expected double, ro
 
 def verify(docs: DataFrame, chosen: DataFrame, families: DataFrame, depth: int) -> DataFrame:
     """Partial counts of the texts of all cells. chosen: text_key, row_key, copies; families: node, root."""
-    sized = families.join(families.groupBy("root").agg(F.count("*").alias("size")), "root")
-    blocks = F.ceil(F.col("size") / CELL_BLOCK).cast("int")
+    # Only families of several blocks are looked up: a small staged table, so that no family meets in one task for it.
+    large = stage_table(families.groupBy("root").agg(F.count("*").alias("size")).where(F.col("size") > CELL_BLOCK))
+    sized = families.join(large, "root", "left")
+    blocks = F.coalesce(F.ceil(F.col("size") / CELL_BLOCK), F.lit(1)).cast("int")
     placed = sized.select(F.col("node").alias("text_key"), F.col("root").alias("family"), blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
     wanted = chosen.join(placed, "text_key").withColumnRenamed("row_key", "wanted_key").drop("text_key")
     rows = docs.select("text", _row_key(docs).alias("row_key"))
