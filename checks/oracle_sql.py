@@ -148,6 +148,10 @@ ORACLE["scan_listings"] = f"WITH {RAW_L} SELECT {_na(fv.LISTING_COLUMNS)} FROM r
 ORACLE["ingest_new_snapshots"] = f"""
 WITH {RAW_L} SELECT {_na(fv.LISTING_COLUMNS)}, 'listings_' || ({st.LISTING_ORDER[1]} % 3) AS snapshot FROM raw"""
 ORACLE["scan_listings_reordered"] = ORACLE["scan_listings"]
+ORACLE["scan_listings_one_file"] = f"""
+WITH whole AS ({st.RAW_LISTINGS.format(**_TABLES)}), raw AS (SELECT * REPLACE (CASE WHEN {st.LISTING_ORDER[1]} % 2 = 0
+  THEN producto || chr(10) || '"línea"' || chr(10) || categoria ELSE producto END AS producto) FROM whole)
+SELECT {_na(fv.LISTING_COLUMNS)} FROM raw"""
 ORACLE["scan_postings"] = f"WITH {RAW_P} SELECT {_na(fv.POSTING_COLUMNS)} FROM rawp"
 ORACLE["latest_snapshot"] = f"""
 WITH {LISTINGS} SELECT categoria, count(*) AS n, 'listings_1.csv' AS snapshot FROM known GROUP BY categoria"""
@@ -511,6 +515,8 @@ FROM postings WHERE {keys[-1]} IS NOT NULL GROUP BY {names}"""
 ORACLE["report_posting_age"] = _posting_report("categoria_fecha")
 ORACLE["report_experience"] = _posting_report("nivel_experiencia_limpio")
 ORACLE["report_modality_location"] = _posting_report("modalidad_limpia", "ubicacion")
+for _name in ("report_posting_age", "report_experience", "report_modality_location"):
+    ORACLE[f"{_name}_merged"] = ORACLE[_name]
 ORACLE["summary"] = f"""
 WITH {LISTINGS}, {POSTINGS},
 l AS (SELECT count(*) AS total_productos_ml, {_cents("avg(precio_numerico)")} AS precio_promedio_ml,

@@ -12,7 +12,7 @@ from vitrina import fixed_values as fv
 from vitrina.functions import labels, text
 from vitrina.functions.dates import age_band, as_of_column, parse_posted_at
 from vitrina.functions.prices import PRICE_BANDS_SIX, parse_price, price_band
-from vitrina.operators import enrich, extract, ingest
+from vitrina.operators import distinct_counts, enrich, extract, ingest
 from vitrina.plans import clean, reports, run
 from vitrina.schemas import LISTING_SCHEMA
 from vitrina.sources import sinks, snapshots, staging
@@ -62,6 +62,16 @@ def scan_listings_reordered(spark, sf_dir):
     return snapshots.scan_listings(spark, path)
 
 
+@query
+def scan_listings_one_file(spark, sf_dir):
+    """One file, as other programs leave it, with line breaks and quotes in a value of every second row."""
+    path = f"{staging.shared_folder(spark)}/listings.csv"
+    broken = F.when(F.col(SNAPSHOT_BY) % 2 == 0, F.concat("producto", F.lit('\n"línea"\n'), "categoria")).otherwise(F.col("producto"))
+    rows = st.raw_listings(spark, sf_dir).withColumn("producto", broken).select(*fv.LISTING_COLUMNS)
+    sinks.write_csv(rows.coalesce(1), path)  # the case itself: a file that no Spark job wrote
+    return snapshots.scan_large_snapshot(spark, path, LISTING_SCHEMA)
+
+
 @query
 def scan_postings(spark, sf_dir):
     path = f"{staging.shared_folder(spark)}/postings.csv"
@@ -502,6 +512,30 @@ def report_modality_location(spark, sf_dir):
     return reports.report_modality_location(_postings(spark, sf_dir))
 
 
+def _merged(spark, sf_dir, report):
+    """Three snapshots added one after the other; the report from what they left."""
+    path = f"{staging.shared_folder(spark)}/companies"
+    postings = _postings(spark, sf_dir)
+    for number in range(3):
+        distinct_counts.add_snapshot(postings.where(F.pmod("pos", F.lit(3)) == number), path, f"postings_{number}")
+    return distinct_counts.merged_report(spark, path, report)
+
+
+@query
+def report_posting_age_merged(spark, sf_dir):
+    return _merged(spark, sf_dir, "posting_age")
+
+
+@query
+def report_experience_merged(spark, sf_dir):
+    return _merged(spark, sf_dir, "experience")
+
+
+@query
+def report_modality_location_merged(spark, sf_dir):
+    return _merged(spark, sf_dir, "modality_location")
+
+
 @query
 def summary(spark, sf_dir):
     return reports.summary(_listings(spark, sf_dir), _postings(spark, sf_dir), st.AS_OF)

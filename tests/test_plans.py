@@ -14,7 +14,7 @@ FROM_HTML = {
     "extract_postings_capped", "run_listing_session_capped", "run_posting_session_capped", "run_listing_session_counts",
     "run_posting_session_counts", "run_session_failed",
 }
-WRITING = {"ingest_new_snapshots", "scan_listings", "scan_listings_reordered", "scan_postings", "latest_snapshot", "export_listings", "export_postings", "write_reports"}
+WRITING = {"ingest_new_snapshots", "scan_listings", "scan_listings_one_file", "scan_listings_reordered", "scan_postings", "latest_snapshot", "export_listings", "export_postings", "write_reports"}
 
 
 def plan(frame):

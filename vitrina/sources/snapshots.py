@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from vitrina.plans.clean import null_missing
 from vitrina.schemas import LISTING_SCHEMA, POSTING_SCHEMA
 from vitrina.sources import hadoop
+from vitrina.sources.large_csv import scan_large_csv
 
 
 def _require(path: str, schema: StructType, names) -> None:
@@ -25,7 +26,8 @@ def scan_snapshot(spark: SparkSession, path: str, schema: StructType, multi_line
     A path that ends in `.parquet` is read as such: only the columns that are used, and no text is parsed.
 
     Quoted line breaks need `multi_line`, which reads every file in one task; snapshots written by `sinks` are cut into
-    files of bounded length. Set it to False for single huge files known to hold one record per line: they then split.
+    files of bounded length. Set it to False for single huge files known to hold one record per line: they then split. Single
+    huge files with line breaks in values are for `scan_large_snapshot`.
     """
     if path.rstrip("/").endswith(".parquet"):
         stored = spark.read.parquet(path)
@@ -53,6 +55,13 @@ def scan_postings(spark: SparkSession, path: str, multi_line: bool = True) -> Da
     return scan_snapshot(spark, path, POSTING_SCHEMA, multi_line)
 
 
+def scan_large_snapshot(spark: SparkSession, path: str, schema: StructType, folder: str | None = None) -> DataFrame:
+    """Like `scan_snapshot`, for single large CSV files with quoted line breaks: every task reads a byte range."""
+    rows = scan_large_csv(spark, path, folder)
+    _require(path, schema, rows.columns)
+    return null_missing(rows.select(*schema.names))
+
+
 def latest_snapshot(spark: SparkSession, directory: str, prefix: str) -> str:
     """Path of the newest finished `prefix*.csv` or `prefix*.parquet` in the directory: a file, or a directory with `_SUCCESS`.
 
