@@ -1,12 +1,13 @@
 """N-gram Jaccard self-join of documents with a MinHash LSH forest.
 
 Texts are sets of five-word shingles. Equal texts are one text from the start (a hash of their words, counted with map-side
-combination). Each tree of the forest orders texts by a run of MinHashes; texts that share a prefix of a tree are a node of
-its trie. Within a node, leaders take in the texts that resemble them (by all MinHashes), which gives families: a number of
+combination). Each tree of the forest orders texts by a run of LENGTH MinHashes; texts that share a prefix of it are a node of
+its trie. Prefixes are matched at their whole length first. Within a node, leaders take in the texts that resemble them (by all MinHashes), which gives families: a number of
 comparisons in proportion to the node. Families are then verified exactly: their texts meet in cells of two blocks, shingle
 sets become sparse columns, one matrix product gives all intersections, and only counts and a spanning forest leave a cell.
-From the similarities found, the share of links that the forest catches at this prefix length is estimated; while it is below
-the target, prefixes are shortened by one MinHash. With TREES and DEPTH as set it never is: this is banding at a fixed depth.
+The weakest link found says how surely the forest catches a link like it at this prefix length. While that is below the target,
+prefixes are shortened to the longest length that reaches it. Of the nodes there, which are the parents in the tries, only those
+go on that hold texts of different families: the others can bring no new link. Only families that grew are verified again.
 
 Leaders: a text with an estimate of REMOVE or more is taken in for good, all texts from LINK on belong to the leader's group. By
 the triangle inequality a partner (0.8) of a text taken in at 0.65 resembles the leader at 0.45, well above LINK. A node of more
@@ -16,7 +17,7 @@ Result per document: class_id (smallest doc_id of its class) and n_links (other
 
 Defined cases: NULL texts and texts without words have no class but their own and no links; texts of fewer than five words
 are one shingle of all their words; repeated rows are copies; a NULL doc_id is a document like others, and a class of such
-has a NULL class_id; ties do not arise. Very long texts are read whole.
+has a NULL class_id; ties do not arise. Very long texts are read whole; an empty table gives no rows. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -32,12 +33,13 @@ from vitrina.sources.staging import stage_table
 
 WORDS = 5
 SIMILAR = 0.8
-TREES, DEPTH = 16, 5
+TREES, LENGTH, SHORTEST = 16, 6, 2
 TARGET_RECALL = 0.995
 REMOVE, LINK = 0.65, 0.3
 NODE_BLOCK, CELL_BLOCK = 2048, 256
 COLUMNS_AT_ONCE = 16_384
-_MIX = np.random.default_rng(20240229).integers(1, 2**63, (2, TREES * DEPTH), dtype=np.uint64) | np.uint64(1)
+HASHED_AT_ONCE = 256
+_MIX = np.random.default_rng(20240229).integers(1, 2**63, (2, TREES * LENGTH, 1), dtype=np.uint64) | np.uint64(1)
 _POSITION = np.random.default_rng(7).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 _SEEN: dict[str, int] = {}
 
@@ -63,11 +65,13 @@ def shingles(tokens: list[str]) -> np.ndarray:
 
 
 def signature(sets: np.ndarray) -> np.ndarray:
-    """One MinHash (32 bits) for each function."""
-    out = np.empty(TREES * DEPTH, np.uint32)
-    for k in range(len(out)):
-        out[k] = ((sets * _MIX[0, k] + _MIX[1, k]) >> np.uint64(32)).min()
-    return out
+    """One MinHash (32 bits) for each function, all functions at once over pieces of the set that stay in the cache."""
+    out = np.full(TREES * LENGTH, np.iinfo(np.uint64).max)
+    for start in range(0, len(sets), HASHED_AT_ONCE):
+        hashed = sets[None, start : start + HASHED_AT_ONCE] * _MIX[0]
+        hashed += _MIX[1]
+        np.minimum(out, hashed.min(1), out=out)
+    return (out >> np.uint64(32)).astype(np.uint32)
 
 
 def _sign(part) -> dict:
@@ -124,15 +128,25 @@ def _grouped(table: pa.Table, keys: list[str], group: np.ndarray, leads: np.ndar
     return pa.table(columns)
 
 
-def family_edges(texts: DataFrame, depth: int) -> DataFrame:
-    """Edges between texts that share a node at this depth and resemble a leader of it. texts: text_key, signature."""
+def family_edges(texts: DataFrame, depth: int, families: DataFrame | None = None) -> DataFrame:
+    """Edges between texts that share a node at this depth and resemble a leader of it. texts: text_key, signature.
+
+    With families (node, root) known from longer prefixes, only of nodes that hold texts of different families.
+    """
 
     def prefix(tree: int):
-        start = 1 + 4 * tree * DEPTH
+        start = 1 + 4 * tree * LENGTH
         return F.xxhash64(F.lit(tree), F.substr(F.col("signature"), F.lit(start), F.lit(4 * depth)))
 
-    nodes = texts.select("text_key", F.explode(F.array(*[prefix(t) for t in range(TREES)])).alias("node"))
-    shared = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.col("node").alias("shared"), "n")
+    prefixes = F.explode(F.array(*[prefix(t) for t in range(TREES)])).alias("node")
+    if families is None:
+        nodes = texts.select("text_key", prefixes)
+        shared = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    else:
+        rooted = texts.join(families.select(F.col("node").alias("text_key"), "root"), "text_key", "left")
+        nodes = rooted.select("text_key", F.xxhash64(F.coalesce("root", "text_key")).alias("family"), prefixes)
+        shared = nodes.groupBy("node").agg(F.count("*").alias("n"), F.min("family").alias("low"), F.max("family").alias("high")).where("low < high")
+    shared = shared.select(F.col("node").alias("shared"), "n")
     met = nodes.join(shared, (F.col("node") == F.col("shared")) & (F.hash("node") == F.hash("shared"))).select("node", "n", "text_key")
     blocks = F.ceil(F.col("n") / NODE_BLOCK).cast("int")
     met = met.select("node", "text_key", blocks.alias("blocks"), F.pmod(F.xxhash64("text_key"), blocks).alias("block"))
@@ -158,6 +172,38 @@ def family_edges(texts: DataFrame, depth: int) -> DataFrame:
     return edges.unionByName(more).where("a <> b").select("a", "b").distinct()
 
 
+def caught(likeness, depth: int):
+    """How surely the forest brings two texts of this similarity together in a node of this depth."""
+    return 1 - (1 - likeness**depth) ** TREES
+
+
+def next_depth(likeness: float, depth: int, target_recall: float) -> int:
+    """The longest prefix, of this length or less, that catches such links as surely as asked."""
+    return next((d for d in range(depth, SHORTEST, -1) if caught(likeness, d) >= target_recall), SHORTEST)
+
+
+def _weakest(cells: DataFrame, depth: int) -> float:
+    """The smallest similarity of the links of these cells, from how surely they were caught; 1 without links."""
+    least = cells.where("n_texts > 0").agg(F.min(F.col("n_texts") / F.col("expected"))).first()[0]
+    return 1.0 if least is None else (1 - (1 - min(least, 1.0)) ** (1 / TREES)) ** (1 / depth)
+
+
+def _grown(families: DataFrame, edges: DataFrame) -> DataFrame | None:
+    """node, root of the families that edges between texts of different ones make larger; None without any."""
+    for side in ("a", "b"):
+        known = families.select(F.col("node").alias("at"), F.col("root").alias("family"))
+        met = (F.col(side) == F.col("at")) & (F.xxhash64(side) == F.xxhash64("at"))
+        edges = edges.join(known, met, "left").withColumn(side, F.coalesce("family", side)).select("a", "b")
+    joined = components(edges.where("a <> b").distinct())
+    if joined.isEmpty():
+        return None
+    # One row for each family that others join, staged; the planner sees its size.
+    moved = joined.select(F.col("node").alias("before"), F.col("root").alias("after"))
+    members = families.join(moved, F.col("root") == F.col("before")).select("node", F.col("after").alias("root"))
+    alone = joined.join(families.select("node"), "node", "left_anti")
+    return stage_table(members.unionByName(alone))
+
+
 def _verify(depth: int):
     def run(table: pa.Table) -> pa.Table:
         """Counts and a spanning forest of the links of one cell."""
@@ -190,8 +236,8 @@ def _verify(depth: int):
         np.fill_diagonal(here, False)
         linked = here & (5 * common >= 4 * union)  # 0.8 in whole numbers
         likeness = common / np.maximum(union, 1)
-        caught = 1 - (1 - likeness**depth) ** TREES
-        expected = np.where(linked, 1 / np.maximum(caught, 1e-9), 0).sum(1)
+        weakest = np.where(linked, likeness, 1).min(1)
+        expected = linked.sum(1) / caught(weakest, depth)
         root = np.arange(len(keys))
         while True:  # smallest reachable number, within the cell
             near = np.where(linked, root[None, :], len(keys)).min(1, initial=len(keys))
@@ -252,14 +298,19 @@ def near_copies(docs: DataFrame, target_recall: float = TARGET_RECALL) -> DataFr
         signed.where("text_key IS NOT NULL").groupBy("text_key")
         .agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.min("row_key").alias("row_key"), F.first("signature").alias("signature"))
     )
-    depth = DEPTH
-    while True:
-        families = components(family_edges(texts.select("text_key", "signature"), depth))
-        cells = stage_table(verify(docs, texts.select("text_key", "row_key", "copies"), families, depth))
-        found = cells.agg(F.sum("n_texts").alias("n"), F.sum("expected").alias("expected")).first()
-        if not found.n or found.n / found.expected >= target_recall or depth == 2:
+    depth, chosen, signatures = LENGTH, texts.select("text_key", "row_key", "copies"), texts.select("text_key", "signature")
+    families = components(family_edges(signatures, depth))
+    cells = stage_table(verify(docs, chosen, families, depth))
+    likeness = _weakest(cells, depth)
+    while (shorter := next_depth(likeness, depth, target_recall)) < depth:
+        depth = shorter
+        grown = _grown(families, family_edges(signatures, depth, families))
+        if grown is None:
             break
-        depth -= 1
+        more = stage_table(verify(docs, chosen, grown, depth))
+        likeness = min(likeness, _weakest(more, depth))
+        cells = stage_table(cells.join(grown.select(F.col("node").alias("text_key")), "text_key", "left_anti").unionByName(more))
+        families = stage_table(families.join(grown.select("node"), "node", "left_anti").unionByName(grown))
     linked = cells.groupBy("text_key").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_documents").alias("n_documents"))
     classes = components(cells.select(F.col("text_key").alias("a"), F.col("root").alias("b")))
     members = (
