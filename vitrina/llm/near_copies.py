@@ -2,8 +2,8 @@
 
 Texts are sets of five-word shingles. Equal texts are one text from the start (a hash of their words, counted with map-side
 combination). Each tree of the forest orders texts by a run of LENGTH MinHashes; texts that share a prefix of it are a node of
-its trie. Prefixes are matched at their whole length first. Within a node, leaders take in the texts that resemble them (by all MinHashes), which gives families: a number of
-comparisons in proportion to the node. Families are then verified exactly: their texts meet in cells of two blocks, shingle
+its trie. Prefixes are matched at their whole length first. Within a node, leaders take in the texts that resemble them (by all
+MinHashes), which gives families: a number of comparisons in proportion to the node. Families are then verified exactly: their texts meet in cells of two blocks, shingle
 sets become sparse columns, one matrix product gives all intersections, and only counts and a spanning forest leave a cell.
 The weakest link found says how surely the forest catches a link like it at this prefix length. While that is below the target,
 prefixes are shortened to the longest length that reaches it. Of the nodes there, which are the parents in the tries, only those
@@ -38,22 +38,30 @@ TARGET_RECALL = 0.995
 REMOVE, LINK = 0.65, 0.3
 NODE_BLOCK, CELL_BLOCK = 2048, 256
 COLUMNS_AT_ONCE = 16_384
-HASHED_AT_ONCE = 256
+HASHED_AT_ONCE = 1024
 _MIX = np.random.default_rng(20240229).integers(1, 2**63, (2, TREES * LENGTH, 1), dtype=np.uint64) | np.uint64(1)
 _POSITION = np.random.default_rng(7).integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
-_SEEN: dict[str, int] = {}
 
 
-def shingles(tokens: list[str]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles; empty without words."""
+class _Hashes(dict):
+    """Hash of every word looked up, computed once; emptied when it grows large."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = hashed = xxhash.xxh3_64_intdigest(word)
+        return hashed
+
+
+_SEEN = _Hashes()
+
+
+def shingle_hashes(tokens: list[str]) -> np.ndarray:
+    """64-bit hashes of the shingles in text order, repeats included; empty without words."""
     if not tokens:
         return np.zeros(0, np.uint64)
     if len(tokens) < WORDS:
         return np.array([xxhash.xxh3_64_intdigest(" ".join(tokens))], np.uint64)
     if len(_SEEN) > 500_000:
         _SEEN.clear()
-    for word in set(tokens).difference(_SEEN):
-        _SEEN[word] = xxhash.xxh3_64_intdigest(word)
     hashed = np.fromiter(map(_SEEN.__getitem__, tokens), np.uint64, len(tokens))
     n = len(tokens) - WORDS + 1
     mixed = np.zeros(n, np.uint64)
@@ -61,7 +69,12 @@ def shingles(tokens: list[str]) -> np.ndarray:
         part = hashed[k : k + n] * _POSITION[k]
         mixed += part ^ (part >> np.uint64(29))
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(mixed ^ (mixed >> np.uint64(31)))
+    return mixed ^ (mixed >> np.uint64(31))
+
+
+def shingles(tokens: list[str]) -> np.ndarray:
+    """Sorted distinct hashes of the shingles."""
+    return np.unique(shingle_hashes(tokens))
 
 
 def signature(sets: np.ndarray) -> np.ndarray:
@@ -79,7 +92,7 @@ def _sign(part) -> dict:
     for text in part.column("text").to_pylist():
         tokens = words(text)
         keys.append(xxhash.xxh3_128_hexdigest(" ".join(tokens)) if tokens else None)
-        signs.append(signature(shingles(tokens)).tobytes() if tokens else None)
+        signs.append(signature(shingle_hashes(tokens)).tobytes() if tokens else None)  # repeats leave a minimum as it is
     return {"text_key": keys, "signature": pa.array(signs, pa.binary())}
 
 
