@@ -6,9 +6,13 @@ the values of its format, so that equal values stay equal everywhere and differe
 - card numbers: 13 to 19 digits with a right Luhn check digit; the digits before it are permuted, the check digit follows. Groups
   of digits one space or hyphen apart form a run of any length: if it is no card as a whole, usual card layouts anywhere in it
   come first, then other values, then the longest card from each group on, so that neighbouring numbers hide none;
-- phone numbers: three, three and four digits, with or without +1; the ten digits are permuted (North American area and
-  exchange codes stay such codes);
-- IPv4 addresses; social security numbers (valid areas, groups and serials); dates 1800 to 2199 as yyyy-mm-dd or dd/mm/yyyy.
+- phone numbers: three, three and four digits, with or without +1, or ten digits in a row from 2 on (seconds since 1970 begin
+  with 1); the ten digits are permuted (North American area and exchange codes stay such codes);
+- international phone numbers, + and eight digits or more with a country code other than 1: the digits after the code are permuted,
+  so a number is the same value however it is grouped;
+- IPv4 addresses; social security numbers (valid areas, groups and serials); dates 1800 to 2199 as yyyy-mm-dd (also before a
+  time, as in 2024-01-05T10:00) or dd/mm/yyyy. With more than 12 in the place of the month, a date is read and written as
+  mm/dd/yyyy; its pseudonym is that of the same day in the other layouts, so its text can equal that of a day-first date.
 
 Separators stay where they are. E-mail addresses have no numeric domain: their local part becomes a keyed hash.
 
@@ -23,18 +27,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-KINDS = ("email", "phone", "ip", "date", "ssn", "card")
+KINDS = ("email", "phone", "world", "ip", "date", "ssn", "card")
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,8}"
-PHONE = r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
+PHONE = r"(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}|(?:\+1)?[2-9]\d{9}"
+# Country codes of one and two digits; all others have three.
+COUNTRY = r"^(?:7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+# Starts of other values, which a number before them does not take in: cards, phones, dates, security numbers.
+START = r"\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]|\d{3}[ .-]\d{3}[ .-]\d{4}|\d{4}-\d\d-\d\d|\d{3}-\d\d-\d{4}|\d\d/\d\d/\d{4}"
+WORLD = rf"\+[2-9]\d{{0,3}}(?:[ .-]?\(\d{{1,4}}\))?(?:[ .-]?(?!{START})\d{{1,7}}(?!\d)){{1,4}}|\+[2-9]\d{{7,14}}"
 IP = r"\d{1,3}(?:\.\d{1,3}){3}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 LAYOUT = r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5}|\d{13,19}"  # of cards
+STAMP = r"\d{4}-\d{2}-\d{2}(?=T\d\d:\d)"  # a date that a time follows
 # Groups that are no part of a word, a decimal or a date; possessive, so that a long run neither backtracks nor recurses.
 GROUP = r"\d++(?!\w|\.\d)"
-RUN = rf"(?=\d(?:[ -]?\d){{12}}){GROUP}(?:[ -](?!\d\d/\d\d/\d{{4}}(?!\w)){GROUP})*+"
+RUN = rf"(?=\d(?:[ -]?\d){{12}}){GROUP}(?:[ -](?!\d\d/\d\d/\d{{4}}(?!\w)|{STAMP}){GROUP})*+"
 OTHER = rf"(?<![\w.+-])(?:{PHONE}|{DATE}|{SSN})(?!\w|[.-]\d)"  # kinds that can lie within a run
-ANY = rf"{EMAIL}|(?<![\w.+-])(?:{PHONE}|{IP}|{DATE}|{SSN}|{RUN})(?!\w|[.-]\d)"
+ANY = rf"{EMAIL}|(?<![\w.+-])(?:(?:{PHONE}|{WORLD}|{IP}|{DATE}|{SSN}|{RUN})(?!\w|[.-]\d)|{STAMP})"
 MARKED = "<[^>]*>"
 ROUNDS = 8
 EPOCH = "1800-01-01"
@@ -148,6 +158,20 @@ def _phone(token: Column, key: str) -> Column:
     return _let(_digits(token), numbered)
 
 
+def _world(token: Column, key: str) -> Column:
+    def permuted(f):
+        high, low = F.floor(f["rest"] / 2).cast("int"), (f["rest"] - F.floor(f["rest"] / 2)).cast("int")
+        at = F.length(f["code"]) + 1
+        left, right = _number(F.substr(f["digits"], at, high)), _number(F.substr(f["digits"], at + high, low))
+        ten = lambda width: F.round(F.pow(F.lit(10.0), width)).cast("bigint")
+        new = _let(feistel(left, right, ten(high), ten(low), key, "world"), lambda m: F.concat(f["code"], _padded(m["l"], high), _padded(m["r"], low)))
+        return F.when(F.length(f["digits"]) >= 8, _lay(token, new))
+
+    digits = _digits(token)
+    code = F.regexp_extract(digits, COUNTRY, 0)
+    return _let(F.struct(digits.alias("digits"), code.alias("code"), (F.length(digits) - F.length(code)).alias("rest")), permuted)
+
+
 def _ip(token: Column, key: str) -> Column:
     def permuted(p):
         valid = (p[0] <= 255) & (p[1] <= 255) & (p[2] <= 255) & (p[3] <= 255)
@@ -165,7 +189,8 @@ def _ip(token: Column, key: str) -> Column:
 def _date(token: Column, key: str) -> Column:
     iso = F.substr(token, F.lit(5), F.lit(1)) == "-"
     year, month, day = F.substr(token, F.lit(7), F.lit(4)), F.substr(token, F.lit(4), F.lit(2)), F.substr(token, F.lit(1), F.lit(2))
-    written = F.when(iso, token).otherwise(F.concat_ws("-", year, month, day))
+    american = ~iso & (month > "12")
+    written = F.when(iso, token).when(american, F.concat_ws("-", year, day, month)).otherwise(F.concat_ws("-", year, month, day))
     number = F.datediff(written.try_cast("date"), F.lit(EPOCH).cast("date"))
     a, b = DAYS
 
@@ -174,7 +199,8 @@ def _date(token: Column, key: str) -> Column:
             feistel(F.floor(n / b), n % b, a, b, key, "date"),
             lambda m: F.date_add(F.lit(EPOCH).cast("date"), (m["l"] * b + m["r"]).cast("int")),
         )
-        text = _let(new, lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).otherwise(F.date_format(d, "dd/MM/yyyy")))
+        shown = lambda d: F.when(iso, F.date_format(d, "yyyy-MM-dd")).when(american, F.date_format(d, "MM/dd/yyyy"))
+        text = _let(new, lambda d: shown(d).otherwise(F.date_format(d, "dd/MM/yyyy")))
         return F.when(n.between(0, a * b - 1), text)
 
     return _let(number, permuted)
@@ -203,7 +229,7 @@ def _email(token: Column, key: str) -> Column:
 
 def _kind(token: Column) -> Column:
     out = F.lit("email")
-    for kind, pattern in (("card", r"\d[\d -]*"), ("ssn", SSN), ("date", DATE), ("ip", IP), ("phone", PHONE)):
+    for kind, pattern in (("card", r"\d[\d -]*"), ("ssn", SSN), ("date", DATE), ("ip", IP), ("world", WORLD), ("phone", PHONE)):
         out = F.when(token.rlike(f"^(?:{pattern})$"), kind).otherwise(out)
     return out
 
@@ -281,7 +307,7 @@ def _in_runs(step) -> Column:
 
 def _pseudonym(token: Column, key: str) -> Column:
     """Struct text, n (values replaced) and run (whether values are still to be looked for in it)."""
-    makers = {"email": _email, "phone": _phone, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card}
+    makers = {"email": _email, "phone": _phone, "world": _world, "ip": _ip, "date": _date, "ssn": _ssn, "card": _card}
 
     def chosen(kind):
         fits = (kind != "card") | F.length(_digits(token)).between(13, 19)
