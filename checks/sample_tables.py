@@ -144,6 +144,10 @@ SELECT
 FROM {events}
 """
 
+# Pages that one task renders: a result page has up to 50 cards, a detail page is a few lines.
+RESULT_PAGES_PER_TASK = 2_000
+DETAIL_PAGES_PER_TASK = 50_000
+
 FILLER = "Texto de relleno para la ficha completa de esta oferta."
 
 LISTING_PAGES = f"""
@@ -274,6 +278,16 @@ def derive(spark: SparkSession, sf_dir: str, text: str, *names: str) -> DataFram
     return spark.sql(text, **{name: table(spark, sf_dir, name) for name in names})
 
 
+def render(spark: SparkSession, sf_dir: str, text: str, name: str, rows_per_task: int) -> DataFrame:
+    """Pages rendered from the rows of a table, in tasks that grow in number with the rows.
+
+    The narrow rows of a table fit in a few megabytes, so one task would read them all, render the pages, which are many times as
+    large, and parse them. The rows are dealt out before they are rendered: only they are shuffled, no HTML.
+    """
+    rows = table(spark, sf_dir, name)
+    return spark.sql(text, **{name: rows.repartition(max(1, -(-rows.count() // rows_per_task)))})
+
+
 @derived
 def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_source.scan_pages(spark, f"{sf_dir}/pages.parquet")
@@ -301,20 +315,19 @@ def posting_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @derived
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages rendered from the rows of a table, like the three below."""
-    return derive(spark, sf_dir, LISTING_PAGES, "part")
+    return render(spark, sf_dir, LISTING_PAGES, "part", RESULT_PAGES_PER_TASK)
 
 
 @derived
 def posting_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, POSTING_PAGES, "customer")
+    return render(spark, sf_dir, POSTING_PAGES, "customer", RESULT_PAGES_PER_TASK)
 
 
 @derived
 def listing_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, LISTING_DETAIL_PAGES, "orders")
+    return render(spark, sf_dir, LISTING_DETAIL_PAGES, "orders", DETAIL_PAGES_PER_TASK)
 
 
 @derived
 def posting_detail_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, POSTING_DETAIL_PAGES, "events")
+    return render(spark, sf_dir, POSTING_DETAIL_PAGES, "events", DETAIL_PAGES_PER_TASK)
