@@ -144,6 +144,7 @@ SELECT
 FROM {events}
 """
 
+LISTINGS_PER_TASK = 500_000
 # Pages that one task renders: a result page has up to 50 cards, a detail page is a few lines.
 RESULT_PAGES_PER_TASK = 2_000
 DETAIL_PAGES_PER_TASK = 50_000
@@ -295,7 +296,16 @@ def result_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @derived
 def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return derive(spark, sf_dir, RAW_LISTINGS, "lineitem", "part", "supplier")
+    """Listings in tasks of bounded rows.
+
+    A listing is several times as wide as the row it comes from, so tasks cut by the bytes of their input would sort and spill too
+    much. The narrow rows are dealt out by the key they are joined on: a join that shuffles finds them in place.
+    """
+    rows = table(spark, sf_dir, "lineitem")
+    tasks = -(-rows.count() // LISTINGS_PER_TASK)
+    if tasks > 1:
+        rows = rows.repartition(tasks, "l_partkey")
+    return spark.sql(RAW_LISTINGS, lineitem=rows, **{name: table(spark, sf_dir, name) for name in ("part", "supplier")})
 
 
 @derived
