@@ -8,8 +8,9 @@ from vitrina import fixed_values as fv
 from vitrina.functions.text import collapse_spaces, first_label, has_any, strip, title_case
 
 
-def classify_reputation(text: Column) -> Column:
-    lowered = F.lower(text)
+def classify_reputation(text: Column, lowered: Column | None = None) -> Column:
+    """`lowered`: a column that holds the text in lower case already."""
+    lowered = F.lower(text) if lowered is None else lowered
     missing = text.isNull() | (lowered == fv.NOT_AVAILABLE.lower())
     return F.when(missing, fv.REPUTATION_NONE).otherwise(
         first_label(lowered, fv.REPUTATION_RULES, fv.REPUTATION_NONE)

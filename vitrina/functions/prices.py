@@ -10,14 +10,19 @@ from vitrina import fixed_values as fv
 from vitrina.functions.text import strip
 
 
-def parse_price(text: Column) -> Column:
+def price_digits(text: Column) -> Column:
+    """A price text as a number is written: no thousands separators, a decimal point."""
+    return strip(F.translate(text, ",$ .", "."))
+
+
+def parse_price(text: Column, digits: Column | None = None) -> Column:
     """`$1.234.567,89` to 1234567.89; missing or unreadable text to 0.
 
     Dots are thousands separators and the comma is the decimal mark, whatever the text looks like. The character guard
-    keeps out suffixes such as `12d` that a cast to double would accept.
+    keeps out suffixes such as `12d` that a cast to double would accept. `digits`: a column that holds `price_digits` already.
     """
     missing = text.isNull() | F.lower(text).isin(fv.NOT_AVAILABLE.lower(), "nan")
-    number = strip(F.translate(text, ",$ .", "."))
+    number = price_digits(text) if digits is None else digits
     plain = F.translate(number, "0123456789eE.+-", "") == ""
     return F.when(missing, 0.0).otherwise(F.coalesce(F.when(plain, number.try_cast("double")), F.lit(0.0)))
 

@@ -34,19 +34,28 @@ def price_term(price: Column, tiers) -> Column:
     chain = F.when(~(price > 0), 0.0)
     for edge, inclusive, top, start, width in tiers:
         inside = price <= edge if inclusive else price < edge
-        chain = chain.when(inside, F.greatest(F.lit(0.0), top - (price - start) / width))
-    return chain.otherwise(0.0)
+        chain = chain.when(inside, top - (price - start) / width)
+    return F.greatest(F.lit(0.0), chain.otherwise(0.0))
 
 
-def value_score(
+def value_points(
     reputation: Column, available: Column, free_shipping: Column, price: Column, weights: Weights = Weights()
 ) -> Column:
-    points = F
+    """The value score before it is rounded."""
+    points = F.when(F.lit(False), 0.0)
     for label, value in weights.reputation:
-        points = points.when(reputation == label, value)
+        if value:  # others count 0 anyway
+            points = points.when(reputation == label, value)
     base = (
         points.otherwise(0.0)
         + F.when(available, weights.available).otherwise(0.0)
         + F.when(free_shipping, weights.free_shipping).otherwise(0.0)
     )
-    return round_exact(base + price_term(price, weights.tiers))
+    return base + price_term(price, weights.tiers)
+
+
+def value_score(
+    reputation: Column, available: Column, free_shipping: Column, price: Column, weights: Weights = Weights()
+) -> Column:
+    """Rounding names its argument many times; over large tables, round a column that holds `value_points`."""
+    return round_exact(value_points(reputation, available, free_shipping, price, weights))

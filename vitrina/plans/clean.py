@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from vitrina import fixed_values as fv
 from vitrina.functions import labels, score, text
 from vitrina.functions.dates import age_band, as_of_column, parse_posted_at
-from vitrina.functions.prices import PRICE_BANDS, Bands, parse_price, price_band
+from vitrina.functions.numbers import round_exact
+from vitrina.functions.prices import PRICE_BANDS, Bands, parse_price, price_band, price_digits
 from vitrina.operators.ingest import valid_listing, valid_posting
 
 
@@ -26,19 +27,23 @@ def clean_listings(
 
     `nulled`: texts for missing values are NULL already, as a scanned snapshot has them.
     """
+    # What is named many times is a column of its own: worked out once a row, and the code of a row stays short enough to be compiled.
     rows = (listings if nulled else null_missing(listings)).withColumns(
+        {"__lowered": F.lower("reputacion_vendedor"), "__digits": price_digits(F.col("precio"))}
+    )
+    rows = rows.withColumns(
         {
-            "precio_numerico": parse_price(F.col("precio")),
+            "precio_numerico": parse_price(F.col("precio"), F.col("__digits")),
             "vendedor_limpio": text.clean_vendor(F.col("vendedor")),
-            "reputacion_limpia": labels.classify_reputation(F.col("reputacion_vendedor")),
+            "reputacion_limpia": labels.classify_reputation(F.col("reputacion_vendedor"), F.col("__lowered")),
             "disponible_bool": text.is_available(F.col("disponible")),
             "envio_gratis_bool": text.has_free_shipping(F.col("envio_gratis")),
         }
     )
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
             "rango_precio": price_band(F.col("precio_numerico"), bands),
-            "puntaje_valor": score.value_score(
+            "__points": score.value_points(
                 F.col("reputacion_limpia"),
                 F.col("disponible_bool"),
                 F.col("envio_gratis_bool"),
@@ -47,6 +52,9 @@ def clean_listings(
             ),
         }
     )
+    # As a function of the points: rounding is then compiled apart from the rest, which alone is about as long as may be.
+    score_of = F.get(F.transform(F.array("__points"), round_exact), F.lit(0))
+    return rows.withColumn("puntaje_valor", score_of).drop("__lowered", "__digits", "__points")
 
 
 def clean_postings(
