@@ -19,6 +19,7 @@ from vitrina.sources import sinks, snapshots, staging
 from vitrina.streaming import new_snapshots
 
 SNAPSHOT_BY = st.LISTING_ORDER[1]
+LARGE_FILE_ROWS = 2_000_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -64,11 +65,15 @@ def scan_listings_reordered(spark, sf_dir):
 
 @query
 def scan_listings_one_file(spark, sf_dir):
-    """One file, as other programs leave it, with line breaks and quotes in a value of every second row."""
+    """One file, as other programs leave it, with line breaks and quotes in a value of every second row.
+
+    A file has one writer, so above `LARGE_FILE_ROWS` there are several, each still many byte ranges long.
+    """
     path = f"{staging.shared_folder(spark)}/listings.csv"
     broken = F.when(F.col(SNAPSHOT_BY) % 2 == 0, F.concat("producto", F.lit('\n"línea"\n'), "categoria")).otherwise(F.col("producto"))
     rows = st.raw_listings(spark, sf_dir).withColumn("producto", broken).select(*fv.LISTING_COLUMNS)
-    sinks.write_csv(rows.coalesce(1), path)  # the case itself: a file that no Spark job wrote
+    files = max(1, -(-st.table(spark, sf_dir, "lineitem").count() // LARGE_FILE_ROWS))
+    sinks.write_csv(rows.coalesce(files), path, records_per_file=0)  # the case itself: files that no Spark job cut
     return snapshots.scan_large_snapshot(spark, path, LISTING_SCHEMA)
 
 

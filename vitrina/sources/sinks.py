@@ -18,7 +18,8 @@ BOUNDED_REPORTS = (
 )
 
 
-def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists", records_per_file: int = RECORDS_PER_FILE) -> None:
+    """Headed CSV; `records_per_file` 0 leaves one file a task."""
     (
         rows.write.mode(mode)
         .option("header", True)
@@ -27,7 +28,7 @@ def write_csv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
         .option("emptyValue", "")
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
+        .option("maxRecordsPerFile", records_per_file)
         .csv(path)
     )
 
