@@ -47,7 +47,8 @@ class Spec:
 
     With `block_words`, only blocks with one of them and more than `block_chars` characters count, and fields are looked up only
     in those of the first selector that has any, at most `cards` of them. `page_text` adds the text of the body of pages without
-    any block, NULL for others.
+    any block, NULL for others. Without `content` the text of the blocks is left out of the result (NULL): it is most of what would
+    cross from Python.
     """
 
     fields: tuple[Field, ...]
@@ -59,6 +60,7 @@ class Spec:
     block_chars: int = 0
     cards: int | None = None
     page_text: bool = False
+    content: bool = True
 
 
 def _blocks(page: Document, spec: Spec) -> Iterator[tuple[int, int, int]]:
@@ -81,38 +83,66 @@ def _blocks(page: Document, spec: Spec) -> Iterator[tuple[int, int, int]]:
             yield len(spec.containers), place, index
 
 
-def _usable(page: Document, spec: Spec) -> Iterator[tuple[int, int, int, str]]:
-    """Blocks with their text; with `block_words`, the usable ones of the first selector that has any."""
+def _usable(page: Document, spec: Spec) -> Iterator[tuple[int, int, int, str | None]]:
+    """Blocks with their text, if asked for; with `block_words`, the usable ones of the first selector that has any."""
     chosen, taken = None, 0
     for number, place, index in _blocks(page, spec):
         if chosen is not None and (number != chosen or taken == spec.cards):
             return
-        content = page.text_content(index)
+        content = page.text_content(index) if spec.content or spec.block_words else None
         if spec.block_words:
             lower = content.lower()
             if len(content.strip(fv.WHITESPACE)) <= spec.block_chars or not any(word in lower for word in spec.block_words):
                 continue
             chosen, taken = number, taken + 1
-        yield number, place, index, content
+        yield number, place, index, content if spec.content else None
 
 
-def _candidates(page: Document, block: int, field: Field) -> list[str | None]:
+def _candidates(page: Document, block: int, field: Field, searches: list[tuple]) -> list[str | None]:
     values: list[str | None] = []
-    for selector in field.selectors:
-        matches = page.select(block, selector)
-        for index in matches:
+    for found, tops in searches:
+        for index in page.part(block, found, tops, field.every):
             if field.near_link:
                 link = page.ancestor(index, "a") or page.first(block, field.near_link)
-                values.append(page.attrs[link].get("href") if link else None)
+                values.append(page.attributes(link).get("href") if link else None)
             elif field.attribute:
-                values.append(page.attrs[index].get(field.attribute))
+                values.append(page.attributes(index).get(field.attribute))
             else:
                 values.append(page.inner_text(index))
-            if not field.every:
-                break
     return values
 
 
+def _parse_pages(htmls: pa.Array, spec: Spec) -> tuple[pa.Array, pa.Array]:
+    """Blocks and page text of every page. The values are gathered by column, so that Arrow takes flat lists."""
+    sels, places, contents, page_texts, ends = [], [], [], [], [0]
+    columns = [(field, [], [0]) for field in spec.fields]
+    for html in htmls.to_pylist():
+        text = None if html is not None or not spec.page_text else ""
+        if html is not None:
+            page, searches = Document(html), None
+            for number, place, index, content in _usable(page, spec):
+                sels.append(number)
+                places.append(place)
+                contents.append(content)
+                if searches is None:
+                    searches = [page.searches(field.selectors) for field in spec.fields]
+                for (field, values, stops), some in zip(columns, searches):
+                    if some:
+                        values += _candidates(page, index, field, some)
+                    stops.append(len(values))
+            if spec.page_text and len(sels) == ends[-1]:
+                body = page.first(0, "body")
+                text = "" if body is None else page.text_content(body)
+        page_texts.append(text)
+        ends.append(len(sels))
+    arrays = [pa.array(sels, pa.int32()), pa.array(places, pa.int32()), pa.array(contents, pa.string())]
+    for _, values, stops in columns:
+        arrays.append(pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(values, pa.string())))
+    names = ["sel", "pos", "content", *[field.name for field, _, _ in columns]]
+    blocks = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(arrays, names))
+    return blocks, pa.array(page_texts, pa.string())
+
+
 def extract_records(pages: DataFrame, spec: Spec) -> DataFrame:
     """Every page column but `html`, plus `blocks`: array of (sel, pos, content, one array of candidates per field).
 
@@ -128,36 +158,16 @@ def extract_records(pages: DataFrame, spec: Spec) -> DataFrame:
     schema = StructType([pages.schema[name] for name in kept] + [StructField("blocks", ArrayType(block_type))])
     if spec.page_text:
         schema = schema.add("page_text", StringType())
-    arrow_type = pa.list_(
-        pa.struct(
-            [("sel", pa.int32()), ("pos", pa.int32()), ("content", pa.string())]
-            + [(name, pa.list_(pa.string())) for name in names]
-        )
-    )
-
-    def parse(html: str | None) -> tuple[list[dict], str | None]:
-        if html is None:
-            return [], ""
-        page = Document(html)
-        blocks = [
-            {"sel": number, "pos": place, "content": content}
-            | {field.name: _candidates(page, index, field) for field in spec.fields}
-            for number, place, index, content in _usable(page, spec)
-        ]
-        if blocks or not spec.page_text:
-            return blocks, None
-        body = page.first(0, "body")
-        return blocks, "" if body is None else page.text_content(body)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # Small output slices: the parsed blocks of a full batch are never held at once.
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                parsed = [parse(html.as_py()) for html in part.column("html")]
-                arrays = [part.column(name) for name in kept] + [pa.array([blocks for blocks, _ in parsed], arrow_type)]
+                blocks, page_texts = _parse_pages(part.column("html"), spec)
+                arrays = [part.column(name) for name in kept] + [blocks]
                 if spec.page_text:
-                    arrays.append(pa.array([text for _, text in parsed], pa.string()))
+                    arrays.append(page_texts)
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return pages.select(*kept, "html").mapInArrow(run, schema)
@@ -182,7 +192,7 @@ def first_text(candidates: Column, default: str | None = fv.MISSING) -> Column:
 
 def first_match_text(pages: DataFrame, selectors: Sequence[str], default: str = fv.MISSING) -> DataFrame:
     """Per page, the text of the first selector with visible text."""
-    found = extract_records(pages, Spec((Field("texts", tuple(selectors)),)))
+    found = extract_records(pages, Spec((Field("texts", tuple(selectors)),), content=False))
     return found.select("page_id", first_text(F.get("blocks", F.lit(0))["texts"], default).alias("text"))
 
 
@@ -190,13 +200,13 @@ def attribute_extract(
     pages: DataFrame, selector: str, attribute: str, default: str = fv.MISSING
 ) -> DataFrame:
     """Per page, an attribute of the first match, trimmed."""
-    found = extract_records(pages, Spec((Field("values", (selector,), attribute),)))
+    found = extract_records(pages, Spec((Field("values", (selector,), attribute),), content=False))
     return found.select("page_id", first_text(F.get("blocks", F.lit(0))["values"], default).alias("value"))
 
 
 def presence_flag(pages: DataFrame, selectors: Sequence[str]) -> DataFrame:
     """Per page, `Sí` when any selector matches, else `No`."""
-    found = extract_records(pages, Spec((Field("texts", tuple(selectors)),)))
+    found = extract_records(pages, Spec((Field("texts", tuple(selectors)),), content=False))
     hit = F.size(F.get("blocks", F.lit(0))["texts"]) > 0
     return found.select("page_id", yes_no(hit).alias("flag"))
 
@@ -262,7 +272,7 @@ def extract_listings(
     and at most `max_cards` of its cards are taken (None: all). Both are decided while parsing: fields are looked up in the cards
     that are taken only. `seen` counts the pages, blocked and thin ones apart.
     """
-    spec = replace(spec, cards=max_cards)
+    spec = replace(spec, cards=max_cards, content=False)
     if blocks_per_page is not None:
         spec = replace(spec, limit=blocks_per_page)
     found = _watched(pages, spec, seen)
@@ -300,7 +310,7 @@ LISTING_DETAIL = Spec(
 
 
 def _detail_pages(pages: DataFrame, spec: Spec) -> DataFrame:
-    found = extract_records(pages, spec).withColumn("b", F.get("blocks", F.lit(0)))
+    found = extract_records(pages, replace(spec, content=False)).withColumn("b", F.get("blocks", F.lit(0)))
     return found.select(*[name for name in found.columns if name not in ("blocks", "b")], "b.*")
 
 
@@ -362,7 +372,7 @@ def extract_postings(
 
     `seen` counts the pages, blocked and thin ones apart.
     """
-    found = _watched(pages, posting_card(max_cards), seen)
+    found = _watched(pages, replace(posting_card(max_cards), content=False), seen)
     cards = found.select("page_id", "term", F.explode("blocks").alias("card")).select("page_id", "term", "card.*")
     title = F.get(
         F.filter(F.arrays_zip("titles", "title_hrefs"), lambda pair: strip(pair["titles"]) != ""), F.lit(0)
