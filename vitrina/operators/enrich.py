@@ -20,6 +20,8 @@ from vitrina.operators.ingest import first_rows
 from vitrina.sources.staging import stage_table
 
 Parse = Callable[[DataFrame], DataFrame]
+# Parts the texts of a packed column; the other begins what stands in them for NULL, for itself and for the first.
+_END, _MARK = "\x1f", "\x1e"
 
 
 def latest_details(details: DataFrame, url: str = "url", fetched_at: str = "fetched_at") -> DataFrame:
@@ -43,14 +45,14 @@ def _prefixed(updates: DataFrame) -> DataFrame:
     return updates.select(*[F.col(name).alias(f"__{name}") for name in updates.columns])
 
 
-def _same_url(left: str, right: str) -> Column:
+def _same_url(left: Column, right: Column) -> Column:
     """Equal urls, in a form that makes both sides of the join shuffle for it.
 
     The details arrive partitioned by url; a join on the url alone would reuse that, and adaptive execution splits a hot
     partition only where the join reads two fresh shuffles. Details are one row per url, so the second shuffle is the
     cheap one.
     """
-    return (F.col(left) == F.col(right)) & (F.xxhash64(left) == F.xxhash64(right))
+    return (left == right) & (F.xxhash64(left) == F.xxhash64(right))
 
 
 def _update_chosen(
@@ -61,7 +63,7 @@ def _update_chosen(
     chosen = stage_table(chosen, folder)
     found = _prefixed(latest(of_chosen(details, chosen)))
     updates = stage_table(
-        chosen.distinct().join(found, _same_url("url", "__url")).select(*keys, F.col("url").alias("found_url"), *[F.col(f"__{n}").alias(n) for n in fields]),
+        chosen.distinct().join(found, _same_url(F.col("url"), F.col("__url"))).select(*keys, F.col("url").alias("found_url"), *[F.col(f"__{n}").alias(n) for n in fields]),
         folder,
     )
     # Rows may share a key (a page stored twice); with the url, an update is one row, and no row is multiplied.
@@ -69,18 +71,40 @@ def _update_chosen(
     return _merge(rows, _prefixed(updates), same_row, fields)
 
 
-def _update_all(
-    rows: DataFrame, url: str, details: DataFrame, keys: Sequence[str], fields: Sequence[str]
-) -> DataFrame:
+def _packed(texts: Column) -> Column:
+    """An array of texts as one text, to be shuffled: a row pays eight bytes a text, and padding, for texts often no longer."""
+    marks = F.array_join(texts, "")
+    marked = F.transform(texts, lambda t: F.replace(F.replace(t, F.lit(_MARK), F.lit(_MARK + "1")), F.lit(_END), F.lit(_MARK + "2")))
+    odd = marks.contains(_MARK) | marks.contains(_END)
+    return F.when(odd, F.array_join(marked, _END, _MARK + "0")).otherwise(F.array_join(texts, _END, _MARK + "0"))
+
+
+def _unpacked(packed: Column, number: int) -> Column:
+    """One of the texts, byte for byte."""
+    part = F.substring_index(F.substring_index(packed, _END, number + 1), _END, -1)
+    text = F.replace(F.replace(part, F.lit(_MARK + "2"), F.lit(_END)), F.lit(_MARK + "1"), F.lit(_MARK))
+    return F.when(~part.contains(_MARK), part).when(part != _MARK + "0", text)
+
+
+def _update_all(rows: DataFrame, url: str, details: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """All rows to enrich: one join on the url.
 
-    Rows without url match nothing, so they get a key of their own instead of meeting in one partition. The rows of a hot
-    url are split by the skew handling of adaptive execution.
+    Every row is shuffled, so its texts travel as one, and it is sorted by a hash of the url. Rows without url match nothing, so they
+    get a hash of their own instead of meeting in one partition. The rows of a hot url are split by the skew handling of adaptive
+    execution.
     """
+    texts = [name for name, kind in rows.dtypes if kind == "string" and name != url]
+    others = [name for name in rows.columns if name not in texts]
     link = F.col(url)
-    spread = F.concat(F.lit("-"), F.xxhash64(*keys).cast("string"))
-    rows = rows.withColumn("__key", F.when(link.startswith("http"), link).otherwise(spread))
-    return _merge(rows, _prefixed(details.select("url", *fields)), _same_url("__key", "__url"), fields).drop("__key")
+    spread = F.when(link.startswith("http"), F.xxhash64(link)).otherwise(F.xxhash64(*keys))
+    carried = rows.select(*others, F.array(*texts).cast("array<string>").alias("__array"), spread.alias("__hash"))
+    carried = carried.select(*others, _packed(F.col("__array")).alias("__texts"), "__hash")
+    found = _prefixed(details.select("url", *fields)).withColumn("__url_hash", F.xxhash64("__url"))
+    joined = carried.join(found, (F.col("__hash") == F.col("__url_hash")) & (link == F.col("__url")), "left")
+    values = {name: F.col(name) for name in others} | {name: _unpacked(F.col("__texts"), number) for number, name in enumerate(texts)}
+    return joined.select(
+        *[(F.coalesce(F.col(f"__{name}"), values[name]) if name in fields else values[name]).alias(name) for name in rows.columns]
+    )
 
 
 def _unless(value: Column, sentinel: str) -> Column:
@@ -116,7 +140,7 @@ def chosen_postings(
 def of_chosen(details: DataFrame, chosen: DataFrame) -> DataFrame:
     """The details (or unparsed detail pages) of the chosen rows only."""
     wanted = chosen.select(F.col("url").alias("__url"))
-    return details.join(wanted, _same_url("url", "__url"), "left_semi")
+    return details.join(wanted, _same_url(F.col("url"), F.col("__url")), "left_semi")
 
 
 def of_wanted(pages: DataFrame, rows: DataFrame, url: str) -> DataFrame:
@@ -147,12 +171,11 @@ def enrich_listings(
         found = latest_details((parse(found) if parse else found).where(F.col("url").startswith("http")))
         return found.select("url", *[_unless(F.col(name), fv.UNKNOWN_PLACE).alias(name) for name in fields])
 
-    keys = [term, *order_by]
     if per_term is None:
         found = of_wanted(details, listings, "url_producto") if parse else details
-        return _update_all(listings, "url_producto", latest(found), keys, fields)
+        return _update_all(listings, "url_producto", latest(found), [term, *order_by], fields)
     chosen = chosen_listings(listings, term, order_by, per_term)
-    return _update_chosen(listings, "url_producto", chosen, details, latest, keys, fields, folder)
+    return _update_chosen(listings, "url_producto", chosen, details, latest, [term, *order_by], fields, folder)
 
 
 def enrich_postings(
@@ -178,9 +201,8 @@ def enrich_postings(
         found = latest_details((parse(found) if parse else found).where(F.col("url").startswith("http")))
         return found.select("url", *[value.alias(name) for name, value in zip(fields, values)])
 
-    keys = list(order_by)
     if limit is None:
         found = of_wanted(details, postings, "url_empleo") if parse else details
-        return _update_all(postings, "url_empleo", latest(found), keys, fields)
+        return _update_all(postings, "url_empleo", latest(found), order_by, fields)
     chosen = chosen_postings(postings, order_by, limit)
-    return _update_chosen(postings, "url_empleo", chosen, details, latest, keys, fields, folder)
+    return _update_chosen(postings, "url_empleo", chosen, details, latest, list(order_by), fields, folder)
