@@ -40,4 +40,4 @@ def test_a_row_is_shuffled_with_its_texts_as_one(shuffled):
     while plan.nodeName() != "Join":
         plan = plan.children().head()
     names = [plan.children().head().output().apply(k).name() for k in range(plan.children().head().output().size())]
-    assert sorted(names) == ["__hash", "__texts", "marcas", "pos", "precio", "term_no", "url_producto"]
+    assert sorted(names) == ["__texts", "marcas", "pos", "precio", "term_no", "url_producto"]

@@ -89,18 +89,18 @@ def _unpacked(packed: Column, number: int) -> Column:
 def _update_all(rows: DataFrame, url: str, details: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """All rows to enrich: one join on the url.
 
-    Every row is shuffled, so its texts travel as one, and it is sorted by a hash of the url. Rows without url match nothing, so they
-    get a hash of their own instead of meeting in one partition. The rows of a hot url are split by the skew handling of adaptive
-    execution.
+    Every row is shuffled, so its texts travel as one, and the hash of the url that it is sorted by is computed, not carried. Rows
+    without url match nothing, so they get a hash of their own instead of meeting in one partition. The rows of a hot url are split by
+    the skew handling of adaptive execution.
     """
     texts = [name for name, kind in rows.dtypes if kind == "string" and name != url]
     others = [name for name in rows.columns if name not in texts]
+    carried = rows.select(*others, F.array(*texts).cast("array<string>").alias("__array"))
+    carried = carried.select(*others, _packed(F.col("__array")).alias("__texts"))
     link = F.col(url)
-    spread = F.when(link.startswith("http"), F.xxhash64(link)).otherwise(F.xxhash64(*keys))
-    carried = rows.select(*others, F.array(*texts).cast("array<string>").alias("__array"), spread.alias("__hash"))
-    carried = carried.select(*others, _packed(F.col("__array")).alias("__texts"), "__hash")
-    found = _prefixed(details.select("url", *fields)).withColumn("__url_hash", F.xxhash64("__url"))
-    joined = carried.join(found, (F.col("__hash") == F.col("__url_hash")) & (link == F.col("__url")), "left")
+    spread = F.xxhash64("__texts", *[name for name in keys if name in others])
+    same = (F.when(link.startswith("http"), F.xxhash64(link)).otherwise(spread) == F.xxhash64("__url")) & (link == F.col("__url"))
+    joined = carried.join(_prefixed(details.select("url", *fields)), same, "left")
     values = {name: F.col(name) for name in others} | {name: _unpacked(F.col("__texts"), number) for number, name in enumerate(texts)}
     return joined.select(
         *[(F.coalesce(F.col(f"__{name}"), values[name]) if name in fields else values[name]).alias(name) for name in rows.columns]
